@@ -24,23 +24,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from shelflight.settings import BATCH_LIMIT_BYTES, MERGE_FANIN
+from shelflight.settings import BATCH_LIMIT_BYTES, MERGE_FANIN, PROBE_ROWS
 
 # Tasks get this module by value, so executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
-class BatchSize:
-    """Measured size of a request batch."""
+class RequestBatch:
+    """A measured request batch; ``rows`` holds it when it is small."""
 
     requests: int
     dim: int
     total_limit: int
     max_limit: int
+    rows: pa.Table | None = None
 
     @property
     def footprint(self) -> int:
@@ -55,23 +57,41 @@ class BatchSize:
 
 def pool_limit():
     """Rows pulled per request: the larger of ``pool`` and ``k``."""
-    return F.greatest(F.col("pool"), F.col("k")).cast("int")
-
-
-def measure_batch(requests: DataFrame) -> BatchSize:
-    """One small aggregate over the requests; rejects unequal vector lengths."""
-    size = F.size("qvec")
-    row = requests.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("qvec").alias("vectors"),
-        F.min(size).alias("shortest"),
-        F.max(size).alias("longest"),
-        F.sum(F.greatest(pool_limit(), F.lit(0)).cast("long")).alias("total"),
-        F.max(pool_limit()).alias("widest"),
-    ).first()
-    if row.n and (row.vectors != row.n or row.shortest != row.longest):
+    wider = F.greatest(F.col("pool"), F.col("k"), F.lit(0))
+    return F.least(wider, F.lit(2**31 - 1)).cast("int")
+
+
+def measure_batch(requests: DataFrame, probe_rows: int = PROBE_ROWS) -> RequestBatch:
+    """Size of the batch; rejects missing vectors and unequal lengths.
+
+    Up to ``probe_rows`` requests arrive with the one small job that looks for
+    more, so a usual batch is computed once. A larger one is only aggregated.
+    """
+    asked = requests.withColumn("pool_limit", pool_limit())
+    head = asked.limit(probe_rows + 1).toArrow()
+    if head.num_rows <= probe_rows:
+        vectors = head.column("qvec")
+        lengths = set(pc.list_value_length(vectors).to_pylist())
+        limits = head.column("pool_limit").to_numpy().astype(np.int64)
+        sizes = (head.num_rows, max(lengths - {None}, default=0), int(limits.sum()),
+                 int(limits.max(initial=0)))
+        batch = RequestBatch(*sizes, rows=head)
+        uneven = len(lengths) > 1 or None in lengths
+    else:
+        size = F.size("qvec")
+        row = asked.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("qvec").alias("vectors"),
+            F.min(size).alias("shortest"),
+            F.max(size).alias("longest"),
+            F.sum(F.col("pool_limit").cast("long")).alias("total"),
+            F.max("pool_limit").alias("widest"),
+        ).first()
+        batch = RequestBatch(row.n, row.longest or 0, row.total, row.widest)
+        uneven = row.vectors != row.n or row.shortest != row.longest
+    if uneven:
         raise ValueError("request vectors are missing or differ in length")
-    return BatchSize(row.n, row.longest or 0, row.total or 0, max(row.widest or 0, 0))
+    return batch
 
 
 class NearestRows:
@@ -158,8 +178,6 @@ class NearestRows:
 
 def _matrix(vectors, dim):
     """Arrow list column -> (rows, dim) array; refuses missing or odd vectors."""
-    import pyarrow.compute as pc
-
     lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
     flat = vectors.flatten()
     if lengths != [dim] or flat.null_count:
@@ -167,6 +185,11 @@ def _matrix(vectors, dim):
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _column(table, name):
+    """A table column as one array."""
+    return pa.concat_arrays(table.column(name).chunks)
+
+
 def _emit(nearest, query_ids, limits, schema, rows=65_536):
     query, dist, ids = nearest.result()
     for start in range(0, len(query), rows):
@@ -196,37 +219,38 @@ def _result_types(requests: DataFrame):
     return spark_schema, to_arrow_schema(spark_schema)
 
 
-def _scan_in_place(requests, catalog, size):
+def _scan_in_place(requests, catalog, batch):
     """Ship the (measured, small) batch; scan the catalog where it lies."""
     spark_schema, arrow_schema = _result_types(requests)
-    table = requests.select("query_id", pool_limit().alias("pool_limit"), "qvec").toArrow()
-    table = table.combine_chunks()
+    table = batch.rows
+    if table is None:
+        table = requests.select("query_id", pool_limit().alias("pool_limit"), "qvec").toArrow()
     if table.num_rows == 0:
         return catalog.sparkSession.createDataFrame([], spark_schema)
-    ids = pa.concat_arrays(table.column("query_id").chunks).cast(arrow_schema.field(0).type)
-    limits = table.column("pool_limit").to_numpy().astype(np.int64)
-    vectors = _matrix(pa.concat_arrays(table.column("qvec").chunks), size.dim)
+    ids = _column(table, "query_id").cast(arrow_schema.field(0).type)
+    limits = _column(table, "pool_limit").to_numpy().astype(np.int64)
+    vectors = _matrix(_column(table, "qvec"), batch.dim)
     shipped = catalog.sparkSession.sparkContext.broadcast((ids, limits, vectors))
-    dim = size.dim
+    dim = batch.dim
 
     def scan(batches):
         query_ids, query_limits, query_vectors = shipped.value
         nearest = NearestRows(query_vectors, query_limits)
-        for batch in batches:
-            if batch.num_rows:
-                nearest.offer(batch.column(0).to_numpy(), _matrix(batch.column(1), dim))
+        for part in batches:
+            if part.num_rows:
+                nearest.offer(part.column(0).to_numpy(), _matrix(part.column(1), dim))
         yield from _emit(nearest, query_ids, query_limits, arrow_schema)
 
     return catalog.select(F.col("row_id").cast("long"), "embedding").mapInArrow(scan, spark_schema)
 
 
-def _scan_in_cells(requests, catalog, size, limit_bytes):
+def _scan_in_cells(requests, catalog, batch, limit_bytes):
     """Shuffle (request block, catalog shard) cells together and stream each."""
     spark_schema, arrow_schema = _result_types(requests)
-    blocks = math.ceil(size.footprint / limit_bytes)
+    blocks = math.ceil(batch.footprint / limit_bytes)
     cores = catalog.sparkSession.sparkContext.defaultParallelism
     shards = max(1, math.ceil(4 * cores / blocks))
-    dim = size.dim
+    dim = batch.dim
     vector = "array<double>"
     block_side = requests.select(
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
@@ -255,14 +279,14 @@ def _scan_in_cells(requests, catalog, size, limit_bytes):
 
     def stream(batches):
         cell, waiting, nearest, ids, limits = None, [], None, None, None
-        for batch in batches:
-            if not batch.num_rows:
+        for table in batches:
+            if not table.num_rows:
                 continue
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            keys = np.stack([table.column(i).to_numpy() for i in range(3)])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist(), batch.num_rows]
+            edges = [0, *cuts.tolist(), table.num_rows]
             for start, end in zip(edges, edges[1:]):
-                part = batch.slice(start, end - start)
+                part = table.slice(start, end - start)
                 here, side = (keys[0, start], keys[1, start]), keys[2, start]
                 if here != cell:
                     if nearest is not None:
@@ -274,13 +298,10 @@ def _scan_in_cells(requests, catalog, size, limit_bytes):
                 if not waiting and nearest is None:
                     continue  # an empty request block
                 if nearest is None:
-                    block = pa.Table.from_batches(waiting).combine_chunks()
-                    ids = pa.concat_arrays(block.column("query_id").chunks)
-                    ids = ids.cast(arrow_schema.field(0).type)
-                    limits = block.column("pool_limit").to_numpy().astype(np.int64)
-                    nearest = NearestRows(
-                        _matrix(pa.concat_arrays(block.column("vec").chunks), dim), limits
-                    )
+                    block = pa.Table.from_batches(waiting)
+                    ids = _column(block, "query_id").cast(arrow_schema.field(0).type)
+                    limits = _column(block, "pool_limit").to_numpy().astype(np.int64)
+                    nearest = NearestRows(_matrix(_column(block, "vec"), dim), limits)
                     waiting = []
                 nearest.offer(part.column(5).to_numpy(), _matrix(part.column(6), dim))
         if nearest is not None:
@@ -292,7 +313,7 @@ def _scan_in_cells(requests, catalog, size, limit_bytes):
 def knn_candidates(
     requests: DataFrame,
     catalog: DataFrame,
-    size: BatchSize | None = None,
+    batch: RequestBatch | None = None,
     limit_bytes: int = BATCH_LIMIT_BYTES,
 ) -> DataFrame:
     """The ``max(pool, k)`` nearest catalog rows of every request.
@@ -301,11 +322,11 @@ def knn_candidates(
     Returns ``query_id, rank, row_id, dist`` with ties broken by ``row_id``. The
     distance is the squared L2 distance in DOUBLE.
     """
-    size = size or measure_batch(requests)
-    if size.footprint <= limit_bytes:
-        partial = _scan_in_place(requests, catalog, size)
+    batch = batch or measure_batch(requests.select("query_id", "k", "pool", "qvec"))
+    if batch.footprint <= limit_bytes:
+        partial = _scan_in_place(requests, catalog, batch)
     else:
-        partial = _scan_in_cells(requests, catalog, size, limit_bytes)
+        partial = _scan_in_cells(requests, catalog, batch, limit_bytes)
 
     # First merge: a request's lists are spread over MERGE_FANIN groups.
     nearest_first = (F.col("dist"), F.col("row_id"))
@@ -313,16 +334,16 @@ def knn_candidates(
     merged = (
         partial.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(MERGE_FANIN)))
         .withColumn("rank", F.row_number().over(spread))
-        .where(F.col("rank") <= size.max_limit)
+        .where(F.col("rank") <= batch.max_limit)
     )
     final = Window.partitionBy("query_id").orderBy(*nearest_first)
     candidates = (
         merged.withColumn("rank", F.row_number().over(final))
-        .where((F.col("rank") <= size.max_limit) & (F.col("rank") <= F.col("pool_limit")))
+        .where((F.col("rank") <= batch.max_limit) & (F.col("rank") <= F.col("pool_limit")))
         .select("query_id", "rank", "row_id", "dist")
     )
     # Its size is known from the batch, so a later join may broadcast it.
-    return F.broadcast(candidates) if size.result_bytes <= limit_bytes else candidates
+    return F.broadcast(candidates) if batch.result_bytes <= limit_bytes else candidates
 
 
 def attach_lookup(candidates: DataFrame, lookup: DataFrame) -> DataFrame:

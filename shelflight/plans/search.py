@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelflight.functions.phonetic import query_codes
 from shelflight.operators.embedding import embed_table
@@ -26,13 +26,17 @@ def ranked_pool(
             requests = requests.withColumn(name, F.lit(default))
     if "qvec" not in requests.columns:
         requests = embed_table(requests, "q", embedder, "qvec")
-    size = measure_batch(requests)
-    candidates = knn_candidates(requests, index.select("row_id", "embedding"), size, limit_bytes)
+    requests = requests.select("query_id", "q", "k", "pool", "boost", "qvec")
+    batch = measure_batch(requests)
+    candidates = knn_candidates(requests, index.select("row_id", "embedding"), batch, limit_bytes)
     # The pool is far smaller than the catalog: only its rows' metadata is read on.
     pool = attach_lookup(candidates.drop("rank"), index.select("row_id", *_METADATA))
+    if batch.rows is not None:
+        # The batch is here already; its requests need not be computed again.
+        requests = requests.sparkSession.createDataFrame(
+            batch.rows.drop_columns(["qvec"]), schema=requests.drop("qvec").schema.add("pool_limit", T.IntegerType())
+        )
     wanted = requests.select("query_id", "k", "boost", query_codes(F.col("q")).alias("codes"))
-    if size.footprint <= limit_bytes:
-        wanted = F.broadcast(wanted)
     return phonetic_rerank(pool, wanted)
 
 
