@@ -35,11 +35,14 @@ def facet_rows(
     facets: DataFrame,
     keys: DataFrame | None = None,
     only_active: bool | str = False,
+    small_hits: bool = False,
 ) -> DataFrame:
     """Usable facet rows of every hit list; a repeated id counts once.
 
     ``only_active`` limits rows to active keys of ``keys``: for all lists
     (``True``) or per list, by the name of a boolean column of ``hits``.
+    ``small_hits`` says that the lists are of checked, small size: facets are
+    then filtered in place and not shuffled.
     """
     rows = usable_facets(facets)
     active = None
@@ -51,7 +54,8 @@ def facet_rows(
     elif only_active:
         listed = hits.select("query_id", "brand_sku_id", F.col(only_active).alias("_strict"))
         rows = rows.join(active.withColumn("_live", F.lit(True)), "standard_key", "left")
-    joined = rows.join(listed.distinct(), "brand_sku_id")
+    listed = listed.distinct()
+    joined = rows.join(F.broadcast(listed) if small_hits else listed, "brand_sku_id")
     if isinstance(only_active, str):
         joined = joined.where(~F.coalesce("_strict", F.lit(False)) | F.col("_live").isNotNull())
     return joined.select(
@@ -80,44 +84,71 @@ def facet_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def _without_replaced(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """Drop data rows keyed like the price facet where a list has price rows."""
+def facet_bundle_rows(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """Facet rows followed by price rows. Where a list has price rows, data rows
+    that happen to use the same key are replaced by them."""
     replaced = prices.select("query_id", "standard_key").distinct()
-    return rows.join(replaced, ["query_id", "standard_key"], "left_anti")
+    kept = rows.join(replaced, ["query_id", "standard_key"], "left_anti")
+    return kept.unionByName(prices, allowMissingColumns=True)
 
 
-def facet_bundle_rows(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """Facet rows followed by price rows, which replace a data key of that name."""
-    return _without_replaced(rows, prices).unionByName(prices, allowMissingColumns=True)
+def _all_options(counts: DataFrame, prices: DataFrame) -> DataFrame:
+    """Value options and price options of all keys, before replacement."""
+    values = counts.withColumns({"display_name": F.col("facet_value"), "is_price": F.lit(False)})
+    ranges = prices.select(
+        "query_id", "standard_key", "facet_value", "cnt", "min_price", "max_price",
+        F.concat("facet_value", F.lit(" ("), F.col("cnt").cast("string"), F.lit(")")).alias(
+            "display_name"
+        ),
+        F.lit(True).alias("is_price"),
+    )
+    return values.unionByName(ranges, allowMissingColumns=True)
 
 
 def _option_order() -> list[Column]:
-    """Price options by their minimum, others by count and then value."""
+    """Price options by their minimum, others by count and then value. Price
+    options come first, so data rows they replace never take their numbers."""
     return [
-        F.col("min_price").asc_nulls_first(),
-        F.when(F.col("min_price").isNull(), -F.col("cnt")),
+        F.col("is_price").desc(),
+        F.col("min_price"),
+        F.when(~F.col("is_price"), -F.col("cnt")),
         F.col("facet_value"),
     ]
 
 
-def _options(counts: DataFrame, prices: DataFrame) -> DataFrame:
-    values = counts.withColumn("display_name", F.col("facet_value"))
-    ranges = prices.select(
-        "query_id", "standard_key", "facet_value", "cnt", "min_price", "max_price",
-        F.concat("facet_value", F.lit(" ("), F.col("cnt").cast("string"), F.lit(")")).alias(
-            "display_name"
-        ),
+def _key_totals(options: DataFrame) -> DataFrame:
+    """Total and number of options per key, of the price options where a key has them."""
+    is_price = F.col("is_price")
+    return (
+        options.groupBy("query_id", "standard_key")
+        .agg(
+            F.bool_or(is_price).alias("has_price"),
+            F.sum(F.when(is_price, F.col("cnt"))).alias("_price_total"),
+            F.sum("cnt").alias("_all_total"),
+            F.count(F.when(is_price, 1)).alias("_price_options"),
+            F.count(F.lit(1)).alias("_all_options"),
+        )
+        .select(
+            "query_id",
+            "standard_key",
+            "has_price",
+            F.coalesce("_price_total", "_all_total").alias("total"),
+            F.when(F.col("has_price"), F.col("_price_options"))
+            .otherwise(F.col("_all_options"))
+            .alias("n_options"),
+        )
     )
-    return _without_replaced(values, prices).unionByName(ranges, allowMissingColumns=True)
+
+
+def _key_order() -> list[Column]:
+    return [F.col("standard_key") != PRICE_KEY, F.col("total").desc(), F.col("standard_key")]
 
 
 def facet_key_order(counts: DataFrame, prices: DataFrame) -> DataFrame:
     """Price first, then keys by falling total, ties by name. A list has as many
     rows here as it has keys."""
-    totals = facet_totals(_options(counts, prices))
-    order = Window.partitionBy("query_id").orderBy(
-        F.col("standard_key") != PRICE_KEY, F.col("total").desc(), F.col("standard_key")
-    )
+    order = Window.partitionBy("query_id").orderBy(*_key_order())
+    totals = _key_totals(_all_options(counts, prices)).drop("has_price")
     return totals.withColumn("facet_rank", F.row_number().over(order))
 
 
@@ -126,25 +157,44 @@ def facet_key_order_alpha(counts: DataFrame, prices: DataFrame) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(
         F.col("standard_key") != PRICE_KEY, F.col("standard_key")
     )
-    return facet_totals(_options(counts, prices)).withColumn(
-        "facet_rank", F.row_number().over(order)
-    )
+    totals = _key_totals(_all_options(counts, prices)).drop("has_price")
+    return totals.withColumn("facet_rank", F.row_number().over(order))
 
 
 def facet_options(rows: DataFrame, prices: DataFrame, spread: bool = False) -> DataFrame:
     """All options of all keys with their positions.
 
-    ``spread=True`` ranks options without one task per (list, key), for lists
-    that are not bounded by a search's ``k``.
+    A list bounded by a search's ``k`` is brought together once, by its query,
+    and every window runs on that partitioning. ``spread=True`` is for lists
+    without such a bound: totals come from split sums and options are ranked
+    without one task per list or key.
     """
-    counts = facet_counts(rows)
-    options = row_numbers(
-        _options(counts, prices), ["query_id", "standard_key"], _option_order(), "option_rank", spread
-    )
-    keys = facet_key_order(counts, prices)
-    return options.join(
-        keys.select("query_id", "standard_key", "total", "facet_rank"), ["query_id", "standard_key"]
-    ).select(
+    options = _all_options(facet_counts(rows), prices)
+    if spread:
+        numbered = row_numbers(
+            options, ["query_id", "standard_key"], _option_order(), "option_rank", spread
+        )
+        order = Window.partitionBy("query_id").orderBy(*_key_order())
+        keys = _key_totals(options).withColumn("facet_rank", F.row_number().over(order))
+        placed = numbered.join(keys, ["query_id", "standard_key"])
+    else:
+        by_key = Window.partitionBy("query_id", "standard_key")
+        placed = (
+            options.repartition("query_id")
+            .withColumns(
+                {
+                    "has_price": F.bool_or("is_price").over(by_key),
+                    "option_rank": F.row_number().over(by_key.orderBy(*_option_order())),
+                }
+            )
+            .where(F.col("is_price") | ~F.col("has_price"))
+            .withColumn("total", F.sum("cnt").over(by_key))
+            .withColumn(
+                "facet_rank",
+                F.dense_rank().over(Window.partitionBy("query_id").orderBy(*_key_order())),
+            )
+        )
+    return placed.where(F.col("is_price") | ~F.col("has_price")).select(
         "query_id", "facet_rank", "standard_key", "total", "option_rank", "facet_value", "cnt",
         "display_name", "min_price", "max_price",
     )
@@ -156,8 +206,7 @@ def facet_top_options(rows: DataFrame, prices: DataFrame) -> DataFrame:
     The literal bound on the rank lets each task cut its share before the
     shuffle; the number of options comes from a split count.
     """
-    counts = facet_counts(rows)
-    options = _options(counts, prices)
+    options = _all_options(facet_counts(rows), prices)
     order = Window.partitionBy("query_id", "standard_key").orderBy(*_option_order())
     cap = F.when(F.col("standard_key") == PRICE_KEY, PRICE_OPTION_CAP).otherwise(OPTION_CAP)
     shown = (
@@ -165,12 +214,13 @@ def facet_top_options(rows: DataFrame, prices: DataFrame) -> DataFrame:
         .where(F.col("option_rank") <= PRICE_OPTION_CAP)
         .where(F.col("option_rank") <= cap)
     )
-    return shown.join(
-        facet_totals(options).select("query_id", "standard_key", "n_options"),
-        ["query_id", "standard_key"],
-    ).select(
-        "query_id", "standard_key", "option_rank", "facet_value", "cnt", "display_name",
-        F.greatest(F.col("n_options") - cap, F.lit(0)).cast("long").alias("n_more"),
+    return (
+        shown.join(_key_totals(options), ["query_id", "standard_key"])
+        .where(F.col("is_price") | ~F.col("has_price"))
+        .select(
+            "query_id", "standard_key", "option_rank", "facet_value", "cnt", "display_name",
+            F.greatest(F.col("n_options") - cap, F.lit(0)).cast("long").alias("n_more"),
+        )
     )
 
 

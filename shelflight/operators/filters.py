@@ -1,13 +1,12 @@
 """Facet filters over whole batches of requests.
 
 A request's filters are a map from key to accepted values: values of one key
-are alternatives, keys must all hold. That is a relational division, done with
-one equi-join on the SKU id and one aggregate on (request, SKU).
+are alternatives, keys must all hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflight.functions.price import LABELS
 from shelflight.operators.facets import usable_facets
@@ -42,77 +41,108 @@ def _wanted(conditions: DataFrame, owner: str) -> DataFrame:
 
 
 def filter_skus(
-    hits: DataFrame, requests: DataFrame, skus: DataFrame, facets: DataFrame
+    hits: DataFrame,
+    requests: DataFrame,
+    skus: DataFrame,
+    facets: DataFrame,
+    small_hits: bool = False,
 ) -> DataFrame:
     """Ids of each hit list that satisfy the request's filters.
 
     A request without any usable condition passes its ids on unchanged, even
     ids no SKU has; otherwise ids are distinct and known SKUs.
+
+    Each SKU's asked-for attributes are gathered into one set, combined before
+    the shuffle on its id. A hit then meets its request's conditions and its
+    SKU's set in one row, so no join multiplies rows. ``small_hits`` says that
+    the lists are of checked, small size: attributes of other SKUs are then
+    dropped where they are read.
     """
     conditions = requests.select(
         "query_id", _conditions(F.col("filters"), price_aware=True).alias("conditions")
     )
-    required = conditions.select("query_id", F.size("conditions").alias("required"))
-    asked = hits.select("query_id", "brand_sku_id").join(required, "query_id", "left")
-    untouched = asked.where(F.coalesce("required", F.lit(0)) == 0).select("query_id", "brand_sku_id")
-    wanted = _wanted(conditions, "query_id")
-
-    # Price is one more (key, value) of a SKU, so both kinds count alike.
-    values = usable_facets(facets).where(F.col("standard_key") != PRICE_KEY)
-    values = values.select("brand_sku_id", "standard_key", "facet_value").unionByName(
-        price_labels(skus).select(
-            F.col("id").alias("brand_sku_id"),
-            F.lit(PRICE_KEY).alias("standard_key"),
-            F.col("price_label").alias("facet_value"),
-        )
+    restricting = conditions.where(F.size("conditions") > 0)
+    hits = hits.select("query_id", "brand_sku_id")
+    untouched = hits.join(restricting.select("query_id"), "query_id", "left_anti")
+    # Repeats leave before the conditions are attached, so only ids are shuffled.
+    listed = hits.distinct().join(restricting, "query_id")
+
+    attribute = F.struct("standard_key", "facet_value").alias("attribute")
+    wanted = _wanted(conditions, "query_id").select("standard_key", "facet_value").distinct()
+    values = (
+        usable_facets(facets)
+        .where(F.col("standard_key") != PRICE_KEY)
+        .join(wanted, ["standard_key", "facet_value"], "left_semi")
+        .select("brand_sku_id", attribute, F.lit(False).alias("known"))
     )
-    # Values nobody asked for leave before the join on the id.
-    values = values.join(
-        wanted.select("standard_key", "facet_value").distinct(),
-        ["standard_key", "facet_value"],
-        "left_semi",
+    # Price is one more attribute; this side also tells which ids exist.
+    priced = price_labels(skus).select(
+        F.col("id").alias("brand_sku_id"),
+        F.struct(F.lit(PRICE_KEY).alias("standard_key"), F.col("price_label").alias("facet_value")),
+        F.lit(True),
     )
-    listed = (
-        asked.where(F.col("required") > 0)
-        .distinct()
-        .join(skus.select(F.col("id").alias("brand_sku_id")), "brand_sku_id", "left_semi")
+    values = values.union(priced)
+    if small_hits:
+        ids = F.broadcast(hits.select("brand_sku_id").distinct())
+        values = values.join(ids, "brand_sku_id", "left_semi")
+    gathered = values.groupBy("brand_sku_id").agg(
+        F.collect_set("attribute").alias("attributes"), F.bool_or("known").alias("known")
     )
-    matched = (
-        listed.join(values, "brand_sku_id")
-        .join(wanted, ["query_id", "standard_key", "facet_value"], "left_semi")
-        # A set of at most `required` keys, combined before the shuffle.
-        .groupBy("query_id", "brand_sku_id", "required")
-        .agg(F.size(F.collect_set("standard_key")).alias("met"))
-        .where(F.col("met") == F.col("required"))
-        .select("query_id", "brand_sku_id")
+    keys = F.array_distinct("attributes.standard_key")
+    held = F.map_from_arrays(
+        keys,
+        F.transform(
+            keys,
+            lambda key: F.transform(
+                F.filter("attributes", lambda a: a["standard_key"] == key), lambda a: a["facet_value"]
+            ),
+        ),
     )
+    sets = gathered.where("known").select("brand_sku_id", held.alias("held"))
+    satisfied = F.forall(
+        F.map_entries("conditions"),
+        lambda c: F.coalesce(
+            F.arrays_overlap(F.element_at("held", c["key"]), c["value"]), F.lit(False)
+        ),
+    )
+    matched = listed.join(sets, "brand_sku_id").where(satisfied).select("query_id", "brand_sku_id")
     return matched.unionByName(untouched)
 
 
-def filter_hits(hits: DataFrame, requests: DataFrame, skus: DataFrame, facets: DataFrame) -> DataFrame:
+def filter_hits(
+    hits: DataFrame,
+    requests: DataFrame,
+    skus: DataFrame,
+    facets: DataFrame,
+    small_hits: bool = False,
+) -> DataFrame:
     """Hits whose id passes the filters; ranks are kept, nothing is refilled.
 
     Hits of a request without filters stay, and so do all hits of a list in
     which no hit has an id.
     """
-    has_id = F.coalesce(F.col("brand_sku_id") != "", F.lit(False))
     asked = requests.select(
-        "query_id",
-        (F.coalesce(F.size("filters"), F.lit(0)) > 0).alias("_filtered"),
+        "query_id", (F.coalesce(F.size("filters"), F.lit(0)) > 0).alias("_filtered")
     )
-    usable = hits.where(has_id).select("query_id", "brand_sku_id")
-    with_ids = usable.select("query_id").distinct().withColumn("_any_id", F.lit(True))
+    has_id = F.coalesce(F.col("brand_sku_id") != "", F.lit(False))
+    marked = hits.join(asked, "query_id", "left").withColumns(
+        {
+            "_has_id": has_id,
+            "_any_id": F.bool_or(has_id).over(Window.partitionBy("query_id")),
+        }
+    )
+    usable = marked.where(F.col("_filtered") & F.col("_has_id"))
     matched = (
-        filter_skus(usable, requests, skus, facets).distinct().withColumn("_matched", F.lit(True))
+        filter_skus(usable, requests, skus, facets, small_hits)
+        .distinct()
+        .withColumn("_matched", F.lit(True))
     )
+    if small_hits:
+        matched = F.broadcast(matched)
     return (
-        hits.join(asked, "query_id", "left")
-        .join(with_ids, "query_id", "left")
-        .join(matched, ["query_id", "brand_sku_id"], "left")
+        marked.join(matched, ["query_id", "brand_sku_id"], "left")
         .where(
-            ~F.coalesce("_filtered", F.lit(False))
-            | F.col("_any_id").isNull()
-            | F.col("_matched").isNotNull()
+            ~F.coalesce("_filtered", F.lit(False)) | ~F.col("_any_id") | F.col("_matched").isNotNull()
         )
         .select(*hits.columns)
     )

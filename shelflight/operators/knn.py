@@ -104,6 +104,7 @@ class NearestRows:
 
     def __init__(self, vectors, limits, tile_cells=4_000_000, buffer_rows=262_144):
         self.queries = np.ascontiguousarray(vectors, dtype=np.float64)
+        self.singles = self.queries.astype(np.float32)
         self.limits = np.asarray(limits, dtype=np.int64)
         self.norms = np.einsum("ij,ij->i", self.queries, self.queries)
         self.bound = np.where(self.limits > 0, np.inf, -np.inf)
@@ -117,19 +118,29 @@ class NearestRows:
     def offer(self, ids, vectors):
         rows = np.asarray(vectors, dtype=np.float64)
         norms = np.einsum("ij,ij->i", rows, rows)
-        largest = np.nanmax(norms, initial=0.0)
-        error = 16 * (rows.shape[1] + 8) * np.finfo(np.float64).eps
+        largest = max(np.nanmax(norms, initial=0.0), np.nanmax(self.norms, initial=0.0))
+        # Single precision is enough to discard; double where it could overflow.
+        single = largest < 1e30
+        kind = np.float32 if single else np.float64
+        queries = self.singles if single else self.queries
+        columns, query_norms, row_norms = rows.T.astype(kind), self.norms.astype(kind), norms.astype(kind)
+        error = 4 * (rows.shape[1] + 8) * np.finfo(kind).eps
         step = max(1, self.tile_cells // len(rows))
-        for start in range(0, len(self.queries), step):
+        for start in range(0, len(queries), step):
             tile = slice(start, start + step)
-            with np.errstate(invalid="ignore"):
-                near = self.norms[tile, None] + norms[None, :] - 2.0 * (self.queries[tile] @ rows.T)
+            with np.errstate(invalid="ignore", over="ignore"):
+                near = queries[tile] @ columns
+                near *= -2
+                near += query_norms[tile, None]
+                near += row_norms
             slack = error * (self.norms[tile] + largest)
             self._bound_from(near, slack, start)
             # "not greater" rather than "less": a NaN distance ranks last but stays.
-            query, row = np.nonzero(~(near > (self.bound[tile] + slack)[:, None]))
-            if len(query):
-                query = query + start
+            reach = (self.bound[tile] + slack).astype(kind)
+            cells = np.flatnonzero(~(near > reach[:, None]))
+            if len(cells):
+                query, row = np.divmod(cells, len(rows))
+                query += start
                 self.fresh.append((query, self._measure(query, row, rows), ids[row]))
                 self.fresh_rows += len(query)
         if self.fresh_rows > max(self.buffer_rows, len(self.kept[0])):

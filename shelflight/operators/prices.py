@@ -10,13 +10,16 @@ from shelflight.functions.price import (
 from shelflight.settings import PRICE_KEY
 
 
-def price_range_facets(hits: DataFrame, skus: DataFrame) -> DataFrame:
+def price_range_facets(hits: DataFrame, skus: DataFrame, small_hits: bool = False) -> DataFrame:
     """Non-empty price buckets of each hit list, in facet-row shape.
 
     Counts are combined per bucket number before the shuffle; labels and bounds
-    are attached to the few rows that remain.
+    are attached to the few rows that remain. ``small_hits`` says that the
+    lists are of checked, small size, so that SKUs need no shuffle.
     """
     listed = hits.select("query_id", F.col("brand_sku_id").alias("id")).distinct()
+    if small_hits:
+        listed = F.broadcast(listed)
     counted = (
         skus.where(in_price_window(F.col("consumerSellingPrice")))
         .select("id", bucket_number(F.col("consumerSellingPrice")).alias("bucket"))
@@ -50,8 +53,6 @@ def price_filter(skus: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def price_labels(skus: DataFrame) -> DataFrame:
-    """``id, label`` of the price bucket of each priced SKU, without the window."""
+    """``id, price_label`` of every SKU, without the window; null without a price."""
     label = bucket_label(bucket_number(F.col("consumerSellingPrice")))
-    return skus.where(F.col("consumerSellingPrice").isNotNull()).select(
-        "id", label.alias("price_label")
-    )
+    return skus.select("id", label.alias("price_label"))

@@ -8,7 +8,7 @@ from shelflight.functions.phonetic import query_codes
 from shelflight.operators.embedding import embed_table
 from shelflight.operators.facets import facet_options, facet_rows
 from shelflight.operators.filters import filter_hits
-from shelflight.operators.knn import attach_lookup, knn_candidates, measure_batch
+from shelflight.operators.knn import RequestBatch, attach_lookup, knn_candidates, measure_batch
 from shelflight.operators.prices import price_range_facets
 from shelflight.operators.rerank import best_k, phonetic_rerank
 from shelflight.settings import BATCH_LIMIT_BYTES, DEFAULT_BOOST, DEFAULT_K, DEFAULT_POOL
@@ -17,29 +17,36 @@ from shelflight.sources.requests import with_search_defaults
 _METADATA = ("brand_sku_id", "label", "brandLabel", "category", "brand_phonetic")
 
 
-def ranked_pool(
-    requests: DataFrame, index: DataFrame, embedder=None, limit_bytes: int = BATCH_LIMIT_BYTES
-) -> DataFrame:
-    """Candidate pool of every request with distance, boosted score and rank."""
+def _complete(requests: DataFrame, embedder) -> DataFrame:
+    """Requests with every column a search needs."""
     for name, default in (("k", DEFAULT_K), ("pool", DEFAULT_POOL), ("boost", DEFAULT_BOOST)):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(default))
     if "qvec" not in requests.columns:
         requests = embed_table(requests, "q", embedder, "qvec")
-    requests = requests.select("query_id", "q", "k", "pool", "boost", "qvec")
-    batch = measure_batch(requests)
+    return requests.select("query_id", "q", "k", "pool", "boost", "qvec")
+
+
+def _ranked(requests: DataFrame, index: DataFrame, batch: RequestBatch, limit_bytes: int) -> DataFrame:
     candidates = knn_candidates(requests, index.select("row_id", "embedding"), batch, limit_bytes)
     # The pool is far smaller than the catalog: only its rows' metadata is read on.
     pool = attach_lookup(candidates.drop("rank"), index.select("row_id", *_METADATA))
     if batch.rows is not None:
         # The batch is here already; its requests need not be computed again.
-        requests = requests.sparkSession.createDataFrame(
-            batch.rows.drop_columns(["qvec"]), schema=requests.drop("qvec").schema.add("pool_limit", T.IntegerType())
-        )
+        schema = requests.drop("qvec").schema.add("pool_limit", T.IntegerType())
+        requests = requests.sparkSession.createDataFrame(batch.rows.drop_columns(["qvec"]), schema)
     wanted = requests.select("query_id", "k", "boost", query_codes(F.col("q")).alias("codes"))
     return phonetic_rerank(pool, wanted)
 
 
+def ranked_pool(
+    requests: DataFrame, index: DataFrame, embedder=None, limit_bytes: int = BATCH_LIMIT_BYTES
+) -> DataFrame:
+    """Candidate pool of every request with distance, boosted score and rank."""
+    requests = _complete(requests, embedder)
+    return _ranked(requests, index, measure_batch(requests), limit_bytes)
+
+
 def hybrid_search(
     requests: DataFrame, index: DataFrame, embedder=None, limit_bytes: int = BATCH_LIMIT_BYTES
 ) -> DataFrame:
@@ -52,15 +59,23 @@ def hybrid_search(
 
 
 def search_with_facets(
-    requests: DataFrame, index: DataFrame, skus: DataFrame, facets: DataFrame, embedder=None
+    requests: DataFrame,
+    index: DataFrame,
+    skus: DataFrame,
+    facets: DataFrame,
+    embedder=None,
+    limit_bytes: int = BATCH_LIMIT_BYTES,
 ) -> DataFrame:
     """Hybrid search whose hits are then narrowed by the request's filters.
 
-    Filters apply after the best ``k`` are taken, so fewer may remain.
+    Filters apply after the best ``k`` are taken, so fewer may remain. The
+    batch bounds the hits, which decides whether they may be broadcast.
     """
     requests = with_search_defaults(requests)
-    hits = hybrid_search(requests, index, embedder)
-    return filter_hits(hits, requests, skus, facets)
+    complete = _complete(requests, embedder)
+    batch = measure_batch(complete)
+    hits = best_k(_ranked(complete, index, batch, limit_bytes))
+    return filter_hits(hits, requests, skus, facets, batch.result_bytes <= limit_bytes)
 
 
 def facets_for_hits(
@@ -70,8 +85,9 @@ def facets_for_hits(
     keys: DataFrame | None = None,
     only_active: bool | str = False,
     spread: bool = False,
+    small_hits: bool = False,
 ) -> DataFrame:
     """Ordered facet options of hit lists. Computed over the lists as given;
     the filters of a request play no part here."""
-    rows = facet_rows(hits, facets, keys, only_active)
-    return facet_options(rows, price_range_facets(hits, skus), spread)
+    rows = facet_rows(hits, facets, keys, only_active, small_hits)
+    return facet_options(rows, price_range_facets(hits, skus, small_hits), spread)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import shelflight as sl
 from shelflight.functions.vector import squared_l2
 from shelflight.settings import scratch_path
-from workload.views import view, with_filters
+from workload.views import table, view, with_filters
 
 
 # ---- inputs ---------------------------------------------------------------
@@ -19,7 +19,7 @@ def catalog(spark, sf):
 
 def index(spark, sf):
     """Stored vectors next to the lookup columns of their SKU."""
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vectors = table(spark, sf, "embeddings")
     vectors = vectors.select(F.col("vec_id").alias("row_id"), "embedding")
     return sl.lookup_columns(catalog(spark, sf)).join(vectors, "row_id")
 
@@ -90,7 +90,7 @@ def index_meta(spark, sf):
 
 
 def vector_check(spark, sf):
-    return sl.vector_check(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return sl.vector_check(table(spark, sf, "embeddings"))
 
 
 def embed_catalog(spark, sf):
@@ -111,7 +111,7 @@ def build_catalog_index(spark, sf):
 
 def vector_distance(spark, sf):
     """Distance of every vector to the first vector of its label."""
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vectors = table(spark, sf, "embeddings")
     first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
     return vectors.join(first, "label").select(
         "vec_id", squared_l2(F.col("embedding"), F.col("anchor")).alias("dist")

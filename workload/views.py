@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -127,12 +128,21 @@ def expand(sql: str) -> str:
     )
 
 
+@lru_cache(maxsize=256)
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A table reference; its footer is read once per session."""
+    return spark.read.parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _table(spark, f"{sf_dir}/{name}.parquet")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the Parquet tables of ``sf_dir``."""
     sql = VIEWS[name]
     used = {t for t in re.findall(r"\{(\w+)\}", sql)}
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-    return spark.sql(sql, **tables)
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in used})
 
 
 def with_filters(requests: DataFrame) -> DataFrame:
