@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from shelflight.functions.phonetic import query_codes
 from shelflight.operators.embedding import embed_table
@@ -13,6 +13,7 @@ from shelflight.operators.prices import price_range_facets
 from shelflight.operators.rerank import best_k, phonetic_rerank
 from shelflight.settings import BATCH_LIMIT_BYTES, DEFAULT_BOOST, DEFAULT_K, DEFAULT_POOL
 from shelflight.sources.requests import with_search_defaults
+from shelflight.sources.sinks import freeze
 
 _METADATA = ("brand_sku_id", "label", "brandLabel", "category", "brand_phonetic")
 
@@ -24,18 +25,26 @@ def _complete(requests: DataFrame, embedder) -> DataFrame:
             requests = requests.withColumn(name, F.lit(default))
     if "qvec" not in requests.columns:
         requests = embed_table(requests, "q", embedder, "qvec")
-    return requests.select("query_id", "q", "k", "pool", "boost", "qvec")
+    filters = [name for name in ("filters",) if name in requests.columns]
+    return requests.select("query_id", "q", "k", "pool", "boost", "qvec", *filters)
+
+
+def _as_computed(requests: DataFrame, batch: RequestBatch) -> DataFrame:
+    """Requests without vectors; those that arrived with the measurement are not
+    computed again."""
+    plain = requests.drop("qvec")
+    if batch.rows is None:
+        return plain
+    rows = batch.rows.drop_columns(["qvec", "pool_limit"])
+    return requests.sparkSession.createDataFrame(rows, plain.schema)
 
 
 def _ranked(requests: DataFrame, index: DataFrame, batch: RequestBatch, limit_bytes: int) -> DataFrame:
     candidates = knn_candidates(requests, index.select("row_id", "embedding"), batch, limit_bytes)
     # The pool is far smaller than the catalog: only its rows' metadata is read on.
     pool = attach_lookup(candidates.drop("rank"), index.select("row_id", *_METADATA))
-    if batch.rows is not None:
-        # The batch is here already; its requests need not be computed again.
-        schema = requests.drop("qvec").schema.add("pool_limit", T.IntegerType())
-        requests = requests.sparkSession.createDataFrame(batch.rows.drop_columns(["qvec"]), schema)
-    wanted = requests.select("query_id", "k", "boost", query_codes(F.col("q")).alias("codes"))
+    asked = _as_computed(requests, batch)
+    wanted = asked.select("query_id", "k", "boost", query_codes(F.col("q")).alias("codes"))
     return phonetic_rerank(pool, wanted)
 
 
@@ -68,14 +77,15 @@ def search_with_facets(
 ) -> DataFrame:
     """Hybrid search whose hits are then narrowed by the request's filters.
 
-    Filters apply after the best ``k`` are taken, so fewer may remain. The
-    batch bounds the hits, which decides whether they may be broadcast.
+    Filters apply after the best ``k`` are taken, so fewer may remain. The hits
+    are written once and then filtered; the batch bounds their number, which
+    decides whether they may be broadcast.
     """
-    requests = with_search_defaults(requests)
-    complete = _complete(requests, embedder)
-    batch = measure_batch(complete)
-    hits = best_k(_ranked(complete, index, batch, limit_bytes))
-    return filter_hits(hits, requests, skus, facets, batch.result_bytes <= limit_bytes)
+    requests = _complete(with_search_defaults(requests), embedder)
+    batch = measure_batch(requests)
+    hits = freeze(best_k(_ranked(requests, index, batch, limit_bytes)), "hits")
+    asked = _as_computed(requests, batch)
+    return filter_hits(hits, asked, skus, facets, batch.result_bytes <= limit_bytes)
 
 
 def facets_for_hits(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelflight.settings import scratch_path
+
 
 def write_index(index: DataFrame, path: str) -> None:
     """Vectors and metadata in one Parquet table: a vector scan and a metadata
@@ -23,3 +25,12 @@ def write_lookup(lookup: DataFrame, path: str) -> None:
 def write_meta(meta: DataFrame, path: str) -> None:
     """The one metadata record as JSON."""
     meta.write.mode("errorifexists").json(path)
+
+
+def freeze(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and
+    return the written table: it is computed once, survives lost executors, and
+    its real size decides how it is joined."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -201,6 +201,7 @@ def facets_for_hits(spark, sf):
     hits = sl.hybrid_search(asked, index(spark, sf)).join(
         asked.select("query_id", "only_active"), "query_id"
     )
+    hits = sl.freeze(hits, "hits")
     return sl.facets_for_hits(
         hits, skus(spark, sf), facets(spark, sf), keys(spark, sf), "only_active"
     )
