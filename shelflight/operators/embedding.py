@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 @dataclass(frozen=True)
@@ -67,9 +67,7 @@ class ModelEmbedder:
                         raise ValueError(f"vector of length {len(vector)}, expected {dim}")
                 yield frame.assign(**{output: vectors})
 
-        from pyspark.sql import types as T
-
-        schema = T.StructType(list(df.schema.fields)).add(output, "array<float>")
+        schema = T.StructType(list(df.schema.fields)).add(output, T.ArrayType(T.FloatType()))
         return df.mapInPandas(embed, schema)
 
 

@@ -1,0 +1,82 @@
+"""Physical plans: what is scanned, joined and shuffled, and how."""
+
+import re
+
+from pyspark.sql import functions as F
+
+import shelflight as sl
+from workload import queries as q
+from workload.views import view, with_filters
+
+
+def plan(df):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_knn_has_no_pair_join_and_reads_two_columns(spark, sf):
+    index = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+    text = plan(sl.knn_candidates(q.requests(spark, sf), index))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert text.count("WindowGroupLimit") >= 4  # partial and final, for both merges
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
+
+
+def test_native_operators_run_no_python(spark, sf):
+    rows, prices = q.rows(spark, sf), q.prices(spark, sf)
+    asked = with_filters(view(spark, sf, "supplier_requests"))
+    frames = [
+        sl.prepare_catalog(view(spark, sf, "catalog_raw")),
+        sl.facet_options(rows, prices),
+        sl.facet_top_options(rows, prices),
+        sl.filter_skus(view(spark, sf, "supplier_lists"), asked, q.skus(spark, sf), q.facets(spark, sf)),
+        sl.filter_products(asked, q.skus(spark, sf), q.facets(spark, sf)),
+        sl.sku_by_name(view(spark, sf, "terms"), q.skus(spark, sf)),
+        sl.normalise_requests(view(spark, sf, "request_params")),
+        sl.embed_table(q.catalog(spark, sf), "search_text", sl.HashedNGrams()),
+    ]
+    for df in frames:
+        text = plan(df)
+        assert not re.search(r"Python|Pandas|InArrow", text)
+        assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_prepared_catalog_needs_no_shuffle(spark, sf):
+    assert "Exchange" not in plan(sl.prepare_catalog(view(spark, sf, "catalog_raw")))
+
+
+def test_active_keys_are_a_semi_join(spark, sf):
+    text = plan(q.facet_rows_active(spark, sf))
+    assert "LeftSemi" in text
+
+
+def test_small_hits_leave_facets_in_place(spark, sf):
+    facets = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.col("p_partkey").cast("string").alias("brandSKUId"), F.lit("k").alias("standardKey"),
+        F.col("p_type").alias("standardValue"), F.col("p_name").alias("value"), F.lit(True).alias("isActive"),
+    )
+    hits = view(spark, sf, "brand_lists")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = plan(sl.facet_rows(hits, facets, small_hits=True))
+        large = plan(sl.facet_rows(hits, facets))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in small and "SortMergeJoin" not in small
+    assert "SortMergeJoin" in large
+
+
+def test_top_options_are_cut_before_the_shuffle(spark, sf):
+    text = plan(sl.facet_top_options(q.rows(spark, sf), q.prices(spark, sf)))
+    assert text.count("WindowGroupLimit") >= 2
+
+
+def test_listed_options_are_brought_together_once(spark, sf):
+    text = plan(sl.facet_options(q.rows(spark, sf), q.prices(spark, sf)))
+    shuffles = re.findall(r"Arguments: hashpartitioning\((\w+)#\d+, \d+\), (\w+)", text)
+    assert shuffles == [("query_id", "REPARTITION_BY_COL")]  # shared by all windows
