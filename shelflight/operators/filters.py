@@ -40,6 +40,36 @@ def _wanted(conditions: DataFrame, owner: str) -> DataFrame:
     )
 
 
+def _held(values: DataFrame, owner: str, *also: Column) -> DataFrame:
+    """Attributes of each owner as a map from key to its distinct values.
+
+    ``values`` has ``attribute`` structs; repeats are removed before the
+    shuffle, so a set holds at most the distinct attributes asked for.
+    """
+    gathered = values.groupBy(owner).agg(F.collect_set("attribute").alias("attributes"), *also)
+    keys = F.array_distinct("attributes.standard_key")
+    held = F.map_from_arrays(
+        keys,
+        F.transform(
+            keys,
+            lambda key: F.transform(
+                F.filter("attributes", lambda a: a["standard_key"] == key), lambda a: a["facet_value"]
+            ),
+        ),
+    )
+    return gathered.withColumn("held", held).drop("attributes")
+
+
+def _satisfied() -> Column:
+    """Every condition shares a value with the attributes held."""
+    return F.forall(
+        F.map_entries("conditions"),
+        lambda c: F.coalesce(
+            F.arrays_overlap(F.element_at("held", c["key"]), c["value"]), F.lit(False)
+        ),
+    )
+
+
 def filter_skus(
     hits: DataFrame,
     requests: DataFrame,
@@ -85,27 +115,8 @@ def filter_skus(
     if small_hits:
         ids = F.broadcast(hits.select("brand_sku_id").distinct())
         values = values.join(ids, "brand_sku_id", "left_semi")
-    gathered = values.groupBy("brand_sku_id").agg(
-        F.collect_set("attribute").alias("attributes"), F.bool_or("known").alias("known")
-    )
-    keys = F.array_distinct("attributes.standard_key")
-    held = F.map_from_arrays(
-        keys,
-        F.transform(
-            keys,
-            lambda key: F.transform(
-                F.filter("attributes", lambda a: a["standard_key"] == key), lambda a: a["facet_value"]
-            ),
-        ),
-    )
-    sets = gathered.where("known").select("brand_sku_id", held.alias("held"))
-    satisfied = F.forall(
-        F.map_entries("conditions"),
-        lambda c: F.coalesce(
-            F.arrays_overlap(F.element_at("held", c["key"]), c["value"]), F.lit(False)
-        ),
-    )
-    matched = listed.join(sets, "brand_sku_id").where(satisfied).select("query_id", "brand_sku_id")
+    sets = _held(values, "brand_sku_id", F.bool_or("known").alias("known")).where("known")
+    matched = listed.join(sets, "brand_sku_id").where(_satisfied()).select("query_id", "brand_sku_id")
     return matched.unionByName(untouched)
 
 
@@ -159,7 +170,10 @@ def filter_products(
     returned as they are.
 
     Work is done once per distinct filter map and handed to its requests at the
-    end, so a popular filter costs no more than a rare one.
+    end, so a popular filter costs no more than a rare one. Each map is looked
+    up by its rarest key only; the SKUs found are then checked in one row
+    against all keys, so a value most SKUs have multiplies nothing unless a map
+    asks for nothing rarer.
     """
     conditions = _conditions(F.col("filters"), price_aware=False)
     entries = F.array_sort(
@@ -176,22 +190,38 @@ def filter_products(
         F.when(F.size(entries) > 0, F.to_json(entries)).alias("filter_set"),
         F.map_from_entries(entries).alias("conditions"),
     )
-    sets = asked.where("required > 0").select("filter_set", "required", "conditions")
-    sets = sets.groupBy("filter_set", "required").agg(F.any_value("conditions").alias("conditions"))
+    sets = asked.where("required > 0").groupBy("filter_set").agg(
+        F.any_value("conditions").alias("conditions")
+    )
     wanted = _wanted(sets, "filter_set")
 
-    matched = (
+    pairs = ["standard_key", "facet_value"]
+    values = (
         facets.where(F.col("isActive"))
         .select(
             F.col("brandSKUId").alias("id"),
             F.col("standardKey").alias("standard_key"),
             F.coalesce("standardValue", "value").alias("facet_value"),
         )
-        .join(wanted, ["standard_key", "facet_value"])
-        .groupBy("filter_set", "id")
-        .agg(F.size(F.collect_set("standard_key")).alias("met"))
-        .join(sets.select("filter_set", "required"), "filter_set")
-        .where(F.col("met") == F.col("required"))
+        .join(wanted.select(*pairs).distinct(), pairs, "left_semi")
+    )
+    frequent = values.groupBy(*pairs).agg(F.count(F.lit(1)).alias("n"))
+    per_key = (
+        wanted.join(frequent, pairs, "left")
+        .groupBy("filter_set", "standard_key")
+        .agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    )
+    rarest = per_key.groupBy("filter_set").agg(
+        F.min_by("standard_key", F.struct("n", "standard_key")).alias("standard_key")
+    )
+    entry = wanted.join(rarest, ["filter_set", "standard_key"])
+    candidates = values.join(entry, pairs).select("filter_set", "id").distinct()
+    held = _held(values.select("id", F.struct(*pairs).alias("attribute")), "id")
+    matched = (
+        candidates.join(held, "id")
+        .join(sets.select("filter_set", "conditions"), "filter_set")
+        .where(_satisfied())
+        .select("filter_set", "id")
     )
     labels = (
         matched.join(skus.select("id", F.col("label").alias("product_name")), "id")

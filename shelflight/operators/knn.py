@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from shelflight.settings import BATCH_LIMIT_BYTES, MERGE_FANIN, PROBE_ROWS
+from shelflight.settings import BATCH_LIMIT_BYTES, MERGE_FANIN
 
 # Tasks get this module by value, so executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,12 +42,14 @@ class RequestBatch:
     dim: int
     total_limit: int
     max_limit: int
+    other_bytes: int = 0
     rows: pa.Table | None = None
 
     @property
     def footprint(self) -> int:
-        """Bytes a task holds: vectors in double, plus twice the running lists."""
-        return self.requests * (8 * self.dim + 64) + self.total_limit * 2 * 24
+        """Bytes a task holds: vectors in double and single precision, twice the
+        running lists, and everything else the requests carry."""
+        return self.requests * (12 * self.dim + 64) + self.total_limit * 48 + self.other_bytes
 
     @property
     def result_bytes(self) -> int:
@@ -61,37 +63,27 @@ def pool_limit():
     return F.least(wider, F.lit(2**31 - 1)).cast("int")
 
 
-def measure_batch(requests: DataFrame, probe_rows: int = PROBE_ROWS) -> RequestBatch:
-    """Size of the batch; rejects missing vectors and unequal lengths.
-
-    Up to ``probe_rows`` requests arrive with the one small job that looks for
-    more, so a usual batch is computed once. A larger one is only aggregated.
-    """
+def measure_batch(requests: DataFrame, limit_bytes: int = BATCH_LIMIT_BYTES) -> RequestBatch:
+    """Size of the batch, from one small aggregate; rejects missing vectors and
+    unequal lengths. A batch within ``limit_bytes`` is fetched as well."""
     asked = requests.withColumn("pool_limit", pool_limit())
-    head = asked.limit(probe_rows + 1).toArrow()
-    if head.num_rows <= probe_rows:
-        vectors = head.column("qvec")
-        lengths = set(pc.list_value_length(vectors).to_pylist())
-        limits = head.column("pool_limit").to_numpy().astype(np.int64)
-        sizes = (head.num_rows, max(lengths - {None}, default=0), int(limits.sum()),
-                 int(limits.max(initial=0)))
-        batch = RequestBatch(*sizes, rows=head)
-        uneven = len(lengths) > 1 or None in lengths
-    else:
-        size = F.size("qvec")
-        row = asked.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("qvec").alias("vectors"),
-            F.min(size).alias("shortest"),
-            F.max(size).alias("longest"),
-            F.sum(F.col("pool_limit").cast("long")).alias("total"),
-            F.max("pool_limit").alias("widest"),
-        ).first()
-        batch = RequestBatch(row.n, row.longest or 0, row.total, row.widest)
-        uneven = row.vectors != row.n or row.shortest != row.longest
-    if uneven:
+    size = F.size("qvec")
+    carried = F.struct(*[name for name in requests.columns if name != "qvec"])
+    row = asked.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("qvec").alias("vectors"),
+        F.min(size).alias("shortest"),
+        F.max(size).alias("longest"),
+        F.sum(F.col("pool_limit").cast("long")).alias("total"),
+        F.max("pool_limit").alias("widest"),
+        F.sum(F.octet_length(F.to_json(carried)).cast("long")).alias("carried"),
+    ).first()
+    if row.n and (row.vectors != row.n or row.shortest != row.longest):
         raise ValueError("request vectors are missing or differ in length")
-    return batch
+    batch = RequestBatch(row.n, row.longest or 0, row.total or 0, row.widest or 0, row.carried or 0)
+    if batch.footprint > limit_bytes:
+        return batch
+    return replace(batch, rows=asked.toArrow())
 
 
 class NearestRows:
@@ -234,8 +226,6 @@ def _scan_in_place(requests, catalog, batch):
     """Ship the (measured, small) batch; scan the catalog where it lies."""
     spark_schema, arrow_schema = _result_types(requests)
     table = batch.rows
-    if table is None:
-        table = requests.select("query_id", pool_limit().alias("pool_limit"), "qvec").toArrow()
     if table.num_rows == 0:
         return catalog.sparkSession.createDataFrame([], spark_schema)
     ids = _column(table, "query_id").cast(arrow_schema.field(0).type)
@@ -262,7 +252,8 @@ def _scan_in_cells(requests, catalog, batch, limit_bytes):
     cores = catalog.sparkSession.sparkContext.defaultParallelism
     shards = max(1, math.ceil(4 * cores / blocks))
     dim = batch.dim
-    vector = "array<double>"
+    same = requests.schema["qvec"].dataType == catalog.schema["embedding"].dataType
+    vector = requests.schema["qvec"].dataType if same else T.ArrayType(T.DoubleType())
     block_side = requests.select(
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
@@ -333,8 +324,8 @@ def knn_candidates(
     Returns ``query_id, rank, row_id, dist`` with ties broken by ``row_id``. The
     distance is the squared L2 distance in DOUBLE.
     """
-    batch = batch or measure_batch(requests.select("query_id", "k", "pool", "qvec"))
-    if batch.footprint <= limit_bytes:
+    batch = batch or measure_batch(requests.select("query_id", "k", "pool", "qvec"), limit_bytes)
+    if batch.rows is not None:
         partial = _scan_in_place(requests, catalog, batch)
     else:
         partial = _scan_in_cells(requests, catalog, batch, limit_bytes)

@@ -24,7 +24,8 @@ def _complete(requests: DataFrame, embedder) -> DataFrame:
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(default))
     if "qvec" not in requests.columns:
-        requests = embed_table(requests, "q", embedder, "qvec")
+        # Measured, fetched or joined later: the model must not run each time.
+        requests = freeze(embed_table(requests, "q", embedder, "qvec"), "requests")
     filters = [name for name in ("filters",) if name in requests.columns]
     return requests.select("query_id", "q", "k", "pool", "boost", "qvec", *filters)
 
@@ -53,7 +54,7 @@ def ranked_pool(
 ) -> DataFrame:
     """Candidate pool of every request with distance, boosted score and rank."""
     requests = _complete(requests, embedder)
-    return _ranked(requests, index, measure_batch(requests), limit_bytes)
+    return _ranked(requests, index, measure_batch(requests, limit_bytes), limit_bytes)
 
 
 def hybrid_search(
@@ -82,7 +83,7 @@ def search_with_facets(
     decides whether they may be broadcast.
     """
     requests = _complete(with_search_defaults(requests), embedder)
-    batch = measure_batch(requests)
+    batch = measure_batch(requests, limit_bytes)
     hits = freeze(best_k(_ranked(requests, index, batch, limit_bytes)), "hits")
     asked = _as_computed(requests, batch)
     return filter_hits(hits, asked, skus, facets, batch.result_bytes <= limit_bytes)

@@ -21,9 +21,6 @@ REQUEST_K = 50
 # (vectors plus running top lists) stays below this many bytes.
 BATCH_LIMIT_BYTES = 64 << 20
 
-# Batches up to this many requests are fetched by the job that measures them.
-PROBE_ROWS = 4096
-
 # Fan-in of the first of the two top-k merges: one query's partial lists are
 # spread over this many groups, so a single query never lands in one task.
 MERGE_FANIN = 32

@@ -85,16 +85,24 @@ def test_knn_equals_brute_force_on_both_paths(spark, limit_bytes):
     assert got == sorted(expected)
 
 
-def test_large_batches_are_only_aggregated(spark):
+def test_large_batches_are_only_measured(spark):
     requests, *_ = batch(spark)
-    small, large = sl.measure_batch(requests), sl.measure_batch(requests, probe_rows=5)
+    small, large = sl.measure_batch(requests), sl.measure_batch(requests, limit_bytes=100)
     assert small.rows is not None and large.rows is None
-    for name in ("requests", "dim", "total_limit", "max_limit"):
-        assert getattr(small, name) == getattr(large, name)
-    catalog, _ = vectors(spark)
-    assert rows_of(sl.knn_candidates(requests, catalog, large)) == rows_of(
-        sl.knn_candidates(requests, catalog, small)
+    assert small.footprint == large.footprint > 100
+    assert small.requests == 23 and small.dim == 6
+
+
+def test_whole_search_is_the_same_on_both_paths(spark):
+    requests, *_ = batch(spark)
+    catalog, _ = vectors(spark, n=80)
+    index = catalog.select(
+        "row_id", F.col("row_id").cast("string").alias("brand_sku_id"), F.lit("l").alias("label"),
+        F.lit("b").alias("brandLabel"), F.lit("c").alias("category"), F.lit("RT").alias("brand_phonetic"),
+        "embedding",
     )
+    one, other = (sl.hybrid_search(requests, index, limit_bytes=b) for b in (64 << 20, 1000))
+    assert rows_of(one) == rows_of(other) != []
 
 
 def test_pool_larger_than_catalog_and_empty_sides(spark):
@@ -119,7 +127,7 @@ def test_odd_vectors_fail(spark):
     with pytest.raises(ValueError, match="differ in length"):
         sl.measure_batch(uneven)
     with pytest.raises(ValueError, match="differ in length"):
-        sl.measure_batch(uneven, probe_rows=1)
+        sl.measure_batch(uneven, limit_bytes=1)
     for vector in ([1.0], None):
         catalog = spark.createDataFrame([(1, [1.0, 2.0]), (2, vector)], CATALOG)
         with pytest.raises(Exception, match="expected vectors of length 2"):
