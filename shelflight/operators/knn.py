@@ -94,11 +94,14 @@ class NearestRows:
     summing squared differences in element order, which is what decides.
     """
 
-    def __init__(self, vectors, limits, tile_cells=4_000_000, buffer_rows=262_144):
+    def __init__(self, vectors, limits, tile_cells=1_000_000, buffer_rows=262_144):
         self.queries = np.ascontiguousarray(vectors, dtype=np.float64)
-        self.singles = self.queries.astype(np.float32)
         self.limits = np.asarray(limits, dtype=np.int64)
         self.norms = np.einsum("ij,ij->i", self.queries, self.queries)
+        ones = np.ones((len(self.queries), 1))
+        wide = np.hstack([-2.0 * self.queries, ones])
+        with np.errstate(over="ignore"):
+            self.doubled = {np.float64: wide, np.float32: wide.astype(np.float32)}
         self.bound = np.where(self.limits > 0, np.inf, -np.inf)
         self.tile_cells = tile_cells
         self.buffer_rows = buffer_rows
@@ -112,23 +115,20 @@ class NearestRows:
         norms = np.einsum("ij,ij->i", rows, rows)
         largest = max(np.nanmax(norms, initial=0.0), np.nanmax(self.norms, initial=0.0))
         # Single precision is enough to discard; double where it could overflow.
-        single = largest < 1e30
-        kind = np.float32 if single else np.float64
-        queries = self.singles if single else self.queries
-        columns, query_norms, row_norms = rows.T.astype(kind), self.norms.astype(kind), norms.astype(kind)
+        kind = np.float32 if largest < 1e30 else np.float64
+        # One product gives |row|^2 - 2 query.row, the distance less |query|^2.
+        left = self.doubled[kind]
+        right = np.vstack([rows.T, norms]).astype(kind)
         error = 4 * (rows.shape[1] + 8) * np.finfo(kind).eps
         step = max(1, self.tile_cells // len(rows))
-        for start in range(0, len(queries), step):
+        for start in range(0, len(left), step):
             tile = slice(start, start + step)
             with np.errstate(invalid="ignore", over="ignore"):
-                near = queries[tile] @ columns
-                near *= -2
-                near += query_norms[tile, None]
-                near += row_norms
+                near = left[tile] @ right
             slack = error * (self.norms[tile] + largest)
             self._bound_from(near, slack, start)
             # "not greater" rather than "less": a NaN distance ranks last but stays.
-            reach = (self.bound[tile] + slack).astype(kind)
+            reach = (self.bound[tile] + slack - self.norms[tile]).astype(kind)
             cells = np.flatnonzero(~(near > reach[:, None]))
             if len(cells):
                 query, row = np.divmod(cells, len(rows))
@@ -146,7 +146,7 @@ class NearestRows:
                 continue
             chosen = open_rows[self.limits[start + open_rows] == limit]
             nth = np.partition(near[chosen], limit - 1, axis=1)[:, limit - 1]
-            bound = nth + slack[chosen]
+            bound = nth + self.norms[start + chosen] + slack[chosen]
             self.bound[start + chosen] = np.where(np.isnan(bound), np.inf, bound)
 
     def _measure(self, query, row, rows, chunk=65_536):

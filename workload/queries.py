@@ -21,7 +21,8 @@ def index(spark, sf):
     """Stored vectors next to the lookup columns of their SKU."""
     vectors = table(spark, sf, "embeddings")
     vectors = vectors.select(F.col("vec_id").alias("row_id"), "embedding")
-    return sl.lookup_columns(catalog(spark, sf)).join(vectors, "row_id")
+    raw = view(spark, sf, "catalog_raw").join(vectors.select("row_id"), "row_id", "left_semi")
+    return sl.lookup_columns(sl.prepare_catalog(raw)).join(vectors, "row_id")
 
 
 def requests(spark, sf):
