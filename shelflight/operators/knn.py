@@ -65,10 +65,18 @@ def pool_limit():
 
 def measure_batch(requests: DataFrame, limit_bytes: int = BATCH_LIMIT_BYTES) -> RequestBatch:
     """Size of the batch, from one small aggregate; rejects missing vectors and
-    unequal lengths. A batch within ``limit_bytes`` is fetched as well."""
-    asked = requests.withColumn("pool_limit", pool_limit())
+    unequal lengths. A batch within ``limit_bytes`` is fetched as well; it is
+    kept between the two steps, so that it is computed once."""
+    asked = requests.withColumn("pool_limit", pool_limit()).persist()
+    try:
+        return _measured(asked, limit_bytes)
+    finally:
+        asked.unpersist()
+
+
+def _measured(asked: DataFrame, limit_bytes: int) -> RequestBatch:
     size = F.size("qvec")
-    carried = F.struct(*[name for name in requests.columns if name != "qvec"])
+    carried = F.struct(*[name for name in asked.columns if name != "qvec"])
     row = asked.agg(
         F.count(F.lit(1)).alias("n"),
         F.count("qvec").alias("vectors"),

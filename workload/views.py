@@ -74,17 +74,19 @@ VIEWS = {
     "supplier_requests": """
         SELECT concat('s', CAST(s_suppkey AS STRING)) AS query_id, s_suppkey % 6 AS filter_case
         FROM {supplier}""",
-    # every vector is a request; its text is the name of some part
+    # a search log: every product name under every brand that has a vector, with
+    # the group's first vector; its length is bounded by the vocabulary
     "search_requests": """
-        SELECT concat('q', CAST(e.vec_id AS STRING)) AS query_id, p.p_name AS q,
-               CASE e.vec_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END AS k,
-               CASE e.vec_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE 100 END AS pool,
-               CAST(CASE WHEN e.vec_id % 5 = 0 THEN 0 ELSE 0.2 END AS DOUBLE) AS boost,
-               e.vec_id % 2 = 0 AS only_active,
-               e.vec_id % 6 AS filter_case,
-               e.embedding AS qvec
-        FROM {embeddings} e
-        JOIN {part} p ON p.p_partkey = (e.vec_id * 7) % (SELECT count(*) FROM {part})""",
+        SELECT concat('q', CAST(first_id AS STRING)) AS query_id, q,
+               CASE first_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END AS k,
+               CASE first_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE 100 END AS pool,
+               CAST(CASE WHEN first_id % 5 = 0 THEN 0 ELSE 0.2 END AS DOUBLE) AS boost,
+               first_id % 2 = 0 AS only_active,
+               first_id % 6 AS filter_case,
+               qvec
+        FROM (SELECT p_name AS q, min(vec_id) AS first_id, min_by(embedding, vec_id) AS qvec
+              FROM {embeddings} JOIN {part} ON p_partkey = vec_id
+              GROUP BY p_name, p_brand) AS log""",
     # the name of every part, in changing case, as one list of terms
     "terms": """
         SELECT 'all' AS query_id, p_partkey AS pos,
