@@ -6,7 +6,7 @@ are alternatives, keys must all hold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelflight.functions.price import LABELS
 from shelflight.operators.facets import usable_facets
@@ -45,8 +45,16 @@ def _held(values: DataFrame, owner: str, *also: Column) -> DataFrame:
 
     ``values`` has ``attribute`` structs; repeats are removed before the
     shuffle, so a set holds at most the distinct attributes asked for.
+
+    The length of the owner changes no group. It keeps the groups from being
+    reused as the partitions of the join that follows, which then shuffles both
+    of its sides itself and can split an owner that most rows refer to.
     """
-    gathered = values.groupBy(owner).agg(F.collect_set("attribute").alias("attributes"), *also)
+    gathered = (
+        values.groupBy(owner, F.length(owner).alias("_length"))
+        .agg(F.collect_set("attribute").alias("attributes"), *also)
+        .drop("_length")
+    )
     keys = F.array_distinct("attributes.standard_key")
     held = F.map_from_arrays(
         keys,
@@ -136,11 +144,11 @@ def filter_hits(
         "query_id", (F.coalesce(F.size("filters"), F.lit(0)) > 0).alias("_filtered")
     )
     has_id = F.coalesce(F.col("brand_sku_id") != "", F.lit(False))
-    marked = hits.join(asked, "query_id", "left").withColumns(
-        {
-            "_has_id": has_id,
-            "_any_id": F.bool_or(has_id).over(Window.partitionBy("query_id")),
-        }
+    lists = hits.groupBy("query_id").agg(F.bool_or(has_id).alias("_any_id"))
+    marked = (
+        hits.join(asked, "query_id", "left")
+        .join(lists, "query_id")
+        .withColumn("_has_id", has_id)
     )
     usable = marked.where(F.col("_filtered") & F.col("_has_id"))
     matched = (

@@ -10,10 +10,11 @@ from shelflight.settings import ensure_checkpoint_dir
 def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """``row_number()`` over ``group`` by ``order`` without one task per group.
 
-    A range sort spreads every group over as many tasks as its rows need. The
-    sorted rows are frozen by a checkpoint (a repeated range sort may cut
-    elsewhere), numbered within their partition, and shifted by the rows of the
-    partitions before them: one number per partition, summed in one small task.
+    A range sort spreads every group over as many partitions as its rows need.
+    The sorted rows are frozen by a checkpoint (a repeated range sort may cut
+    elsewhere) and numbered within (partition, group). Only the first group of a
+    partition can have begun before it, so the rows to add are one number per
+    partition.
     """
     ensure_checkpoint_dir(df.sparkSession)
     frozen = (
@@ -21,19 +22,20 @@ def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name
         .withColumn("_at", F.monotonically_increasing_id())
         .checkpoint()
         .withColumn("_part", F.shiftright("_at", 33))
-        .withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+        .withColumn("_group", F.struct(*group))
     )
-    # Rows before each (partition, group): partition offset minus group start.
-    sizes = frozen.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    # One row per sorted partition, so the broadcast is bounded by the task count.
-    placed = frozen.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_at") + F.col("_shift"))
-    keys = [F.struct(*group).alias("_group")]
-    starts = placed.groupBy(*keys).agg(F.min("_at").alias("_start"))
-    numbered = placed.withColumn("_group", F.struct(*group)).join(starts, "_group")
-    return numbered.withColumn(name, (F.col("_at") - F.col("_start") + 1).cast("int")).drop(
-        "_group", "_part", "_at", "_shift", "_start"
+    sizes = frozen.groupBy("_part", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    before = (
+        Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    earlier = sizes.select("_part", "_group", F.sum("_n").over(before).alias("_earlier"))
+    earlier = F.broadcast(earlier.where(F.col("_earlier").isNotNull()))
+    local = F.row_number().over(Window.partitionBy("_part", "_group").orderBy("_at"))
+    return (
+        frozen.withColumn(name, local)
+        .join(earlier, ["_part", "_group"], "left")
+        .withColumn(name, (F.col(name) + F.coalesce("_earlier", F.lit(0))).cast("int"))
+        .drop("_group", "_part", "_at", "_earlier")
     )
 
 

@@ -80,3 +80,15 @@ def test_listed_options_are_brought_together_once(spark, sf):
     text = plan(sl.facet_options(q.rows(spark, sf), q.prices(spark, sf)))
     shuffles = re.findall(r"Arguments: hashpartitioning\((\w+)#\d+, \d+\), (\w+)", text)
     assert shuffles == [("query_id", "REPARTITION_BY_COL")]  # shared by all windows
+
+
+def test_a_sku_in_most_lists_can_be_split(spark, sf):
+    """The join on the id shuffles both sides itself, as skew handling needs."""
+    asked = with_filters(view(spark, sf, "supplier_requests"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(sl.filter_skus(view(spark, sf, "supplier_lists"), asked, q.skus(spark, sf), q.facets(spark, sf)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = re.findall(r"Arguments: hashpartitioning\((brand_sku_id#\d+), \d+\)", text)
+    assert len(shuffles) == 2
