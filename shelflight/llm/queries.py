@@ -5,8 +5,11 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflight.llm import bpe, sharding, simhash
+from shelflight.llm import (
+    bpe, decontaminate, langid, neighbours, repair, sharding, simhash, wordpiece,
+)
 from shelflight.llm.common import table
+from shelflight.settings import scratch_path
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -14,12 +17,28 @@ def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    documents, benchmark = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return decontaminate.digest(decontaminate.verbatim_matches(documents, benchmark))
+
+
+def op3_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = neighbours.usable(table(spark, sf, "embeddings"))
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks, pattern = vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN
     encoded = bpe.encode(table(spark, sf, "documents"), ranks, pattern)
     return bpe.round_trip_digest(bpe.decode(encoded, ranks, pattern))
 
 
+def op7_repair_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token-shards")
+    repair.write_shards(table(spark, sf, "documents"), path, vocabularies.path("byte_bpe_50k.json"))
+    return repair.digest(repair.decoded_documents(repair.read_shards(spark, path)))
+
+
 def op8_feistel_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf, "documents"), shards=8)
     return placed.select(
@@ -28,10 +47,26 @@ def op8_feistel_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_wordpiece_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return wordpiece.token_counts(
+        table(spark, sf, "documents"), vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    )
+
+
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    found = langid.identify(table(spark, sf, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_nearest_vectors": op3_nearest_vectors,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_repair_tokens": op7_repair_tokens,
     "op8_feistel_sharding": op8_feistel_sharding,
+    "op9_wordpiece_counts": op9_wordpiece_counts,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
