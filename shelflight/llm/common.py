@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +81,40 @@ def list_array(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Bytes that are not part of a word become spaces and A-Z lower case (fixed values).
+WORD_BYTES = bytes(
+    b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32
+    for b in range(256)
+)
+
+
+def words(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters and digits and of all other characters beyond ASCII, in
+    lower case as far as A-Z go."""
+    return text.translate(WORD_BYTES).split()
+
+
+def word_numbers(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The words of a text as numbers of a vocabulary; 0 for any other word."""
+    parts = [np.zeros(0, np.int32)]
+    for piece in blocks(text.translate(WORD_BYTES)):
+        split = piece.split()
+        parts.append(np.fromiter(map(vocabulary.get, split, repeat(0)), np.int32, len(split)))
+    return np.concatenate(parts)
+
+
+def known_runs(numbers: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, word places) of the runs of at least ``shortest`` known words, each
+    closed by a 0."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], numbers > 0, [False]))))
+    starts, stops = edges[::2], edges[1::2]
+    long = stops - starts >= shortest
+    starts, stops = starts[long], stops[long]
+    sizes = stops - starts + 1
+    index = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    index += np.repeat(starts, sizes)
+    run = np.append(numbers, 0)[index]
+    run[np.cumsum(sizes) - 1] = 0
+    return run, index

@@ -14,13 +14,12 @@ document is shuffled.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shelflight.llm.common import PIECE, blocks, column, id_and_text, map_arrow
+from shelflight.llm.common import column, id_and_text, known_runs, map_arrow, word_numbers, words
 
 WINDOW = 10
 # Bytes of test texts in one broadcast block.
@@ -28,22 +27,12 @@ BLOCK_BYTES = 16 << 20
 # (suffix, place) pairs handled at once.
 PAIRS = 1 << 20
 
-# Bytes that are not part of a word become spaces and A-Z lower case (fixed values).
-_WORD_BYTES = bytes(
-    b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32
-    for b in range(256)
-)
-
 MATCH = T.StructType([
     T.StructField("item_id", T.StringType()), T.StructField("item_start", T.IntegerType()),
     T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()),
 ])
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_WORD_BYTES).split()
-
-
 @dataclass
 class Tests:
     """A block of test items as word numbers; ``starts`` delimits the items."""
@@ -141,30 +130,13 @@ def find_matches(documents: list[bytes], tests: list[Suffixes]) -> tuple[list[in
     counts: list[int] = [0] * len(documents)
     found: list[list[tuple]] = [[] for _ in documents]
     for number, block in enumerate(tests):
-        get, zeros = block.vocabulary.get, repeat(0)
         runs, places, owners = [], [], []
         for d, text in enumerate(documents):
-            seen = 0
-            flat = text.translate(_WORD_BYTES)
-            parts = []
-            for piece in blocks(flat, PIECE):
-                split = piece.split()
-                parts.append(np.fromiter(map(get, split, zeros), np.int32, len(split)))
-                seen += len(split)
+            ids = word_numbers(text, block.vocabulary)
             if not number:
-                counts[d] = seen
-            ids = parts[0] if len(parts) == 1 else np.concatenate(parts)
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], ids > 0, [False]))))
-            starts, stops = edges[::2], edges[1::2]
-            long = stops - starts >= block.shortest
-            starts, stops = starts[long], stops[long]
-            if len(starts):
-                # each run with its closing 0, which no match crosses
-                sizes = stops - starts + 1
-                index = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                index += np.repeat(starts, sizes)
-                run = np.append(ids, 0)[index]
-                run[np.cumsum(sizes) - 1] = 0
+                counts[d] = len(ids)
+            run, index = known_runs(ids, block.shortest)
+            if len(run):
                 runs.append(run)
                 places.append(index)
                 owners.append(np.full(len(run), d))

@@ -6,7 +6,8 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelflight.llm import (
-    bpe, decontaminate, langid, neighbours, repair, sharding, simhash, wordpiece,
+    bpe, decontaminate, langid, licenses, neighbours, repair, sharding, simhash, warc,
+    wordpiece,
 )
 from shelflight.llm.common import table
 from shelflight.settings import scratch_path
@@ -27,6 +28,19 @@ def op3_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op4_warc_in_zip(spark: SparkSession, sf: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf, "pages"), scratch_path(spark, "warc"))
+    return warc.read_archives(archives, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf, "documents"), licenses.templates(spark))
+    runs = F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
+    return found.withColumn("spans", F.array_join(runs, ";"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks, pattern = vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN
     encoded = bpe.encode(table(spark, sf, "documents"), ranks, pattern)
@@ -62,6 +76,8 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_nearest_vectors": op3_nearest_vectors,
+    "op4_warc_in_zip": op4_warc_in_zip,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_repair_tokens": op7_repair_tokens,
     "op8_feistel_sharding": op8_feistel_sharding,

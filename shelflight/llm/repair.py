@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,11 +45,15 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 # A pair must occur this often in a shard to become a rule.
 LEAST_COUNT = 24
-ROUNDS = 10
+ROUNDS = 5
 # Rules of one round; rounds let later pairs hold earlier nonterminals.
-ROUND_RULES = 1024
+ROUND_RULES = 4096
 # Bytes of cached encodings in a worker.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
+# New units given to the library as one text.
+STRUNG = 512
+# Characters of text that are split at once.
+TOGETHER = 1 << 19
 
 # A unit ends before white space that follows something else; the pre-tokenizer
 # always splits there and merges stay within its parts.
@@ -55,7 +61,12 @@ _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class Encoder:
-    """The library's ids of whole texts, encoding each distinct unit once."""
+    """The library's ids of whole texts, encoding each distinct unit once.
+
+    New units are given to the library strung together, as they stand in a text:
+    each begins with white space after something else. The ids are told apart by the
+    bytes that each id stands for.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,22 +74,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.terminals = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        self.terminals = max(vocabulary.values(), default=-1) + 1
+        # a byte-level token's text has one character for each byte
+        self.bytes = np.zeros(self.terminals, np.int64)
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian uint32 ids."""
-        units = _UNIT.findall(text)
-        new = list(set(units).difference(self.known))
+    def _learn(self, units: list[str]) -> None:
+        alone = [u for u in units if u[0] not in WHITE or u[-1] in WHITE]
+        for unit, made in zip(alone, self._library(alone)):
+            self.known[unit] = made.tobytes()
+        strung = list(set(units).difference(alone))
+        groups = [strung[i:i + STRUNG] for i in range(0, len(strung), STRUNG)]
+        for group, ids in zip(groups, self._library(["".join(g) for g in groups])):
+            ends = np.cumsum(self.bytes[ids])
+            sizes = np.fromiter((len(u.encode()) for u in group), np.int64, len(group))
+            cuts = (4 * (np.searchsorted(ends, np.cumsum(sizes)) + 1)).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(group, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+        self.held += sum(map(len, units)) * 5 + 160 * len(units)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.frombuffer(array("I", e.ids), np.uint32).astype("<u4", copy=False) for e in made]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian uint32 ids of each text."""
+        split = [_UNIT.findall(text) for text in texts]
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.held = 0
+        new = set().union(*split).difference(self.known)
         if new:
-            if self.held > CACHE_BYTES:
-                self.known.clear()
-                self.held, new = 0, list(set(units))
-            for unit, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[unit] = np.array(made.ids, "<u4").tobytes()
-                self.held += 160 + 5 * len(unit)
-        return b"".join(map(self.known.__getitem__, units))
+            self._learn(list(new))
+        get = self.known.__getitem__
+        return [b"".join(map(get, units)) for units in split]
 
 
 @lru_cache(maxsize=2)
@@ -198,6 +230,18 @@ def _shard_row(ids: list[bytes], names: pa.Array, terminals: int, part: int, blo
     ]
 
 
+def _encoded(library: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of a batch's texts, about TOGETHER characters at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py().decode("utf-8", "replace"))
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield from library.encode(held)
+            held, size = [], 0
+    yield from library.encode(held)
+
+
 def write_shards(
     docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
     shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text",
@@ -227,10 +271,9 @@ def write_shards(
 
         for batch in batches:
             taken = 0
-            for i, text in enumerate(batch.column("text")):
-                made = library.encode(text.as_py().decode("utf-8", "replace")) + end
-                ids.append(made)
-                size += len(made) // 4
+            for i, made in enumerate(_encoded(library, batch.column("text"))):
+                ids.append(made + end)
+                size += len(made) // 4 + 1
                 if size >= shard_tokens:
                     names.append(batch.column("doc_id").slice(taken, i + 1 - taken))
                     yield shard()
