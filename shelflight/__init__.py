@@ -16,6 +16,7 @@ from shelflight.plans.index_build import (
     brand_codes, build_catalog_index, lookup_columns, lookup_export, prepare_catalog,
 )
 from shelflight.plans.search import facets_for_hits, hybrid_search, ranked_pool, search_with_facets
+from shelflight.settings import clear_scratch
 from shelflight.sources.catalog import catalog_head, read_jdbc, read_table, scan_csv
 from shelflight.sources.requests import (
     accepted, facet_request_hits, filter_rows, normalise_requests, rejected,

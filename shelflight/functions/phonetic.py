@@ -18,8 +18,13 @@ from pyspark.sql import Column, functions as F
 
 from shelflight.functions.text import tokens
 
+# Accented letters count as their base letter (fixed values).
+_ACCENTED, _BASE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
 # (pattern, replacement), in order of application (fixed values).
 RULES = (
+    # digits and signs have no sound; a later "0" can only be the code of "th"
+    (r"[^a-z ]", ""),
     # doubled letters and word starts
     (r"([^c])\1+", "$1"),
     (r"^(?:k(?=n)|g(?=n)|p(?=n)|a(?=e)|w(?=r))", ""),
@@ -62,13 +67,13 @@ RULES = (
     (r"(?<=[CSPTG])h", ""),
     (r"h", "H"),
     (r"(?<!^)[aeiou]", ""),
-    (r"[^A-Za-z0 ]", ""),
 )
 
 
 def metaphone(text: Column) -> Column:
     """Upper-case Metaphone code; empty when nothing in the text is a letter."""
-    coded = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), RULES, F.lower(text))
+    plain = F.translate(F.lower(text), _ACCENTED, _BASE)
+    coded = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), RULES, plain)
     return F.upper(coded)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,21 +28,16 @@ MERGE_FANIN = 32
 PRICE_KEY = "price_range"
 
 
-_local_dir: str | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` when the cluster
-    names one; on a single machine (tests) a temporary folder of this process."""
-    global _local_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="shelflight-")
-    return _local_dir
+    """Folder all executors can reach, for intermediate data of this application:
+    below ``spark.checkpoint.dir`` where the session names one, else the context's
+    checkpoint folder, else the session's warehouse."""
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
+    return os.path.join(root, f"shelflight-{spark.sparkContext.applicationId}")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -55,3 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate data. DataFrames that were returned
+    before read from it, so their results must be written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from shelflight.functions.text import missing_to_null
+from shelflight.operators.ranking import spread_row_number
 
+# The columns a catalog must have (fixed values).
 REQUIRED_COLUMNS = ("brand_sku_id", "product_name", "brand_name", "category_name")
 
-# File splits whose offsets may be broadcast (about 200 bytes each).
-_BROADCAST_SPLITS = 100_000
+_OPTIONS = {
+    "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "mode": "FAILFAST",
+}
 
 
 def require_columns(df: DataFrame) -> DataFrame:
@@ -25,46 +29,91 @@ def scan_csv(
     """Read a catalog CSV with a header; all columns are text, ``row_id`` is the
     0-based position over the files in path order.
 
+    The read is complete or fails: a record with too few or too many cells, a file
+    whose header differs from the first one's, and a quote left open at the end of a
+    line raise an error in the job. Line breaks inside quotes need ``multi_line=True``,
+    at the price of one task per file; otherwise files are split by lines.
+
     The position needs no sort of the data: rows are numbered within their file
-    split, and splits are shifted by the rows before them (one number per
-    split). Identity thus depends on the files alone. ``multi_line`` allows
-    line breaks inside quotes, at the price of one task per file.
+    split, and splits are shifted by the rows before them (one number per split).
+    Identity thus depends on the files alone. Blank lines are no rows.
     """
-    options = {
-        "header": True, "multiLine": multi_line, "escape": '"', "columnPruning": False,
-        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
-    }
-    names = spark.read.options(**options).csv(path).columns
+    header = spark.read.options(header=True, multiLine=multi_line, **_OPTIONS).csv(path)
+    names = header.columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    raw = require_columns(spark.read.schema(schema).options(**options).csv(path))
+    require_columns(header)
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    if multi_line:
+        reader = spark.read.schema(schema).options(
+            header=True, multiLine=True, enforceSchema=False, columnPruning=False, **_OPTIONS
+        )
+        records = reader.csv(path).select(F.struct(*[_quoted(n) for n in names]).alias("_record"), *at)
+        headers = F.lit(0)
+    else:
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        records = lines.where(_closed_quotes()).select(
+            F.from_csv("value", _ddl(names), _OPTIONS).alias("_record"), *at
+        )
+        headers = F.when(F.col("_block") == 0, 1).otherwise(0)
+    placed = records.withColumn("_seen", F.monotonically_increasing_id())
 
-    placed = raw.select(
-        *[missing_to_null(F.col(f"`{name}`")).alias(name) for name in names],
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-    ).withColumn("_seen", F.monotonically_increasing_id())
     splits = placed.groupBy("_file", "_block").agg(
-        F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_rows")
+        F.min("_seen").alias("_first"), (F.count(F.lit(1)) - headers).alias("_rows")
     )
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift")
     )
-    if len(raw.inputFiles()) + 2 * raw.rdd.getNumPartitions() <= _BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    numbered = placed.join(offsets, ["_file", "_block"]).select(
-        (F.col("_seen") - F.col("_first") + F.col("_shift")).alias("row_id"), *names
+    place = F.col("_seen") - F.col("_first") - headers
+    numbered = placed.join(offsets, ["_file", "_block"]).where(
+        F.when(place >= 0, True).otherwise(_same_header(names))
+    ).select(
+        (place + F.col("_shift")).alias("row_id"),
+        *[missing_to_null(F.col("_record")[name]).alias(name) for name in names],
     )
     if max_rows is not None and max_rows > 0:
         numbered = numbered.where(F.col("row_id") < max_rows)
     return numbered
 
 
+def _ddl(names: list[str]) -> str:
+    return ", ".join("`" + name.replace("`", "``") + "` string" for name in names)
+
+
+def _closed_quotes() -> Column:
+    """True, or an error if a quote is open at the end of the line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    error = F.raise_error(F.lit("a quote is open at the end of a line: set multi_line=True"))
+    return F.when(quotes % 2 == 0, True).otherwise(error.cast("boolean"))
+
+
+def _same_header(names: list[str]) -> Column:
+    """False (a header is no row), or an error if it differs from ``names``."""
+    cells = F.array(*[F.coalesce(F.col("_record")[n], F.lit(f"_c{i}")) for i, n in enumerate(names)])
+    error = F.raise_error(F.concat(F.lit("another header in "), F.col("_file")))
+    return F.when(cells == F.array(*map(F.lit, names)), False).otherwise(error.cast("boolean"))
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def catalog_head(catalog: DataFrame, max_rows: int | None) -> DataFrame:
-    """The first ``max_rows`` rows by ``row_id``; all rows for none or 0."""
+    """The first ``max_rows`` rows by ``row_id``; all rows for none or 0.
+
+    Rows stay in their partitions: ids that count from 0, as the readers give them,
+    are cut by value; of other ids the last one to stay is looked up first.
+    """
     if max_rows is None or max_rows <= 0:
         return catalog
-    return catalog.orderBy("row_id").limit(max_rows)
+    below = F.col("row_id") < max_rows
+    seen = catalog.agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(below, 1)).alias("below"), F.min("row_id").alias("least")
+    ).first()
+    if seen["rows"] == 0 or (seen["least"] >= 0 and seen["below"] == min(max_rows, seen["rows"])):
+        return catalog.where(below)
+    numbered = spread_row_number(catalog.withColumn("_all", F.lit(1)), ["_all"], [F.col("row_id")], "_place")
+    return numbered.where(F.col("_place") <= max_rows).select(*catalog.columns)
 
 
 def read_table(spark: SparkSession, source: str, fmt: str | None = None, **options) -> DataFrame:

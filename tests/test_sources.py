@@ -50,6 +50,40 @@ def test_scan_csv_with_line_breaks(spark, tmp_path):
     assert [(r.row_id, r.product_name) for r in found] == [(0, "two\nlines"), (1, "p")]
 
 
+HEADER = "brand_sku_id,product_name,brand_name,category_name"
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+@pytest.mark.parametrize("bad", ["1,p,b,c,extra", "1,p,b"])
+def test_scan_csv_refuses_rows_of_another_length(spark, tmp_path, bad, multi_line):
+    write(str(tmp_path / "in" / "a.csv"), HEADER, "0,p,b,c", bad)
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        sl.scan_csv(spark, str(tmp_path / "in"), multi_line=multi_line).select("product_name").collect()
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_scan_csv_refuses_another_header(spark, tmp_path, multi_line):
+    write(str(tmp_path / "in" / "a.csv"), HEADER, "0,p,b,c")
+    write(str(tmp_path / "in" / "b.csv"), "product_name,brand_sku_id,brand_name,category_name", "p,1,b,c")
+    with pytest.raises(Exception, match="header"):
+        sl.scan_csv(spark, str(tmp_path / "in"), multi_line=multi_line).collect()
+
+
+@pytest.mark.parametrize("second", ["y\",b,c", "y\",b,c,\"z\",d"])
+def test_scan_csv_refuses_unannounced_line_breaks(spark, tmp_path, second):
+    write(str(tmp_path / "in" / "a.csv"), HEADER, '1,"x', second)
+    with pytest.raises(Exception, match="multi_line=True"):
+        sl.scan_csv(spark, str(tmp_path / "in")).collect()
+
+
+def test_scan_csv_skips_blank_lines_and_header_only_files(spark, tmp_path):
+    write(str(tmp_path / "in" / "a.csv"), HEADER, "", "0,p,b,c", "  ", "1,q,b,c")
+    write(str(tmp_path / "in" / "b.csv"), HEADER)
+    write(str(tmp_path / "in" / "c.csv"), HEADER, "2,r,b,c")
+    found = sl.scan_csv(spark, str(tmp_path / "in"))
+    assert rows_of(found, "row_id", "brand_sku_id") == [(0, "0"), (1, "1"), (2, "2")]
+
+
 def test_required_columns(spark, tmp_path):
     write(str(tmp_path / "in" / "a.csv"), "product_name,brand_name", "p,b")
     with pytest.raises(ValueError, match=r"\['brand_sku_id', 'category_name'\]"):
@@ -60,6 +94,11 @@ def test_catalog_head(spark):
     df = spark.range(50).withColumnRenamed("id", "row_id").repartition(5)
     assert [r.row_id for r in sl.catalog_head(df, 3).orderBy("row_id").collect()] == [0, 1, 2]
     assert sl.catalog_head(df, None).count() == sl.catalog_head(df, 0).count() == 50
+    assert sl.catalog_head(df, 99).count() == 50
+    assert sl.catalog_head(df, 30).rdd.getNumPartitions() > 1
+    sparse = df.selectExpr("row_id * 7 - 20 as row_id", "'x' as other")
+    assert rows_of(sl.catalog_head(sparse, 3)) == [(-13, "x"), (-20, "x"), (-6, "x")]
+    assert sl.catalog_head(df.where("row_id < 0"), 3).count() == 0
 
 
 def test_prepared_catalog(spark):
@@ -90,7 +129,7 @@ def test_index_build_writes_index_lookup_and_meta(spark):
     assert "crème" in lookup[0]
     assert json.loads(lookup[3]) == {
         "row_id": 3, "id": "3", "label": "ring 3", "brandLabel": "crème", "category": "tools",
-        "brand_phonetic": json.loads(lookup[3])["brand_phonetic"]}
+        "brand_phonetic": "KRM"}
     assert json.loads(lines_of(f"{path}/meta")[0]) == {
         "num_items": 20, "embedding_dim": 64, "model": "hashed-ngrams", "index_type": "exact_l2"}
     assert rows_of(sl.read_index(spark, f"{path}/index")) == rows_of(index)
