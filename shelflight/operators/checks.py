@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 
 def vector_check(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -20,14 +20,24 @@ def vector_check(df: DataFrame, column: str = "embedding") -> DataFrame:
     )
 
 
-def require_consistent_vectors(df: DataFrame, column: str = "embedding") -> None:
-    """Raise when rows lack a vector or vectors differ in length."""
+def require_consistent_vectors(df: DataFrame, column: str = "embedding") -> Row:
+    """The row of ``vector_check``; raises when rows lack a vector or vectors differ
+    in length."""
     found = vector_check(df, column).first()
     if not found.consistent:
         raise ValueError(
             f"{found.num_items} rows, {found.num_vectors} vectors of length "
             f"{found.min_dim} to {found.max_dim}"
         )
+    return found
+
+
+def meta_record(spark: SparkSession, found: Row, model: str) -> DataFrame:
+    """The index metadata record from a checked index's counts."""
+    return spark.createDataFrame(
+        [(found.num_items, found.max_dim or 0, model, "exact_l2")],
+        "num_items bigint, embedding_dim int, model string, index_type string",
+    )
 
 
 def index_meta(index: DataFrame, model: str) -> DataFrame:

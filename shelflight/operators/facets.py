@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflight.functions.text import facet_title, is_usable
-from shelflight.operators.ranking import row_numbers
+from shelflight.operators.ranking import row_numbers, small_side
 from shelflight.settings import PRICE_KEY
 
 # Options shown per key before "and N more" (fixed values).
@@ -41,8 +41,8 @@ def facet_rows(
 
     ``only_active`` limits rows to active keys of ``keys``: for all lists
     (``True``) or per list, by the name of a boolean column of ``hits``.
-    ``small_hits`` says that the lists are of checked, small size: facets are
-    then filtered in place and not shuffled.
+    ``small_hits`` says that the lists are expected to be small: they are counted,
+    and within the limit facets are filtered in place and not shuffled.
     """
     rows = usable_facets(facets)
     active = None
@@ -55,7 +55,7 @@ def facet_rows(
         listed = hits.select("query_id", "brand_sku_id", F.col(only_active).alias("_strict"))
         rows = rows.join(active.withColumn("_live", F.lit(True)), "standard_key", "left")
     listed = listed.distinct()
-    joined = rows.join(F.broadcast(listed) if small_hits else listed, "brand_sku_id")
+    joined = rows.join(small_side(listed) if small_hits else listed, "brand_sku_id")
     if isinstance(only_active, str):
         joined = joined.where(~F.coalesce("_strict", F.lit(False)) | F.col("_live").isNotNull())
     return joined.select(
@@ -86,9 +86,13 @@ def facet_totals(counts: DataFrame) -> DataFrame:
 
 def facet_bundle_rows(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """Facet rows followed by price rows. Where a list has price rows, data rows
-    that happen to use the same key are replaced by them."""
-    replaced = prices.select("query_id", "standard_key").distinct()
-    kept = rows.join(replaced, ["query_id", "standard_key"], "left_anti")
+    that happen to use the same key are replaced by them.
+
+    Only rows with that key meet the lists that have prices; all others pass by
+    without a shuffle."""
+    same_key = F.coalesce(F.col("standard_key") == PRICE_KEY, F.lit(False))
+    unpriced = rows.where(same_key).join(prices.select("query_id").distinct(), "query_id", "left_anti")
+    kept = rows.where(~same_key).unionByName(unpriced)
     return kept.unionByName(prices, allowMissingColumns=True)
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelflight.functions.price import LABELS
 from shelflight.operators.facets import usable_facets
 from shelflight.operators.prices import price_labels
+from shelflight.operators.ranking import is_small, small_side
 from shelflight.settings import PRICE_KEY
+from shelflight.sources.sinks import freeze
 
 
 def _usable_values(key: Column, values: Column, price_aware: bool) -> Column:
@@ -44,17 +46,11 @@ def _held(values: DataFrame, owner: str, *also: Column) -> DataFrame:
     """Attributes of each owner as a map from key to its distinct values.
 
     ``values`` has ``attribute`` structs; repeats are removed before the
-    shuffle, so a set holds at most the distinct attributes asked for.
-
-    The length of the owner changes no group. It keeps the groups from being
-    reused as the partitions of the join that follows, which then shuffles both
-    of its sides itself and can split an owner that most rows refer to.
+    shuffle, so a set holds at most the distinct attributes asked for. The sets
+    are written: they are read by several steps, and a join with them shuffles
+    both of its sides itself, so an owner that most rows refer to can be split.
     """
-    gathered = (
-        values.groupBy(owner, F.length(owner).alias("_length"))
-        .agg(F.collect_set("attribute").alias("attributes"), *also)
-        .drop("_length")
-    )
+    gathered = values.groupBy(owner).agg(F.collect_set("attribute").alias("attributes"), *also)
     keys = F.array_distinct("attributes.standard_key")
     held = F.map_from_arrays(
         keys,
@@ -65,7 +61,7 @@ def _held(values: DataFrame, owner: str, *also: Column) -> DataFrame:
             ),
         ),
     )
-    return gathered.withColumn("held", held).drop("attributes")
+    return freeze(gathered.withColumn("held", held), "attribute-sets")
 
 
 def _satisfied() -> Column:
@@ -93,11 +89,12 @@ def filter_skus(
     Each SKU's asked-for attributes are gathered into one set, combined before
     the shuffle on its id. A hit then meets its request's conditions and its
     SKU's set in one row, so no join multiplies rows. ``small_hits`` says that
-    the lists are of checked, small size: attributes of other SKUs are then
-    dropped where they are read.
+    the lists are expected to be small: they are counted, and within the limit
+    attributes of other SKUs are dropped where they are read.
     """
-    conditions = requests.select(
-        "query_id", _conditions(F.col("filters"), price_aware=True).alias("conditions")
+    conditions = freeze(
+        requests.select("query_id", _conditions(F.col("filters"), price_aware=True).alias("conditions")),
+        "conditions",
     )
     restricting = conditions.where(F.size("conditions") > 0)
     hits = hits.select("query_id", "brand_sku_id")
@@ -121,9 +118,9 @@ def filter_skus(
     )
     values = values.union(priced)
     if small_hits:
-        ids = F.broadcast(hits.select("brand_sku_id").distinct())
+        ids = small_side(hits.select("brand_sku_id").distinct())
         values = values.join(ids, "brand_sku_id", "left_semi")
-    sets = _held(values, "brand_sku_id", F.bool_or("known").alias("known")).where("known")
+    sets = _held(values, "brand_sku_id", F.bool_or("known").alias("known")).where("known").drop("attributes")
     matched = listed.join(sets, "brand_sku_id").where(_satisfied()).select("query_id", "brand_sku_id")
     return matched.unionByName(untouched)
 
@@ -156,7 +153,7 @@ def filter_hits(
         .distinct()
         .withColumn("_matched", F.lit(True))
     )
-    if small_hits:
+    if small_hits and is_small(hits):
         matched = F.broadcast(matched)
     return (
         marked.join(matched, ["query_id", "brand_sku_id"], "left")
@@ -178,8 +175,9 @@ def filter_products(
     returned as they are.
 
     Work is done once per distinct filter map and handed to its requests at the
-    end, so a popular filter costs no more than a rare one. Each map is looked
-    up by its rarest key only; the SKUs found are then checked in one row
+    end, so a popular filter costs no more than a rare one. Facets are read once,
+    into one set per SKU of the attributes that any map asks for. Each map looks
+    SKUs up by its rarest key only; the SKU's set, in the same row, is then checked
     against all keys, so a value most SKUs have multiplies nothing unless a map
     asks for nothing rarer.
     """
@@ -192,16 +190,21 @@ def filter_products(
             ),
         )
     )
-    asked = requests.select(
-        "query_id",
-        F.size(entries).alias("required"),
-        F.when(F.size(entries) > 0, F.to_json(entries)).alias("filter_set"),
-        F.map_from_entries(entries).alias("conditions"),
+    asked = requests.select("query_id", entries.alias("entries")).withColumn("text", F.to_json("entries"))
+    restricting = asked.where(F.size("entries") > 0)
+    # Few and short: one row and one number for each distinct map.
+    sets = freeze(
+        restricting.groupBy("text").agg(F.first("entries").alias("entries"))
+        .select("text", F.monotonically_increasing_id().alias("set_no"),
+                F.map_from_entries("entries").alias("conditions")),
+        "filter-sets",
     )
-    sets = asked.where("required > 0").groupBy("filter_set").agg(
-        F.any_value("conditions").alias("conditions")
+    numbered = freeze(
+        asked.select("query_id", F.when(F.size("entries") > 0, F.col("text")).alias("text"))
+        .join(sets.select("text", "set_no"), "text", "left").select("query_id", "set_no"),
+        "numbered-requests",
     )
-    wanted = _wanted(sets, "filter_set")
+    wanted = _wanted(sets, "set_no")
 
     pairs = ["standard_key", "facet_value"]
     values = (
@@ -213,31 +216,27 @@ def filter_products(
         )
         .join(wanted.select(*pairs).distinct(), pairs, "left_semi")
     )
-    frequent = values.groupBy(*pairs).agg(F.count(F.lit(1)).alias("n"))
-    per_key = (
+    held = _held(values.select("id", F.struct(*pairs).alias("attribute")), "id")
+    having = held.select("id", "held", F.explode("attributes").alias("attribute")).select("id", "held", "attribute.*")
+    frequent = having.groupBy(*pairs).agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
         wanted.join(frequent, pairs, "left")
-        .groupBy("filter_set", "standard_key")
+        .groupBy("set_no", "standard_key")
         .agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+        .groupBy("set_no")
+        .agg(F.min(F.struct("n", "standard_key"))["standard_key"].alias("standard_key"))
     )
-    rarest = per_key.groupBy("filter_set").agg(
-        F.min_by("standard_key", F.struct("n", "standard_key")).alias("standard_key")
-    )
-    entry = wanted.join(rarest, ["filter_set", "standard_key"])
-    candidates = values.join(entry, pairs).select("filter_set", "id").distinct()
-    held = _held(values.select("id", F.struct(*pairs).alias("attribute")), "id")
-    matched = (
-        candidates.join(held, "id")
-        .join(sets.select("filter_set", "conditions"), "filter_set")
-        .where(_satisfied())
-        .select("filter_set", "id")
+    entry = freeze(
+        wanted.join(rarest, ["set_no", "standard_key"]).join(sets.select("set_no", "conditions"), "set_no"),
+        "rarest-entries",
     )
+    matched = having.join(entry, pairs).where(_satisfied()).select("set_no", "id")
     labels = (
         matched.join(skus.select("id", F.col("label").alias("product_name")), "id")
-        .select("filter_set", "product_name")
+        .select("set_no", "product_name")
         .distinct()
     )
-    found = asked.where("required > 0").select("query_id", "filter_set").join(labels, "filter_set")
-    found = found.select("query_id", "product_name")
+    found = numbered.where(F.col("set_no").isNotNull()).join(labels, "set_no").select("query_id", "product_name")
     if names is None:
         return found
     names = names.select("query_id", "product_name")
@@ -248,5 +247,5 @@ def filter_products(
         .where(F.col("_named").isNull() | F.col("_listed").isNotNull())
         .select("query_id", "product_name")
     )
-    unfiltered = asked.where("required = 0").select("query_id")
+    unfiltered = numbered.where(F.col("set_no").isNull()).select("query_id")
     return limited.unionByName(names.join(unfiltered, "query_id", "left_semi"))

@@ -5,15 +5,14 @@ task streams its share of the catalog as Arrow batches past the request
 vectors and keeps the running nearest rows of every request. A task emits at
 most ``limit`` rows per request; no pair table exists anywhere.
 
-Two ways to bring requests and catalog together, chosen by the measured batch:
-
-* within ``BATCH_LIMIT_BYTES`` the request vectors are shipped to every task
-  once, and the catalog is scanned in place without a shuffle;
-* above it, requests are hashed into blocks below the limit and catalog rows
-  into shards; one shuffle brings each (block, shard) cell together, sorted so
-  that the block arrives first and the shard streams past it.
-
-Both end in the same two-step merge of the partial lists.
+The catalog is never shuffled. The measured batch is cut in blocks of at most
+``BATCH_LIMIT_BYTES``; a block is shipped to every task, and the catalog is
+scanned in place once for each block. With several blocks, a first look at the
+start of some partitions bounds each request's list, and each block's lists are
+merged and written before the next block is shipped, so the driver holds one
+block at a time.
+
+The partial lists are merged in two steps.
 """
 
 from __future__ import annotations
@@ -21,19 +20,29 @@ from __future__ import annotations
 import math
 import sys
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelflight.settings import BATCH_LIMIT_BYTES, MERGE_FANIN
+from shelflight.sources.sinks import freeze
 
 # Tasks get this module by value, so executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# The largest number of rows that a request may ask for.
+MAX_LIMIT = 2**31 - 1
+# Partitions and rows of each that the first look takes.
+FIRST_PARTITIONS = 64
+FIRST_ROWS = 65_536
+
+
 @dataclass(frozen=True)
 class RequestBatch:
     """A measured request batch; ``rows`` holds it when it is small."""
@@ -43,6 +52,7 @@ class RequestBatch:
     total_limit: int
     max_limit: int
     other_bytes: int = 0
+    id_bytes: int = 0
     rows: pa.Table | None = None
 
     @property
@@ -54,18 +64,17 @@ class RequestBatch:
     @property
     def result_bytes(self) -> int:
         """Upper bound of the candidate table, known before it is computed."""
-        return self.total_limit * 64
+        return self.total_limit * (64 + self.id_bytes)
 
 
 def pool_limit():
     """Rows pulled per request: the larger of ``pool`` and ``k``."""
-    wider = F.greatest(F.col("pool"), F.col("k"), F.lit(0))
-    return F.least(wider, F.lit(2**31 - 1)).cast("int")
+    return F.greatest(F.col("pool").cast("long"), F.col("k").cast("long"), F.lit(0).cast("long"))
 
 
 def measure_batch(requests: DataFrame, limit_bytes: int = BATCH_LIMIT_BYTES) -> RequestBatch:
-    """Size of the batch, from one small aggregate; rejects missing vectors and
-    unequal lengths. A batch within ``limit_bytes`` is fetched as well; it is
+    """Size of the batch, from one small aggregate; rejects missing vectors,
+    unequal lengths, repeated ids and limits beyond 2^31 - 1. A batch within ``limit_bytes`` is fetched as well; it is
     kept between the two steps, so that it is computed once."""
     asked = requests.withColumn("pool_limit", pool_limit()).persist()
     try:
@@ -82,13 +91,21 @@ def _measured(asked: DataFrame, limit_bytes: int) -> RequestBatch:
         F.count("qvec").alias("vectors"),
         F.min(size).alias("shortest"),
         F.max(size).alias("longest"),
-        F.sum(F.col("pool_limit").cast("long")).alias("total"),
+        F.count_distinct(F.struct("query_id")).alias("ids"),
+        F.max(F.octet_length(F.col("query_id").cast("string"))).alias("id_bytes"),
+        F.sum("pool_limit").alias("total"),
         F.max("pool_limit").alias("widest"),
         F.sum(F.octet_length(F.to_json(carried)).cast("long")).alias("carried"),
     ).first()
     if row.n and (row.vectors != row.n or row.shortest != row.longest):
         raise ValueError("request vectors are missing or differ in length")
-    batch = RequestBatch(row.n, row.longest or 0, row.total or 0, row.widest or 0, row.carried or 0)
+    if row.ids != row.n:
+        raise ValueError("query_id is repeated within the batch")
+    if (row.widest or 0) > MAX_LIMIT:
+        raise ValueError(f"k or pool is above {MAX_LIMIT}")
+    batch = RequestBatch(
+        row.n, row.longest or 0, row.total or 0, row.widest or 0, row.carried or 0, row.id_bytes or 0
+    )
     if batch.footprint > limit_bytes:
         return batch
     return replace(batch, rows=asked.toArrow())
@@ -102,7 +119,7 @@ class NearestRows:
     summing squared differences in element order, which is what decides.
     """
 
-    def __init__(self, vectors, limits, tile_cells=1_000_000, buffer_rows=262_144):
+    def __init__(self, vectors, limits, bound=None, tile_cells=1_000_000, buffer_rows=262_144):
         self.queries = np.ascontiguousarray(vectors, dtype=np.float64)
         self.limits = np.asarray(limits, dtype=np.int64)
         self.norms = np.einsum("ij,ij->i", self.queries, self.queries)
@@ -110,7 +127,7 @@ class NearestRows:
         wide = np.hstack([-2.0 * self.queries, ones])
         with np.errstate(over="ignore"):
             self.doubled = {np.float64: wide, np.float32: wide.astype(np.float32)}
-        self.bound = np.where(self.limits > 0, np.inf, -np.inf)
+        self.bound = np.where(self.limits > 0, np.inf if bound is None else bound, -np.inf)
         self.tile_cells = tile_cells
         self.buffer_rows = buffer_rows
         empty = np.empty(0, dtype=np.int64)
@@ -217,8 +234,6 @@ def _emit(nearest, query_ids, limits, schema, rows=65_536):
 
 
 def _result_types(requests: DataFrame):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     id_type = requests.schema["query_id"].dataType
     spark_schema = (
         T.StructType()
@@ -230,94 +245,64 @@ def _result_types(requests: DataFrame):
     return spark_schema, to_arrow_schema(spark_schema)
 
 
-def _scan_in_place(requests, catalog, batch):
-    """Ship the (measured, small) batch; scan the catalog where it lies."""
-    spark_schema, arrow_schema = _result_types(requests)
-    table = batch.rows
-    if table.num_rows == 0:
-        return catalog.sparkSession.createDataFrame([], spark_schema)
-    ids = _column(table, "query_id").cast(arrow_schema.field(0).type)
-    limits = _column(table, "pool_limit").to_numpy().astype(np.int64)
-    vectors = _matrix(_column(table, "qvec"), batch.dim)
-    shipped = catalog.sparkSession.sparkContext.broadcast((ids, limits, vectors))
-    dim = batch.dim
+def _scan_in_place(catalog, spark_schema, shipped, dim):
+    """Partial lists of one shipped block; the catalog is scanned where it lies."""
+    arrow_schema = to_arrow_schema(spark_schema)
 
     def scan(batches):
-        query_ids, query_limits, query_vectors = shipped.value
-        nearest = NearestRows(query_vectors, query_limits)
+        query_ids, limits, vectors, bound = shipped.value
+        nearest = NearestRows(vectors, limits, bound)
         for part in batches:
             if part.num_rows:
                 nearest.offer(part.column(0).to_numpy(), _matrix(part.column(1), dim))
-        yield from _emit(nearest, query_ids, query_limits, arrow_schema)
+        yield from _emit(nearest, query_ids, limits, arrow_schema)
 
-    return catalog.select(F.col("row_id").cast("long"), "embedding").mapInArrow(scan, spark_schema)
+    return catalog.mapInArrow(scan, spark_schema)
 
 
-def _scan_in_cells(requests, catalog, batch, limit_bytes):
-    """Shuffle (request block, catalog shard) cells together and stream each."""
-    spark_schema, arrow_schema = _result_types(requests)
-    blocks = math.ceil(batch.footprint / limit_bytes)
-    cores = catalog.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, math.ceil(4 * cores / blocks))
-    dim = batch.dim
-    same = requests.schema["qvec"].dataType == catalog.schema["embedding"].dataType
-    vector = requests.schema["qvec"].dataType if same else T.ArrayType(T.DoubleType())
-    block_side = requests.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.lit(0).alias("side"),
-        "query_id",
-        pool_limit().alias("pool_limit"),
-        F.lit(None).cast("long").alias("row_id"),
-        F.col("qvec").cast(vector).alias("vec"),
-    )
-    id_type = requests.schema["query_id"].dataType
-    shard_side = catalog.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int").alias("shard"),
-        F.lit(1).alias("side"),
-        F.lit(None).cast(id_type).alias("query_id"),
-        F.lit(None).cast("int").alias("pool_limit"),
-        F.col("row_id").cast("long").alias("row_id"),
-        F.col("embedding").cast(vector).alias("vec"),
-    )
-    cells = (
-        block_side.unionByName(shard_side)
-        .repartition(blocks * shards, "block", "shard")
-        .sortWithinPartitions("block", "shard", "side")
-    )
+def _first_bounds(catalog, shipped, dim, queries):
+    """For each request of a block a distance within which ``limit`` rows lie, or
+    infinity: the best of what the first rows of some partitions show. It leaves
+    out no row that belongs in a list, and rows beyond it are never emitted."""
+    fields = T.StructType().add("query", T.IntegerType()).add("bound", T.DoubleType())
 
-    def stream(batches):
-        cell, waiting, nearest, ids, limits = None, [], None, None, None
-        for table in batches:
-            if not table.num_rows:
-                continue
-            keys = np.stack([table.column(i).to_numpy() for i in range(3)])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist(), table.num_rows]
-            for start, end in zip(edges, edges[1:]):
-                part = table.slice(start, end - start)
-                here, side = (keys[0, start], keys[1, start]), keys[2, start]
-                if here != cell:
-                    if nearest is not None:
-                        yield from _emit(nearest, ids, limits, arrow_schema)
-                    cell, waiting, nearest = here, [], None
-                if side == 0:
-                    waiting.append(part)
-                    continue
-                if not waiting and nearest is None:
-                    continue  # an empty request block
-                if nearest is None:
-                    block = pa.Table.from_batches(waiting)
-                    ids = _column(block, "query_id").cast(arrow_schema.field(0).type)
-                    limits = _column(block, "pool_limit").to_numpy().astype(np.int64)
-                    nearest = NearestRows(_matrix(_column(block, "vec"), dim), limits)
-                    waiting = []
-                nearest.offer(part.column(5).to_numpy(), _matrix(part.column(6), dim))
-        if nearest is not None:
-            yield from _emit(nearest, ids, limits, arrow_schema)
-
-    return cells.mapInArrow(stream, spark_schema)
+    def look(batches):
+        if TaskContext.get().partitionId() >= FIRST_PARTITIONS:
+            return
+        _, limits, vectors, _ = shipped.value
+        nearest, seen = NearestRows(vectors, limits), 0
+        for part in batches:
+            if part.num_rows:
+                nearest.offer(part.column(0).to_numpy(), _matrix(part.column(1), dim))
+            seen += part.num_rows
+            if seen >= FIRST_ROWS:
+                break
+        query, dist, _ = nearest.result()
+        counts = np.bincount(query, minlength=len(limits))
+        full = np.flatnonzero((counts == limits) & (limits > 0))
+        worst = dist[np.cumsum(counts)[full] - 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)), pa.array(worst)], schema=to_arrow_schema(fields)
+        )
+
+    found = catalog.mapInArrow(look, fields).groupBy("query").agg(F.min("bound").alias("bound")).toArrow()
+    bound = np.full(queries, np.inf)
+    bound[found["query"].to_numpy()] = found["bound"].to_numpy()
+    return np.where(np.isnan(bound), np.inf, bound)
+
+
+def _merged(partial, max_limit):
+    """The best rows of each request from its partial lists, in two steps: first in
+    MERGE_FANIN lanes, so that one request's lists are never in one task."""
+    nearest_first = (F.col("dist"), F.col("row_id"))
+    spread = Window.partitionBy("query_id", "_lane").orderBy(*nearest_first)
+    final = Window.partitionBy("query_id").orderBy(*nearest_first)
+    cut = (F.col("rank") <= max_limit) & (F.col("rank") <= F.col("pool_limit"))
+    lanes = partial.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(MERGE_FANIN)))
+    first = lanes.withColumn("rank", F.row_number().over(spread)).where(cut)
+    return first.withColumn("rank", F.row_number().over(final)).where(cut).select(
+        "query_id", "rank", "row_id", "dist"
+    )
 
 
 def knn_candidates(
@@ -332,26 +317,43 @@ def knn_candidates(
     Returns ``query_id, rank, row_id, dist`` with ties broken by ``row_id``. The
     distance is the squared L2 distance in DOUBLE.
     """
-    batch = batch or measure_batch(requests.select("query_id", "k", "pool", "qvec"), limit_bytes)
+    asked = requests.select("query_id", "k", "pool", "qvec")
+    batch = batch or measure_batch(asked, limit_bytes)
+    spark = catalog.sparkSession
+    spark_schema, arrow_schema = _result_types(requests)
+    vectors = catalog.select(F.col("row_id").cast("long"), "embedding")
+
+    def ship(table, bound=None):
+        ids = _column(table, "query_id").cast(arrow_schema.field(0).type)
+        limits = _column(table, "pool_limit").to_numpy().astype(np.int64)
+        return spark.sparkContext.broadcast((ids, limits, _matrix(_column(table, "qvec"), batch.dim), bound))
+
+    if batch.requests == 0:
+        return spark.createDataFrame([], "query_id string, rank int, row_id bigint, dist double").withColumn(
+            "query_id", F.col("query_id").cast(requests.schema["query_id"].dataType)
+        )
     if batch.rows is not None:
-        partial = _scan_in_place(requests, catalog, batch)
+        candidates = _merged(_scan_in_place(vectors, spark_schema, ship(batch.rows), batch.dim), batch.max_limit)
     else:
-        partial = _scan_in_cells(requests, catalog, batch, limit_bytes)
-
-    # First merge: a request's lists are spread over MERGE_FANIN groups.
-    nearest_first = (F.col("dist"), F.col("row_id"))
-    spread = Window.partitionBy("query_id", "_lane").orderBy(*nearest_first)
-    merged = (
-        partial.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(MERGE_FANIN)))
-        .withColumn("rank", F.row_number().over(spread))
-        .where(F.col("rank") <= batch.max_limit)
-    )
-    final = Window.partitionBy("query_id").orderBy(*nearest_first)
-    candidates = (
-        merged.withColumn("rank", F.row_number().over(final))
-        .where((F.col("rank") <= batch.max_limit) & (F.col("rank") <= F.col("pool_limit")))
-        .select("query_id", "rank", "row_id", "dist")
-    )
+        blocks = math.ceil(batch.footprint / limit_bytes)
+        numbered = freeze(
+            asked.withColumns({
+                "pool_limit": pool_limit(), "_block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"),
+            }), "request-blocks",
+        )
+        parts = []
+        for block in range(blocks):
+            table = numbered.where(F.col("_block") == block).toArrow()
+            if not table.num_rows:
+                continue
+            first = ship(table)
+            bound = _first_bounds(vectors, first, batch.dim, table.num_rows)
+            first.unpersist()
+            shipped = ship(table, bound)
+            partial = _scan_in_place(vectors, spark_schema, shipped, batch.dim)
+            parts.append(freeze(_merged(partial, batch.max_limit), "block-lists"))
+            shipped.unpersist()
+        candidates = reduce(DataFrame.unionByName, parts)
     # Its size is known from the batch, so a later join may broadcast it.
     return F.broadcast(candidates) if batch.result_bytes <= limit_bytes else candidates
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelflight.functions.price import (
     LABELS, bucket_label, bucket_max, bucket_min, bucket_number, in_price_window,
 )
+from shelflight.operators.ranking import small_side
 from shelflight.settings import PRICE_KEY
 
 
@@ -15,11 +16,12 @@ def price_range_facets(hits: DataFrame, skus: DataFrame, small_hits: bool = Fals
 
     Counts are combined per bucket number before the shuffle; labels and bounds
     are attached to the few rows that remain. ``small_hits`` says that the
-    lists are of checked, small size, so that SKUs need no shuffle.
+    lists are expected to be small: they are counted, and within the limit SKUs
+    need no shuffle.
     """
     listed = hits.select("query_id", F.col("brand_sku_id").alias("id")).distinct()
     if small_hits:
-        listed = F.broadcast(listed)
+        listed = small_side(listed)
     counted = (
         skus.where(in_price_window(F.col("consumerSellingPrice")))
         .select("id", bucket_number(F.col("consumerSellingPrice")).alias("bucket"))

@@ -1,10 +1,10 @@
-"""Row numbers within groups that may be too large for one task."""
+"""Row numbers within groups that may be too large for one task; counted broadcasts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelflight.settings import ensure_checkpoint_dir
+from shelflight.settings import SMALL_ROWS, ensure_checkpoint_dir
 
 
 def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
@@ -46,3 +46,13 @@ def row_numbers(
     if spread:
         return spread_row_number(df, group, order, name)
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table has SMALL_ROWS rows at most, by counting no more than that."""
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A table that is broadcast if its counted rows allow it, else as Spark chooses."""
+    return F.broadcast(df) if is_small(df) else df

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelflight.functions.phonetic import metaphone
 from shelflight.functions.text import normalise, search_text, strip
-from shelflight.operators.checks import index_meta, require_consistent_vectors
+from shelflight.operators.checks import meta_record, require_consistent_vectors
 from shelflight.operators.embedding import HashedNGrams, embed_table
 from shelflight.sources.catalog import catalog_head, require_columns
-from shelflight.sources.sinks import read_index, write_index, write_lookup, write_meta
+from shelflight.sources.sinks import freeze, read_index, write_index, write_lookup, write_meta
 
 
 def prepare_catalog(raw: DataFrame, null_text: str = "nan") -> DataFrame:
@@ -64,15 +64,16 @@ def build_catalog_index(
     raw: DataFrame, path: str, embedder=None, max_rows: int | None = None, null_text: str = "nan"
 ) -> DataFrame:
     """Build and write the index, lookup and metadata below ``path``; returns
-    the index as read back."""
+    the index as read back. Nothing is written there before the vectors are checked:
+    the index is built in the shared folder first, and one pass over its vectors
+    serves the check and the metadata."""
     embedder = embedder or HashedNGrams()
     prepared = prepare_catalog(catalog_head(raw, max_rows), null_text)
     embedded = embed_table(prepared, "search_text", embedder)
-    index = lookup_columns(embedded, "embedding")
-    write_index(index, f"{path}/index")
+    staged = freeze(lookup_columns(embedded, "embedding"), "staged-index")
+    found = require_consistent_vectors(staged)
+    write_index(staged, f"{path}/index")
     index = read_index(raw.sparkSession, f"{path}/index")
-    require_consistent_vectors(index)
     write_lookup(lookup_export(index), f"{path}/lookup")
-    write_meta(index_meta(index, embedder.name), f"{path}/meta")
+    write_meta(meta_record(raw.sparkSession, found, embedder.name), f"{path}/meta")
     return index
-

@@ -19,10 +19,9 @@ _METADATA = ("brand_sku_id", "label", "brandLabel", "category", "brand_phonetic"
 
 
 def _complete(requests: DataFrame, embedder) -> DataFrame:
-    """Requests with every column a search needs."""
-    for name, default in (("k", DEFAULT_K), ("pool", DEFAULT_POOL), ("boost", DEFAULT_BOOST)):
-        if name not in requests.columns:
-            requests = requests.withColumn(name, F.lit(default))
+    """Requests with every column a search needs; a value that a request does not
+    name is filled in, row by row."""
+    requests = with_search_defaults(requests, DEFAULT_K, DEFAULT_POOL, DEFAULT_BOOST)
     if "qvec" not in requests.columns:
         # Measured, fetched or joined later: the model must not run each time.
         requests = freeze(embed_table(requests, "q", embedder, "qvec"), "requests")
@@ -95,10 +94,11 @@ def facets_for_hits(
     facets: DataFrame,
     keys: DataFrame | None = None,
     only_active: bool | str = False,
-    spread: bool = False,
+    spread: bool = True,
     small_hits: bool = False,
 ) -> DataFrame:
     """Ordered facet options of hit lists. Computed over the lists as given;
-    the filters of a request play no part here."""
+    the filters of a request play no part here. ``spread=False`` is for lists that
+    a search's ``k`` bounds."""
     rows = facet_rows(hits, facets, keys, only_active, small_hits)
     return facet_options(rows, price_range_facets(hits, skus, small_hits), spread)

@@ -24,6 +24,9 @@ BATCH_LIMIT_BYTES = 64 << 20
 # spread over this many groups, so a single query never lands in one task.
 MERGE_FANIN = 32
 
+# Hit rows (two short ids each) that may be broadcast, after counting them.
+SMALL_ROWS = 500_000
+
 # Name of the synthetic price facet.
 PRICE_KEY = "price_range"
 

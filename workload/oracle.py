@@ -9,6 +9,7 @@ WORD_CODES = {
     "red": "RT", "blue": "BL", "large": "LRJ", "new": "N", "cold": "KLT", "hot": "HT",
     "old": "OLT", "small": "SML", "ring": "RNK", "bolt": "BLT", "anvil": "ANFL",
     "widget": "WJT", "gear": "JR", "gizmo": "JSM", "plate": "PLT", "rod": "RT", "nan": "NN",
+    "100": "", "2000": "", "3m 300": "M ", "çelik": "SLK", "celik": "SLK",
 }
 _CODES = "(VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in WORD_CODES.items()) + ") AS codes(word, code)"
 
@@ -35,7 +36,7 @@ _TEXT = f"""
     FROM ({_NORMAL})"""
 _LOOKUP = f"""
     SELECT row_id, brand_sku_id, product_name AS label, brand_name AS brandLabel,
-           category_name AS category, code AS brand_phonetic
+           category_name AS category, trim(code) AS brand_phonetic
     FROM ({_NORMAL}) JOIN {_CODES} ON word = brand_name"""
 
 # ---- search: one pass over all pairs, then the two ranking stages ----------
@@ -55,7 +56,8 @@ WITH req AS (SELECT * FROM {{search_requests}}),
      pool AS (SELECT query_id, CAST(n AS INTEGER) AS rank, row_id, dist FROM numbered WHERE n <= pool_limit),
      codes AS (
          SELECT DISTINCT query_id, code
-         FROM (SELECT query_id, unnest(string_split(q, ' ')) AS word FROM req) JOIN {_CODES} USING (word)),
+         FROM (SELECT query_id, unnest(string_split(q, ' ')) AS word FROM req) JOIN {_CODES} USING (word)
+         WHERE code <> ''),
      scored AS (
          SELECT p.query_id, p.row_id, l.brand_sku_id, l.label, l.brandLabel, l.category,
                 l.brand_phonetic, p.dist, r.k,
@@ -100,9 +102,16 @@ def _facet_ctes(lists: str, strict: str = "FALSE") -> str:
          GROUP BY query_id, b.label, shown_min, shown_max),
      facet_counts AS (
          SELECT query_id, standard_key, facet_value, count(*) AS cnt FROM facet_rows GROUP BY ALL),
+     priced AS (SELECT DISTINCT query_id FROM price_rows),
+     kept_rows AS (
+         SELECT * FROM facet_rows
+         WHERE standard_key <> 'price_range' OR query_id NOT IN (SELECT query_id FROM priced)),
+     kept_counts AS (
+         SELECT * FROM facet_counts
+         WHERE standard_key <> 'price_range' OR query_id NOT IN (SELECT query_id FROM priced)),
      options AS (
          SELECT query_id, standard_key, facet_value, cnt, facet_value AS display_name,
-                CAST(NULL AS DOUBLE) AS min_price, CAST(NULL AS DOUBLE) AS max_price FROM facet_counts
+                CAST(NULL AS DOUBLE) AS min_price, CAST(NULL AS DOUBLE) AS max_price FROM kept_counts
          UNION ALL
          SELECT query_id, standard_key, facet_value, cnt, concat(facet_value, ' (', cnt, ')'), min_price, max_price
          FROM price_rows),
@@ -170,6 +179,22 @@ _FILTERED_SEARCH = _SEARCH + "," + _filter_ctes("hits", "req") + """,
             OR EXISTS (SELECT 1 FROM matched m
                        WHERE m.query_id = h.query_id AND m.brand_sku_id = h.brand_sku_id))"""
 
+# a filter case with an empty key leaves that key out; case 0 restricts nothing
+_PRODUCTS = f"""
+    WITH facets AS (
+             SELECT brandSKUId AS id, standardKey, coalesce(standardValue, value) AS v
+             FROM {{brand_sku_facet}} WHERE isActive),
+         per_case AS (
+             SELECT w.filter_case, f.id
+             FROM {_CONDITIONS} JOIN facets f ON f.standardKey = w.standard_key AND f.v = w.facet_value
+             GROUP BY w.filter_case, f.id
+             HAVING count(DISTINCT w.standard_key) =
+                    (SELECT count(DISTINCT standard_key) FROM {_CONDITIONS.replace('AS w', 'AS x')}
+                     WHERE x.filter_case = w.filter_case)),
+         found AS (
+             SELECT DISTINCT r.query_id, s.label AS product_name
+             FROM {{supplier_requests}} r JOIN per_case USING (filter_case) JOIN {{brand_sku}} s USING (id))"""
+
 # ---- text ------------------------------------------------------------------
 
 _SPACE = r"[\s\x1c-\x1f]"
@@ -265,6 +290,10 @@ _SQL = {
                    (embedding[i]::DOUBLE - anchor[i]::DOUBLE) * (embedding[i]::DOUBLE - anchor[i]::DOUBLE))) AS dist
         FROM {embeddings} JOIN anchors USING (label)""",
     "knn_candidates": _SEARCH + " SELECT * FROM pool",
+    "knn_candidates_blocks": _SEARCH + " SELECT * FROM pool",
+    "scan_csv_multiline": """
+        SELECT row_id, brand_sku_id, concat(product_name, chr(10), '"', brand_sku_id, '",') AS product_name,
+               brand_name, category_name FROM {catalog_raw}""",
     "knn_lookup": _SEARCH + " SELECT pool.*, lookup.* EXCLUDE (row_id) FROM pool JOIN lookup USING (row_id)",
     "brand_phonetic": f"""SELECT DISTINCT brand_name, code AS brand_phonetic
                           FROM ({_NORMAL}) JOIN {_CODES} ON word = brand_name""",
@@ -281,11 +310,13 @@ _SQL = {
     "facet_rows": _FACETS + " SELECT * FROM facet_rows",
     "facet_rows_active": _FACETS + f" SELECT * FROM facet_rows WHERE standard_key IN {_ACTIVE_KEYS}",
     "facet_counts": _FACETS + " SELECT * FROM facet_counts",
-    "facet_totals": _FACETS + " SELECT * FROM totals WHERE standard_key <> 'price_range'",
+    "facet_totals": _FACETS + """
+        SELECT query_id, standard_key, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS n_options
+        FROM facet_counts GROUP BY ALL""",
     "price_range_facets": _FACETS + " SELECT * FROM price_rows",
-    "facet_bundle_rows": _FACETS + " SELECT * FROM facet_rows UNION ALL BY NAME SELECT * FROM price_rows",
+    "facet_bundle_rows": _FACETS + " SELECT * FROM kept_rows UNION ALL BY NAME SELECT * FROM price_rows",
     "facet_bundle": _FACETS + """,
-     bundle AS (SELECT * FROM facet_rows UNION ALL BY NAME SELECT * FROM price_rows),
+     bundle AS (SELECT * FROM kept_rows UNION ALL BY NAME SELECT * FROM price_rows),
      placed AS (
          SELECT *, row_number() OVER (PARTITION BY query_id, standard_key ORDER BY min_price NULLS FIRST,
                    facet_value, brand_sku_id, original_value, standard_value NULLS FIRST) AS row_no
@@ -319,19 +350,15 @@ _SQL = {
         SELECT id, consumerSellingPrice FROM {brand_sku}
         WHERE consumerSellingPrice < 100 OR (consumerSellingPrice >= 500 AND consumerSellingPrice < 1000)""",
     "filter_skus": "WITH" + _filter_ctes("{supplier_lists}", "{supplier_requests}") + " SELECT * FROM matched",
-    "filter_products": f"""
-        WITH facets AS (
-                 SELECT brandSKUId AS id, standardKey, coalesce(standardValue, value) AS v
-                 FROM {{brand_sku_facet}} WHERE isActive),
-             per_case AS (
-                 SELECT w.filter_case, f.id
-                 FROM {_CONDITIONS} JOIN facets f ON f.standardKey = w.standard_key AND f.v = w.facet_value
-                 GROUP BY w.filter_case, f.id
-                 HAVING count(DISTINCT w.standard_key) =
-                        (SELECT count(DISTINCT standard_key) FROM {_CONDITIONS.replace('AS w', 'AS x')}
-                         WHERE x.filter_case = w.filter_case))
-        SELECT DISTINCT r.query_id, s.label AS product_name
-        FROM {{supplier_requests}} r JOIN per_case USING (filter_case) JOIN {{brand_sku}} s USING (id)""",
+    "filter_products": _PRODUCTS + " SELECT * FROM found",
+    "filter_products_named": _PRODUCTS + """
+        SELECT * FROM found f
+        WHERE query_id NOT IN (SELECT query_id FROM {supplier_names})
+           OR EXISTS (SELECT 1 FROM {supplier_names} n
+                      WHERE n.query_id = f.query_id AND n.product_name = f.product_name)
+        UNION ALL
+        SELECT n.query_id, n.product_name FROM {supplier_names} n JOIN {supplier_requests} r USING (query_id)
+        WHERE r.filter_case = 0""",
     "sku_by_name": """
         WITH firsts AS (
             SELECT query_id, lower(term) AS folded, arg_min(term, pos) AS term FROM {terms} GROUP BY ALL)

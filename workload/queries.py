@@ -68,6 +68,17 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return sl.scan_csv(spark, path)
 
 
+def scan_csv_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a line break, quotes and a comma in every product name."""
+    path = scratch_path(spark, "catalog-csv")
+    tail = F.concat(F.lit('\n"'), F.col("brand_sku_id"), F.lit('",'))
+    raw = view(spark, sf, "catalog_raw").withColumn("product_name", F.concat("product_name", tail))
+    raw.orderBy("row_id").drop("row_id").write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return sl.scan_csv(spark, path, multi_line=True)
+
+
 def catalog_head(spark, sf):
     return sl.catalog_head(view(spark, sf, "catalog_raw"), 100)
 
@@ -123,6 +134,12 @@ def knn_candidates(spark, sf):
     return sl.knn_candidates(requests(spark, sf), index(spark, sf).select("row_id", "embedding"))
 
 
+def knn_candidates_blocks(spark, sf):
+    """The same search with a batch far above what is shipped at once."""
+    vectors = index(spark, sf).select("row_id", "embedding")
+    return sl.knn_candidates(requests(spark, sf), vectors, limit_bytes=100_000)
+
+
 def knn_lookup(spark, sf):
     found = knn_candidates(spark, sf)
     return sl.attach_lookup(found, sl.lookup_columns(catalog(spark, sf)))
@@ -204,7 +221,7 @@ def facets_for_hits(spark, sf):
     )
     hits = sl.freeze(hits, "hits")
     return sl.facets_for_hits(
-        hits, skus(spark, sf), facets(spark, sf), keys(spark, sf), "only_active"
+        hits, skus(spark, sf), facets(spark, sf), keys(spark, sf), "only_active", spread=False
     )
 
 
@@ -229,6 +246,13 @@ def filter_products(spark, sf):
     return sl.filter_products(asked, skus(spark, sf), facets(spark, sf))
 
 
+def filter_products_named(spark, sf):
+    """The same, limited to each supplier's own product names where it has a list."""
+    asked = with_filters(view(spark, sf, "supplier_requests"))
+    names = view(spark, sf, "supplier_names")
+    return sl.filter_products(asked, skus(spark, sf), facets(spark, sf), names)
+
+
 def sku_by_name(spark, sf):
     return sl.sku_by_name(view(spark, sf, "terms"), skus(spark, sf))
 
@@ -261,6 +285,7 @@ def normalize_requests(spark, sf):
 
 QUERIES = {
     "scan_csv": scan_csv,
+    "scan_csv_multiline": scan_csv_multiline,
     "catalog_head": catalog_head,
     "catalog_normalize": catalog_normalize,
     "search_text": search_text,
@@ -271,6 +296,7 @@ QUERIES = {
     "build_catalog_index": build_catalog_index,
     "vector_distance": vector_distance,
     "knn_candidates": knn_candidates,
+    "knn_candidates_blocks": knn_candidates_blocks,
     "knn_lookup": knn_lookup,
     "brand_phonetic": brand_phonetic,
     "query_phonetic": query_phonetic,
@@ -293,6 +319,7 @@ QUERIES = {
     "filter_price": filter_price,
     "filter_skus": filter_skus,
     "filter_products": filter_products,
+    "filter_products_named": filter_products_named,
     "sku_by_name": sku_by_name,
     "normalize_requests": normalize_requests,
     "search_with_facets": search_with_facets,

@@ -51,14 +51,20 @@ VIEWS = {
         FROM {part}
         UNION ALL
         SELECT CAST(l_partkey AS STRING), 'ship_flag', l_returnflag, l_returnflag, l_linestatus = 'O'
-        FROM {lineitem}""",
+        FROM {lineitem}
+        UNION ALL
+        SELECT CAST(p_partkey AS STRING), 'price_range',
+               CASE WHEN p_partkey % 2 = 0 THEN 'Free of charge' ELSE 'Under ₹100' END, 'as listed', true
+        FROM {part} WHERE p_partkey % 17 = 0""",
     "facet_keys": """
         SELECT * FROM (VALUES ('size', true), ('brand_line', true), ('type', false))
                AS t(standardKey, isActive)""",
     "catalog_raw": """
         SELECT p_partkey AS row_id, CAST(p_partkey AS STRING) AS brand_sku_id,
                concat('  ', upper(split_part(p_name, ' ', 2)), ' ') AS product_name,
-               CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE split_part(p_name, ' ', 1) END AS brand_name,
+               CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 41 = 0 THEN '100'
+                    WHEN p_partkey % 43 = 0 THEN '3M 300' WHEN p_partkey % 47 = 0 THEN 'Celik'
+                    ELSE split_part(p_name, ' ', 1) END AS brand_name,
                p_type AS category_name
         FROM {part}""",
     # every SKU, listed under its brand
@@ -66,6 +72,10 @@ VIEWS = {
         SELECT p_brand AS query_id, CAST(p_partkey AS STRING) AS brand_sku_id,
                length(p_brand) % 2 = 0 AS only_active
         FROM {part}""",
+    # every SKU name wanted of every supplier with an odd number
+    "supplier_names": """
+        SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS query_id, p_name AS product_name
+        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_suppkey % 2 = 1""",
     # every ordered part, listed under its supplier, repeats included
     "supplier_lists": """
         SELECT concat('s', CAST(l_suppkey AS STRING)) AS query_id,
@@ -77,7 +87,8 @@ VIEWS = {
     # a search log: every product name under every brand that has a vector, with
     # the group's first vector; its length is bounded by the vocabulary
     "search_requests": """
-        SELECT concat('q', CAST(first_id AS STRING)) AS query_id, q,
+        SELECT concat('q', CAST(first_id AS STRING)) AS query_id,
+               CASE WHEN first_id % 7 = 0 THEN concat(q, ' 2000 çelik') ELSE q END AS q,
                CASE first_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END AS k,
                CASE first_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE 100 END AS pool,
                CAST(CASE WHEN first_id % 5 = 0 THEN 0 ELSE 0.2 END AS DOUBLE) AS boost,
