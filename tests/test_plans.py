@@ -92,3 +92,53 @@ def test_a_sku_in_most_lists_can_be_split(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     shuffles = re.findall(r"Arguments: hashpartitioning\((brand_sku_id#\d+), \d+\)", text)
     assert len(shuffles) == 2
+
+
+def no_broadcast(spark, make):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(make())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_product_filters_read_facets_once(spark, sf, monkeypatch):
+    """One facet scan over all steps; at most 8 shuffles in the last one."""
+    from shelflight.operators import filters
+
+    written = []
+    real = filters.freeze
+    monkeypatch.setattr(filters, "freeze", lambda df, name: written.append(plan(df)) or real(df, name))
+    asked = with_filters(view(spark, sf, "supplier_requests"))
+    facets = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.col("p_partkey").cast("string").alias("brandSKUId"), F.lit("size").alias("standardKey"),
+        F.col("p_size").cast("string").alias("standardValue"), F.col("p_name").alias("value"),
+        F.lit(True).alias("isActive"),
+    )
+    text = no_broadcast(spark, lambda: sl.filter_products(asked, q.skus(spark, sf), facets))
+    scans = [part for part in [*written, text] for _ in re.findall(r"ReadSchema: .*p_size", part)]
+    assert len(scans) == 1
+    assert len(re.findall(r"\n\(\d+\) Exchange", text)) <= 8
+
+
+def test_request_blocks_leave_the_catalog_unshuffled(spark, sf, monkeypatch):
+    from shelflight.operators import knn
+
+    written = []
+    real = knn.freeze
+    monkeypatch.setattr(knn, "freeze", lambda df, name: written.append((name, df)) or real(df, name))
+    index = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+    sl.knn_candidates(q.requests(spark, sf), index, limit_bytes=20_000)
+    lists = [plan(df) for name, df in written if name == "block-lists"]
+    assert len(lists) > 3
+    for text in lists:
+        tree = text.split("\n\n")[0]
+        below = tree[tree.index("MapInArrow"):]
+        assert "Scan parquet" in below and "Exchange" not in below
+
+
+def test_rows_of_other_keys_pass_the_price_replacement(spark, sf):
+    text = no_broadcast(spark, lambda: sl.facet_bundle_rows(q.rows(spark, sf), q.prices(spark, sf)))
+    tree = text.split("\n\n")[0]
+    first = tree[tree.index("Union"):].split("LeftAnti")[0]
+    assert "query_id" not in first and "SortMergeJoin Inner" in first

@@ -258,3 +258,40 @@ def test_report(spark):
     first, second = sl.hit_report(hits).orderBy("rank").collect()
     assert (first.score_text, first.score_label, first.brand, first["product"]) == ("0.0000", "N/A", "N/A", "N/A")
     assert (second.score_text, second.score_label, second.category) == ("-0.1235", "-0.1235", "N/A")
+
+
+def test_request_values_are_filled_row_by_row(spark):
+    index = spark.createDataFrame(
+        [(i, str(i), f"p{i}", "red", "c", "RT", [float(i), 0.0]) for i in range(60)],
+        "row_id bigint, brand_sku_id string, label string, brandLabel string, category string, "
+        "brand_phonetic string, embedding array<float>",
+    )
+    asked = spark.createDataFrame(
+        [("a", "x", None, None, None, [0.0, 0.0]), ("b", "red", 2, 3, None, [0.0, 0.0])],
+        "query_id string, q string, k int, pool int, boost double, qvec array<float>",
+    )
+    found = sl.hybrid_search(asked, index).collect()
+    assert sorted((r.query_id, r["rank"]) for r in found) == [*(("a", i) for i in range(1, 6)), ("b", 1), ("b", 2)]
+    assert all(r.score is not None for r in found)
+    assert [r.score for r in found if r.query_id == "b"] == [-0.2, 0.8]
+
+
+@pytest.mark.parametrize("rows, message", [
+    ([("a", 5, 5), ("a", 5, 5)], "repeated"), ([("a", 2**31, 5)], "above"), ([("a", 5, 2**40)], "above"),
+])
+def test_bad_batches_are_refused(spark, rows, message):
+    asked = spark.createDataFrame(
+        [(*r, [1.0]) for r in rows], "query_id string, k bigint, pool bigint, qvec array<float>"
+    )
+    index = spark.createDataFrame([(1, [1.0])], "row_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match=message):
+        sl.knn_candidates(asked, index)
+
+
+def test_blocks_check_the_catalog_too(spark):
+    asked = spark.createDataFrame(
+        [(str(i), 1, 1, [1.0, 0.0]) for i in range(50)], "query_id string, k int, pool int, qvec array<float>"
+    )
+    bad = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "row_id bigint, embedding array<float>").repartition(2)
+    with pytest.raises(Exception, match="expected vectors of length 2"):
+        sl.knn_candidates(asked, bad, limit_bytes=500).count()

@@ -239,10 +239,11 @@ def _times(sql: str, factor: int) -> str:
 
 
 # Murmur3 (x86, 32 bit, seed 42) of "a b c": one 4-byte block and one tail byte.
-_EMBED = f"""
-WITH texts AS ({_TEXT}),
+def _embed_ctes(texts: str) -> str:
+    """CTE ``weights``: row_id, dim, weight of the texts of a table (row_id, search_text)."""
+    return f"""
      grams AS (
-         SELECT row_id, unnest(range(1, length(search_text) - 1)) AS i, search_text FROM texts),
+         SELECT row_id, unnest(range(1, length(search_text) - 1)) AS i, search_text FROM {texts}),
      bytes AS (
          SELECT row_id,
                 (ascii(search_text[i]) + 32 * 256 + ascii(search_text[i + 1]) * 65536
@@ -260,9 +261,50 @@ WITH texts AS ({_TEXT}),
      f2 AS (SELECT row_id, {_times('xor(h, h // 8192)', 0xc2b2ae35)} AS h FROM f1),
      f3 AS (SELECT row_id, xor(h, h // 65536) AS h FROM f2),
      hashed AS (SELECT row_id, CAST(h % 64 AS INTEGER) AS dim FROM f3),
-     counted AS (SELECT row_id, dim, CAST(count(*) AS DOUBLE) AS n FROM hashed GROUP BY ALL)
-SELECT row_id, dim, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY row_id)) AS FLOAT) AS weight
-FROM counted"""
+     counted AS (SELECT row_id, dim, CAST(count(*) AS DOUBLE) AS n FROM hashed GROUP BY ALL),
+     weights AS (
+         SELECT row_id, dim, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY row_id)) AS FLOAT) AS weight
+         FROM counted)"""
+
+
+_EMBED = f"WITH texts AS ({_TEXT})," + _embed_ctes("texts") + " SELECT * FROM weights"
+
+# Catalog and requests are embedded by the same SQL, the requests' ids shifted apart;
+# an element that neither vector has adds nothing to a distance.
+_BUILT = f"""
+WITH lookup AS ({_LOOKUP}),
+     asked AS (
+         SELECT query_id, q, coalesce(k, 5) AS k, coalesce(pool, 50) AS pool, coalesce(boost, 0.2) AS boost,
+                -CAST(substr(query_id, 2) AS BIGINT) - 1 AS row_id
+         FROM {{text_requests}}),
+     texts AS (SELECT * FROM ({_TEXT}) UNION ALL SELECT row_id, q FROM asked),""" + _embed_ctes("texts") + f""",
+     dense AS (
+         SELECT t.row_id, list(coalesce(w.weight, 0)::DOUBLE ORDER BY d.dim) AS vec
+         FROM texts t CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS dim) d
+         LEFT JOIN weights w ON w.row_id = t.row_id AND w.dim = d.dim
+         GROUP BY t.row_id),
+     pairs AS (
+         SELECT a.query_id, v.row_id, greatest(a.pool, a.k) AS pool_limit, a.k, a.boost,
+                list_sum(list_transform(range(1, 65), lambda i: (x.vec[i] - v.vec[i]) * (x.vec[i] - v.vec[i]))) AS dist
+         FROM asked a JOIN dense x ON x.row_id = a.row_id, dense v WHERE v.row_id >= 0),
+     pool AS (
+         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS n FROM pairs)
+         WHERE n <= pool_limit),
+     codes AS (
+         SELECT DISTINCT query_id, code
+         FROM (SELECT query_id, unnest(string_split(q, ' ')) AS word FROM asked) JOIN {_CODES} USING (word)
+         WHERE code <> ''),
+     scored AS (
+         SELECT p.*, l.* EXCLUDE (row_id),
+                CASE WHEN EXISTS (SELECT 1 FROM codes c
+                                  WHERE c.query_id = p.query_id AND c.code = l.brand_phonetic)
+                     THEN p.dist - p.boost ELSE p.dist END AS score
+         FROM pool p JOIN lookup l USING (row_id)),
+     ranked AS (
+         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, dist, row_id) AS INTEGER) AS rank
+         FROM scored)
+SELECT query_id, rank, brand_sku_id, label, brandLabel, category, brand_phonetic, score
+FROM ranked WHERE rank <= k"""
 
 _SQL = {
     "scan_csv": "SELECT row_id, brand_sku_id, product_name, brand_name, category_name FROM {catalog_raw}",
@@ -290,6 +332,31 @@ _SQL = {
                    (embedding[i]::DOUBLE - anchor[i]::DOUBLE) * (embedding[i]::DOUBLE - anchor[i]::DOUBLE))) AS dist
         FROM {embeddings} JOIN anchors USING (label)""",
     "knn_candidates": _SEARCH + " SELECT * FROM pool",
+    "search_built_index": _BUILT,
+    "lookup_json": f"""SELECT row_id, brand_sku_id AS id, label, brandLabel, category, brand_phonetic
+                       FROM ({_LOOKUP})""",
+    "meta_json": """SELECT count(*) AS num_items, CAST(64 AS INTEGER) AS embedding_dim,
+                           'hashed-ngrams' AS model, 'exact_l2' AS index_type FROM {part}""",
+    "rejected_requests": f"SELECT query_id, error FROM ({_NORMALISED}) WHERE error IS NOT NULL",
+    "facet_requests": """
+        WITH p AS (SELECT * FROM {facet_params}),
+             strict AS (
+                 SELECT query_id, coalesce(bool_or(name = 'active_facets' AND lower(value) = 'true'), FALSE) AS only_active,
+                        bool_or(name = 'brand_sku_ids') AS has_ids
+                 FROM p GROUP BY query_id)
+        SELECT query_id, value AS brand_sku_id, only_active, NULL AS error
+        FROM p JOIN strict USING (query_id) WHERE name = 'brand_sku_ids'
+        UNION ALL
+        SELECT query_id, NULL, NULL, 'No brand_sku_ids provided' FROM strict WHERE NOT has_ids""",
+    "knn_whole_catalog": """
+        WITH firsts AS (SELECT label, arg_min(embedding, vec_id) AS qvec FROM {embeddings} GROUP BY label),
+             pairs AS (
+                 SELECT concat('l', f.label) AS query_id, vec_id AS row_id,
+                        list_sum(list_transform(range(1, len(qvec) + 1), lambda i:
+                            (qvec[i]::DOUBLE - embedding[i]::DOUBLE) * (qvec[i]::DOUBLE - embedding[i]::DOUBLE))) AS dist
+                 FROM firsts f, {embeddings})
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS INTEGER) AS rank,
+               row_id, dist FROM pairs""",
     "knn_candidates_blocks": _SEARCH + " SELECT * FROM pool",
     "scan_csv_multiline": """
         SELECT row_id, brand_sku_id, concat(product_name, chr(10), '"', brand_sku_id, '",') AS product_name,

@@ -101,10 +101,34 @@ def index_meta(spark, sf):
     return sl.index_meta(index(spark, sf), "stored")
 
 
+def lookup_json(spark, sf):
+    """The lookup artifact of a built index, read back."""
+    path = scratch_path(spark, "index")
+    sl.build_catalog_index(view(spark, sf, "catalog_raw"), path)
+    schema = "row_id bigint, id string, label string, brandLabel string, category string, brand_phonetic string"
+    return spark.read.schema(schema).json(f"{path}/lookup")
+
+
+def meta_json(spark, sf):
+    """The metadata artifact of a built index, read back."""
+    path = scratch_path(spark, "index")
+    sl.build_catalog_index(view(spark, sf, "catalog_raw"), path)
+    schema = "num_items bigint, embedding_dim int, model string, index_type string"
+    return spark.read.schema(schema).json(f"{path}/meta")
+
+
 def vector_check(spark, sf):
     return sl.vector_check(table(spark, sf, "embeddings"))
 
 
+def search_built_index(spark, sf):
+    """Requests as texts, embedded by the library, over the index that it built from
+    every part: from text to hits."""
+    path = scratch_path(spark, "index")
+    built = sl.build_catalog_index(view(spark, sf, "catalog_raw"), path)
+    return sl.hybrid_search(view(spark, sf, "text_requests"), built, sl.HashedNGrams())
+
+
 def embed_catalog(spark, sf):
     """Non-zero vector elements of every row's search text."""
     embedded = sl.embed_table(
@@ -140,6 +164,17 @@ def knn_candidates_blocks(spark, sf):
     return sl.knn_candidates(requests(spark, sf), vectors, limit_bytes=100_000)
 
 
+def knn_whole_catalog(spark, sf):
+    """Pools wider than the index: every row of a label's vectors is ranked."""
+    vectors = table(spark, sf, "embeddings")
+    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qvec"))
+    asked = first.select(
+        F.concat(F.lit("l"), F.col("label").cast("string")).alias("query_id"), F.lit(5).alias("k"),
+        F.lit(1_000_000).alias("pool"), "qvec",
+    )
+    return sl.knn_candidates(asked, vectors.select(F.col("vec_id").alias("row_id"), "embedding"))
+
+
 def knn_lookup(spark, sf):
     found = knn_candidates(spark, sf)
     return sl.attach_lookup(found, sl.lookup_columns(catalog(spark, sf)))
@@ -283,6 +318,17 @@ def normalize_requests(spark, sf):
     )
 
 
+def facet_requests(spark, sf):
+    """Hit lists and switches of facet requests, and the requests without any id."""
+    params = view(spark, sf, "facet_params")
+    named = sl.facet_request_hits(params).withColumn("error", F.lit(None).cast("string"))
+    return named.unionByName(sl.rejected_facet_requests(params), allowMissingColumns=True)
+
+
+def rejected_requests(spark, sf):
+    return sl.rejected(sl.normalise_requests(view(spark, sf, "request_params")))
+
+
 QUERIES = {
     "scan_csv": scan_csv,
     "scan_csv_multiline": scan_csv_multiline,
@@ -291,12 +337,16 @@ QUERIES = {
     "search_text": search_text,
     "lookup_export": lookup_export,
     "index_meta": index_meta,
+    "lookup_json": lookup_json,
+    "meta_json": meta_json,
+    "search_built_index": search_built_index,
     "vector_check": vector_check,
     "embed_catalog": embed_catalog,
     "build_catalog_index": build_catalog_index,
     "vector_distance": vector_distance,
     "knn_candidates": knn_candidates,
     "knn_candidates_blocks": knn_candidates_blocks,
+    "knn_whole_catalog": knn_whole_catalog,
     "knn_lookup": knn_lookup,
     "brand_phonetic": brand_phonetic,
     "query_phonetic": query_phonetic,
@@ -322,6 +372,8 @@ QUERIES = {
     "filter_products_named": filter_products_named,
     "sku_by_name": sku_by_name,
     "normalize_requests": normalize_requests,
+    "rejected_requests": rejected_requests,
+    "facet_requests": facet_requests,
     "search_with_facets": search_with_facets,
     "result_totals": result_totals,
 }

@@ -104,6 +104,23 @@ VIEWS = {
                CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)
                                   ELSE concat(p_name, ' ') END AS term
         FROM {part}""",
+    # a search log as texts: every brand with every product name that it has
+    "text_requests": """
+        SELECT concat('t', CAST(min(p_partkey) AS STRING)) AS query_id, lower(p_name) AS q,
+               CASE min(p_partkey) % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE NULL END AS k,
+               CASE min(p_partkey) % 4 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE NULL END AS pool,
+               CAST(CASE WHEN min(p_partkey) % 5 = 0 THEN 0 ELSE NULL END AS DOUBLE) AS boost
+        FROM {part} GROUP BY p_name""",
+    # every order as a facet request with the parts it lists as ids
+    "facet_params": """
+        SELECT concat('o', CAST(l_orderkey AS STRING)) AS query_id, l_linenumber AS pos,
+               CASE WHEN l_orderkey % 9 = 0 THEN 'other' ELSE 'brand_sku_ids' END AS name,
+               CASE WHEN l_partkey % 23 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS value
+        FROM {lineitem}
+        UNION ALL
+        SELECT concat('o', CAST(o_orderkey AS STRING)), 0, 'active_facets',
+               CASE o_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'True' ELSE 'no' END
+        FROM {orders}""",
     # every conversation turn as a web request
     "request_params": """
         SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS query_id, 0 AS pos, 'q' AS name,
