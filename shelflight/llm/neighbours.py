@@ -62,8 +62,14 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _matrix(array) -> np.ndarray:
+    """Rows scaled by powers of two, so that no square over- or underflows; a cosine
+    is the same to the last bit."""
     flat = array.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(array), -1) if len(array) else np.zeros((0, 1))
+    return _scaled(flat.reshape(len(array), -1)) if len(array) else np.zeros((0, 1))
+
+
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
 
 
 def index(vectors: DataFrame, seed: int = 3) -> DataFrame:
@@ -90,8 +96,7 @@ def index(vectors: DataFrame, seed: int = 3) -> DataFrame:
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    scaled = rows / np.abs(rows).max(axis=1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,10 +169,10 @@ def _query_blocks(queries: DataFrame, size: int):
         ids.append(row["vec_id"])
         rows.append(row["embedding"])
         if len(ids) == size:
-            yield np.array(ids), np.array(rows)
+            yield np.array(ids), _scaled(np.array(rows))
             ids, rows = [], []
     if ids:
-        yield np.array(ids), np.array(rows)
+        yield np.array(ids), _scaled(np.array(rows))
 
 
 def nearest(

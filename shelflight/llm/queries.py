@@ -10,6 +10,7 @@ from shelflight.llm import (
     wordpiece,
 )
 from shelflight.llm.common import table
+from shelflight.llm.oracle import ORACLE_SQL  # noqa: F401
 from shelflight.settings import scratch_path
 
 
@@ -84,5 +85,3 @@ QUERIES = {
     "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_language_id": op10_language_id,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -73,7 +73,7 @@ def test_edge_cases(spark):
     rows = [
         (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]),
         (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]),
-        (50, [1.0, 1.0]), (2, [1.0, 0.0]), (10, []), (100, [1e-30, 0.0]),
+        (50, [1.0, 1.0]), (2, [1.0, 0.0]), (10, []), (100, [2.0**-100, 0.0]),
     ]
     table = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as rank", "2 as code")
     vectors = neighbours.usable(table)
@@ -81,6 +81,11 @@ def test_edge_cases(spark):
     assert sorted(found) == [0, 50, 100]
     assert [v for v, _ in found[0]] == [1, 2, 2, 100, 50]
     assert [v for v, _ in found[50]] == [0, 1, 2, 2, 3]
+    huge = spark.createDataFrame(
+        [(0, [1e300, 1e300]), (1, [1e-300, 0.0]), (2, [0.0, 1e200])], "vec_id long, embedding array<double>"
+    )
+    scores = {v: s for v, s in lists(neighbours.nearest(huge, huge.where("vec_id = 0")))[0]}
+    assert abs(scores[1] - 0.5**0.5) < 1e-15 and abs(scores[2] - 0.5**0.5) < 1e-15
     few = neighbours.nearest(vectors.where("vec_id in (0, 3)"), vectors.where("vec_id = 0"))
     assert [(r.vec_id, r.score) for r in few.collect()] == [(3, 0.0)]
     none = neighbours.usable(spark.createDataFrame([], SCHEMA))
