@@ -206,10 +206,15 @@ def scan(text: bytes, blocks: list[tuple[Templates, np.ndarray]], least: float =
             for low, high in _bands(sorted(diagonals)):
                 first = max(0, low)
                 part = numbers[first:max(0, high) + len(words_)].tolist()
-                matched, start, stop = align(words_, part, low - first, high - first)
-                coverage = len(matched) / len(words_)
-                if coverage >= least:
+                # copies that follow each other closely share a band: take the best
+                # alignment, blank it and look again
+                while True:
+                    matched, start, stop = align(words_, part, low - first, high - first)
+                    coverage = len(matched) / len(words_)
+                    if not matched or coverage < least:
+                        break
                     found.append((-coverage, start + first, stop + first, [m + first for m in matched]))
+                    part[start:stop] = [0] * (stop - start)
             taken: list[tuple[int, int]] = []  # in order, none overlapping
             for cost, start, stop, matched in sorted(found):
                 i = bisect_left(taken, (start, stop))
