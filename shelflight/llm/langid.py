@@ -103,10 +103,11 @@ class LanguageModel:
         self.likelihood = np.ascontiguousarray(share)
         self.log_likelihood = np.log(self.likelihood)
 
-    def classify(self, text: str) -> tuple[str, float, dict[str, float]]:
-        """(language of the largest proportion, that proportion, all proportions)."""
+    def classify(self, text: str) -> tuple[str, float, dict[str, float], float]:
+        """(language of the largest proportion, that proportion, all proportions, what
+        the mixture gains over chance in log-likelihood per trigram)."""
         if not self.languages or not _LETTER.search(text):
-            return UNKNOWN, 0.0, {}
+            return UNKNOWN, 0.0, {}, 0.0
         buckets, counts = features(text)
         total = float(len(buckets) if counts is None else counts.sum())
         weights = np.full(len(buckets), 1 / total) if counts is None else counts / total
@@ -130,7 +131,7 @@ class LanguageModel:
         order = sorted(zip(-share, chosen))
         found = {self.languages[k]: float(-s) for s, k in order}
         top = self.languages[order[0][1]]
-        return top, min(1.0, found[top]), found
+        return top, min(1.0, found[top]), found, best + float(np.log(BUCKETS))
 
 
 def _mix(p: np.ndarray, share: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -217,10 +218,11 @@ def identify(
 
 def in_known_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    least_score: float = 0.5,
+    least_score: float = 0.0,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose main language takes ``least_score``
-    of the text or more; texts without letters go."""
+    """The rows of ``docs``, all columns, that known languages explain better than
+    chance, and whose main one takes ``least_score`` of the text or more. Texts
+    without letters go; a text in several known languages stays."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(_training(docs, id_col, text_col, lang_col)))
     at = docs.columns.index(text_col)
 
@@ -229,8 +231,8 @@ def in_known_language(
         for batch in batches:
             keep = []
             for text in batch.column(at).cast(pa.binary()):
-                lang, score, _ = known.classify((text.as_py() or b"").decode("utf-8", "replace"))
-                keep.append(lang != UNKNOWN and score >= least_score)
+                lang, score, _, gain = known.classify((text.as_py() or b"").decode("utf-8", "replace"))
+                keep.append(lang != UNKNOWN and gain > 0 and score >= least_score)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,11 +33,17 @@ def test_mixtures_are_told_apart(spark, model):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 1500")
     texts = {r.lang: r.text[:1500] for r in docs.orderBy("doc_id").collect()}
     for a, b in (("en", "fr"), ("de", "es")):
-        lang, score, found = model.classify(texts[a][:1400] + "\n" + texts[b][:600])
-        assert lang == a and set(found) == {a, b} and 0.5 < score < 0.9
+        lang, score, found, gain = model.classify(texts[a][:1400] + "\n" + texts[b][:600])
+        assert lang == a and set(found) == {a, b} and 0.5 < score < 0.9 and gain > 0
         assert abs(sum(found.values()) - 1) < 1e-9
 
 
+def test_noise_is_no_language(model):
+    draw = random.Random(6)
+    noise = "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(500))
+    assert model.classify(noise)[3] < 0 < model.classify("the of and that with")[3]
+
+
 def test_more_text_of_a_kind_changes_little(model, monkeypatch):
     text = "the reand of thatsh " * 40
     plain = model.classify(text)
@@ -67,7 +73,7 @@ def test_edge_cases(spark):
     assert pred[7].lang_pred == "x" and pred[9].lang_pred == "y" and pred[None].lang_pred == "x"
     assert pred[8].lang_pred in ("x", "y")
     kept = langid.in_known_language(docs)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 6
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 8  # the lone accent is unknown
     assert langid.identify(docs_of(spark, [], LABELLED)).count() == 0
     unlabelled = docs_of(spark, [(1, "some text", None)], LABELLED)
     assert langid.identify(unlabelled).first().lang_pred == "und"
