@@ -17,9 +17,21 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from workload.queries import QUERIES, index, requests  # noqa: E402
+from shelflight import clear_scratch, hybrid_search  # noqa: E402
+from workload.queries import EMBEDDER, QUERIES, built_index, text_requests  # noqa: E402
 
-HEADLINE = ("knn_candidates", "hybrid_search", "facet_counts", "price_range_facets", "filter_skus")
+HEADLINE = (
+    "knn_candidates", "hybrid_search", "facet_counts", "price_range_facets", "filter_skus",
+    "single_search", "filter_products", "facet_options", "facet_bundle", "facets_for_hits",
+    "filter_products_no_broadcast", "filter_skus_no_broadcast",
+)
+UNBROADCAST = "_no_broadcast"
+
+
+def single_search(spark, sf_dir):
+    """A batch of one."""
+    one = text_requests(spark, sf_dir).limit(1)
+    return hybrid_search(one, built_index(spark, sf_dir), EMBEDDER)
 
 
 def main() -> None:
@@ -42,16 +54,21 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(name: str) -> float:
+        query = {**QUERIES, "single_search": single_search}[name.removesuffix(UNBROADCAST)]
+        if name.endswith(UNBROADCAST):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - start
+        query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - start
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        return took
 
     seconds = {}
     for name in names:
         run(name)
         seconds[name] = round(statistics.median(run(name) for _ in range(runs)), 3)
 
-    pairs = requests(spark, sf_dir).count() * index(spark, sf_dir).count()
+    pairs = text_requests(spark, sf_dir).count() * built_index(spark, sf_dir).count()
     print(
         json.dumps(
             {
@@ -71,6 +88,7 @@ def main() -> None:
             }
         )
     )
+    clear_scratch(spark)
     spark.stop()
 
 

@@ -13,6 +13,7 @@ from shelflight.settings import DEFAULT_BOOST, FACETED_K, FACETED_POOL, REQUEST_
 
 _PREFIX = "facet_"
 
+# Messages of rejected requests; the first and the last are fixed values.
 NO_QUERY = "No search query provided"
 BAD_K = "k is not an integer"
 NO_IDS = "No brand_sku_ids provided"

@@ -21,7 +21,7 @@ def plan(df):
 
 def test_knn_has_no_pair_join_and_reads_two_columns(spark, sf):
     index = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
-    text = plan(sl.knn_candidates(q.requests(spark, sf), index))
+    text = plan(sl.knn_candidates(q.vector_requests(spark, sf), index))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
     assert text.count("WindowGroupLimit") >= 4  # partial and final, for both merges
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
@@ -128,7 +128,7 @@ def test_request_blocks_leave_the_catalog_unshuffled(spark, sf, monkeypatch):
     real = knn.freeze
     monkeypatch.setattr(knn, "freeze", lambda df, name: written.append((name, df)) or real(df, name))
     index = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
-    sl.knn_candidates(q.requests(spark, sf), index, limit_bytes=20_000)
+    sl.knn_candidates(q.vector_requests(spark, sf), index, limit_bytes=10_000)
     lists = [plan(df) for name, df in written if name == "block-lists"]
     assert len(lists) > 3
     for text in lists:

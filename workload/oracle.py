@@ -13,7 +13,8 @@ WORD_CODES = {
 }
 _CODES = "(VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in WORD_CODES.items()) + ") AS codes(word, code)"
 
-# Price buckets: number, label, lower bound, upper bound, shown minimum and maximum.
+# Price buckets: number, label, lower bound, upper bound, shown minimum and maximum
+# (fixed values).
 _BUCKETS = """(VALUES
     (0, 'Under ₹100', NULL, 100, 0, 99.99),
     (1, '₹100 - ₹250', 100, 250, 100, 249.99),
@@ -39,24 +40,56 @@ _LOOKUP = f"""
            category_name AS category, trim(code) AS brand_phonetic
     FROM ({_NORMAL}) JOIN {_CODES} ON word = brand_name"""
 
-# ---- search: one pass over all pairs, then the two ranking stages ----------
+# ---- search from text on a built index --------------------------------------
 
-_SEARCH = f"""
-WITH req AS (SELECT * FROM {{search_requests}}),
-     lookup AS ({_LOOKUP}),
-     vecs AS (SELECT vec_id AS row_id, embedding FROM {{embeddings}}
-              WHERE vec_id IN (SELECT row_id FROM lookup)),
-     pairs AS (
-         SELECT query_id, row_id, greatest(pool, k) AS pool_limit,
-                list_sum(list_transform(range(1, len(qvec) + 1), lambda i:
-                    (qvec[i]::DOUBLE - embedding[i]::DOUBLE) * (qvec[i]::DOUBLE - embedding[i]::DOUBLE))) AS dist
-         FROM req, vecs),
-     numbered AS (
-         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS n FROM pairs),
-     pool AS (SELECT query_id, CAST(n AS INTEGER) AS rank, row_id, dist FROM numbered WHERE n <= pool_limit),
+def _word(sql: str) -> str:
+    """32-bit unsigned value of an expression that may be wider."""
+    return f"(({sql}) & 4294967295::HUGEINT)"
+
+
+def _rotate(sql: str, bits: int) -> str:
+    return _word(f"(({sql}) * {1 << bits}) | (({sql}) // {1 << (32 - bits)})")
+
+
+def _times(sql: str, factor: int) -> str:
+    return _word(f"({sql}) * {factor}::HUGEINT")
+
+
+# Murmur3 (x86, 32 bit, seed 42) of "a b c": one 4-byte block and one tail byte.
+def _embed_ctes(texts: str) -> str:
+    """CTE ``weights``: row_id, dim, weight of the texts of a table (row_id, search_text)."""
+    return f"""
+     grams AS (
+         SELECT row_id, unnest(range(1, length(search_text) - 1)) AS i, search_text FROM {texts}),
+     bytes AS (
+         SELECT row_id,
+                (ascii(search_text[i]) + 32 * 256 + ascii(search_text[i + 1]) * 65536
+                 + 32 * 16777216)::HUGEINT AS block,
+                ascii(search_text[i + 2])::HUGEINT AS tail
+         FROM grams),
+     s1 AS (SELECT row_id, tail, {_times('block', 0xcc9e2d51)} AS k1 FROM bytes),
+     s2 AS (SELECT row_id, tail, {_times(_rotate('k1', 15), 0x1b873593)} AS k1 FROM s1),
+     s3 AS (SELECT row_id, tail, xor(42::HUGEINT, k1) AS h FROM s2),
+     s4 AS (SELECT row_id, tail, {_word(f"{_rotate('h', 13)} * 5 + {0xe6546b64}::HUGEINT")} AS h FROM s3),
+     t1 AS (SELECT row_id, h, {_times('tail', 0xcc9e2d51)} AS k1 FROM s4),
+     t2 AS (SELECT row_id, xor(h, {_times(_rotate('k1', 15), 0x1b873593)}) AS h FROM t1),
+     f0 AS (SELECT row_id, xor(h, 5::HUGEINT) AS h FROM t2),
+     f1 AS (SELECT row_id, {_times('xor(h, h // 65536)', 0x85ebca6b)} AS h FROM f0),
+     f2 AS (SELECT row_id, {_times('xor(h, h // 8192)', 0xc2b2ae35)} AS h FROM f1),
+     f3 AS (SELECT row_id, xor(h, h // 65536) AS h FROM f2),
+     hashed AS (SELECT row_id, CAST(h % 64 AS INTEGER) AS dim FROM f3),
+     counted AS (SELECT row_id, dim, CAST(count(*) AS DOUBLE) AS n FROM hashed GROUP BY ALL),
+     weights AS (
+         SELECT row_id, dim, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY row_id)) AS FLOAT) AS weight
+         FROM counted)"""
+
+
+_EMBED = f"WITH texts AS ({_TEXT})," + _embed_ctes("texts") + " SELECT * FROM weights"
+
+_SCORED = """
      codes AS (
          SELECT DISTINCT query_id, code
-         FROM (SELECT query_id, unnest(string_split(q, ' ')) AS word FROM req) JOIN {_CODES} USING (word)
+         FROM (SELECT query_id, unnest(string_split(q, ' ')) AS word FROM req) JOIN {codes} USING (word)
          WHERE code <> ''),
      scored AS (
          SELECT p.query_id, p.row_id, l.brand_sku_id, l.label, l.brandLabel, l.category,
@@ -70,10 +103,39 @@ WITH req AS (SELECT * FROM {{search_requests}}),
          FROM scored),
      hits AS (
          SELECT query_id, rank, brand_sku_id, label, brandLabel, category, brand_phonetic, score
-         FROM reranked WHERE rank <= k)"""
+         FROM reranked WHERE rank <= k)""".replace("{codes}", _CODES)
+
+
+def _built(k: int, pool: int) -> str:
+    """Catalog and requests embedded by the same SQL, the requests' ids shifted apart,
+    then all pairs and the two ranking stages; ``k`` and ``pool`` fill what is null."""
+    return f"""
+WITH lookup AS ({_LOOKUP}),
+     req AS (
+         SELECT query_id, q, coalesce(k, {k}) AS k, coalesce(pool, {pool}) AS pool,
+                coalesce(boost, 0.2) AS boost, only_active, filter_case,
+                -CAST(substr(query_id, 2) AS BIGINT) - 1 AS row_id
+         FROM {{text_requests}}),
+     texts AS (SELECT * FROM ({_TEXT}) UNION ALL SELECT row_id, q FROM req),""" + _embed_ctes("texts") + f""",
+     dense AS (
+         SELECT t.row_id, list(coalesce(w.weight, 0)::DOUBLE ORDER BY d.dim) AS vec
+         FROM texts t CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS dim) d
+         LEFT JOIN weights w ON w.row_id = t.row_id AND w.dim = d.dim
+         GROUP BY t.row_id),
+     pairs AS (
+         SELECT a.query_id, v.row_id, greatest(a.pool, a.k) AS pool_limit,
+                list_sum(list_transform(range(1, 65), lambda i: (x.vec[i] - v.vec[i]) * (x.vec[i] - v.vec[i]))) AS dist
+         FROM req a JOIN dense x ON x.row_id = a.row_id, dense v WHERE v.row_id >= 0),
+     numbered AS (
+         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS n FROM pairs),
+     pool AS (SELECT query_id, CAST(n AS INTEGER) AS rank, row_id, dist FROM numbered WHERE n <= pool_limit),""" + _SCORED
+
+
+_HYBRID = _built(5, 50)
 
 # ---- facets ----------------------------------------------------------------
 
+# The placeholder words are fixed values.
 _USABLE = """
     SELECT brandSKUId AS brand_sku_id, standardKey AS standard_key,
            coalesce(standardValue, value) AS facet_value, value AS original_value,
@@ -172,7 +234,7 @@ def _filter_ctes(lists: str, requests: str) -> str:
          WHERE r.required = 0)"""
 
 
-_FILTERED_SEARCH = _SEARCH + "," + _filter_ctes("hits", "req") + """,
+_FILTERED_HYBRID = _built(20, 100) + "," + _filter_ctes("hits", "req") + """,
      kept AS (
          SELECT h.* FROM hits h JOIN req r USING (query_id)
          WHERE r.filter_case = 0
@@ -225,87 +287,6 @@ SELECT query_id,
 FROM one JOIN filters USING (query_id)"""
 
 
-def _word(sql: str) -> str:
-    """32-bit unsigned value of an expression that may be wider."""
-    return f"(({sql}) & 4294967295::HUGEINT)"
-
-
-def _rotate(sql: str, bits: int) -> str:
-    return _word(f"(({sql}) * {1 << bits}) | (({sql}) // {1 << (32 - bits)})")
-
-
-def _times(sql: str, factor: int) -> str:
-    return _word(f"({sql}) * {factor}::HUGEINT")
-
-
-# Murmur3 (x86, 32 bit, seed 42) of "a b c": one 4-byte block and one tail byte.
-def _embed_ctes(texts: str) -> str:
-    """CTE ``weights``: row_id, dim, weight of the texts of a table (row_id, search_text)."""
-    return f"""
-     grams AS (
-         SELECT row_id, unnest(range(1, length(search_text) - 1)) AS i, search_text FROM {texts}),
-     bytes AS (
-         SELECT row_id,
-                (ascii(search_text[i]) + 32 * 256 + ascii(search_text[i + 1]) * 65536
-                 + 32 * 16777216)::HUGEINT AS block,
-                ascii(search_text[i + 2])::HUGEINT AS tail
-         FROM grams),
-     s1 AS (SELECT row_id, tail, {_times('block', 0xcc9e2d51)} AS k1 FROM bytes),
-     s2 AS (SELECT row_id, tail, {_times(_rotate('k1', 15), 0x1b873593)} AS k1 FROM s1),
-     s3 AS (SELECT row_id, tail, xor(42::HUGEINT, k1) AS h FROM s2),
-     s4 AS (SELECT row_id, tail, {_word(f"{_rotate('h', 13)} * 5 + {0xe6546b64}::HUGEINT")} AS h FROM s3),
-     t1 AS (SELECT row_id, h, {_times('tail', 0xcc9e2d51)} AS k1 FROM s4),
-     t2 AS (SELECT row_id, xor(h, {_times(_rotate('k1', 15), 0x1b873593)}) AS h FROM t1),
-     f0 AS (SELECT row_id, xor(h, 5::HUGEINT) AS h FROM t2),
-     f1 AS (SELECT row_id, {_times('xor(h, h // 65536)', 0x85ebca6b)} AS h FROM f0),
-     f2 AS (SELECT row_id, {_times('xor(h, h // 8192)', 0xc2b2ae35)} AS h FROM f1),
-     f3 AS (SELECT row_id, xor(h, h // 65536) AS h FROM f2),
-     hashed AS (SELECT row_id, CAST(h % 64 AS INTEGER) AS dim FROM f3),
-     counted AS (SELECT row_id, dim, CAST(count(*) AS DOUBLE) AS n FROM hashed GROUP BY ALL),
-     weights AS (
-         SELECT row_id, dim, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY row_id)) AS FLOAT) AS weight
-         FROM counted)"""
-
-
-_EMBED = f"WITH texts AS ({_TEXT})," + _embed_ctes("texts") + " SELECT * FROM weights"
-
-# Catalog and requests are embedded by the same SQL, the requests' ids shifted apart;
-# an element that neither vector has adds nothing to a distance.
-_BUILT = f"""
-WITH lookup AS ({_LOOKUP}),
-     asked AS (
-         SELECT query_id, q, coalesce(k, 5) AS k, coalesce(pool, 50) AS pool, coalesce(boost, 0.2) AS boost,
-                -CAST(substr(query_id, 2) AS BIGINT) - 1 AS row_id
-         FROM {{text_requests}}),
-     texts AS (SELECT * FROM ({_TEXT}) UNION ALL SELECT row_id, q FROM asked),""" + _embed_ctes("texts") + f""",
-     dense AS (
-         SELECT t.row_id, list(coalesce(w.weight, 0)::DOUBLE ORDER BY d.dim) AS vec
-         FROM texts t CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS dim) d
-         LEFT JOIN weights w ON w.row_id = t.row_id AND w.dim = d.dim
-         GROUP BY t.row_id),
-     pairs AS (
-         SELECT a.query_id, v.row_id, greatest(a.pool, a.k) AS pool_limit, a.k, a.boost,
-                list_sum(list_transform(range(1, 65), lambda i: (x.vec[i] - v.vec[i]) * (x.vec[i] - v.vec[i]))) AS dist
-         FROM asked a JOIN dense x ON x.row_id = a.row_id, dense v WHERE v.row_id >= 0),
-     pool AS (
-         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS n FROM pairs)
-         WHERE n <= pool_limit),
-     codes AS (
-         SELECT DISTINCT query_id, code
-         FROM (SELECT query_id, unnest(string_split(q, ' ')) AS word FROM asked) JOIN {_CODES} USING (word)
-         WHERE code <> ''),
-     scored AS (
-         SELECT p.*, l.* EXCLUDE (row_id),
-                CASE WHEN EXISTS (SELECT 1 FROM codes c
-                                  WHERE c.query_id = p.query_id AND c.code = l.brand_phonetic)
-                     THEN p.dist - p.boost ELSE p.dist END AS score
-         FROM pool p JOIN lookup l USING (row_id)),
-     ranked AS (
-         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, dist, row_id) AS INTEGER) AS rank
-         FROM scored)
-SELECT query_id, rank, brand_sku_id, label, brandLabel, category, brand_phonetic, score
-FROM ranked WHERE rank <= k"""
-
 _SQL = {
     "scan_csv": "SELECT row_id, brand_sku_id, product_name, brand_name, category_name FROM {catalog_raw}",
     "catalog_head": "SELECT * FROM {catalog_raw} ORDER BY row_id LIMIT 100",
@@ -331,8 +312,7 @@ _SQL = {
                list_sum(list_transform(range(1, len(embedding) + 1), lambda i:
                    (embedding[i]::DOUBLE - anchor[i]::DOUBLE) * (embedding[i]::DOUBLE - anchor[i]::DOUBLE))) AS dist
         FROM {embeddings} JOIN anchors USING (label)""",
-    "knn_candidates": _SEARCH + " SELECT * FROM pool",
-    "search_built_index": _BUILT,
+    "knn_candidates": _HYBRID + " SELECT * FROM pool",
     "lookup_json": f"""SELECT row_id, brand_sku_id AS id, label, brandLabel, category, brand_phonetic
                        FROM ({_LOOKUP})""",
     "meta_json": """SELECT count(*) AS num_items, CAST(64 AS INTEGER) AS embedding_dim,
@@ -357,17 +337,17 @@ _SQL = {
                  FROM firsts f, {embeddings})
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS INTEGER) AS rank,
                row_id, dist FROM pairs""",
-    "knn_candidates_blocks": _SEARCH + " SELECT * FROM pool",
+    "knn_candidates_blocks": _HYBRID + " SELECT * FROM pool",
     "scan_csv_multiline": """
         SELECT row_id, brand_sku_id, concat(product_name, chr(10), '"', brand_sku_id, '",') AS product_name,
                brand_name, category_name FROM {catalog_raw}""",
-    "knn_lookup": _SEARCH + " SELECT pool.*, lookup.* EXCLUDE (row_id) FROM pool JOIN lookup USING (row_id)",
+    "knn_lookup": _HYBRID + " SELECT pool.*, lookup.* EXCLUDE (row_id) FROM pool JOIN lookup USING (row_id)",
     "brand_phonetic": f"""SELECT DISTINCT brand_name, code AS brand_phonetic
                           FROM ({_NORMAL}) JOIN {_CODES} ON word = brand_name""",
-    "query_phonetic": _SEARCH + " SELECT * FROM codes",
-    "phonetic_rerank": _SEARCH + " SELECT query_id, row_id, brand_phonetic, dist, score, rank FROM reranked",
-    "hybrid_search": _SEARCH + " SELECT * FROM hits",
-    "hit_report": _SEARCH + """
+    "query_phonetic": _HYBRID + " SELECT * FROM codes",
+    "phonetic_rerank": _HYBRID + " SELECT query_id, row_id, brand_phonetic, dist, score, rank FROM reranked",
+    "hybrid_search": _HYBRID + " SELECT * FROM hits",
+    "hit_report": _HYBRID + """
         SELECT query_id, rank, printf('%.4f', score) AS score_text,
                CASE WHEN score = 0 THEN 'N/A' ELSE printf('%.4f', score) END AS score_label,
                coalesce(nullif(brandLabel, ''), 'N/A') AS brand,
@@ -410,7 +390,7 @@ _SQL = {
                     ELSE array_to_string(list_transform(string_split(standard_key, '_'),
                          lambda w: concat(upper(substr(w, 1, 1)), substr(w, 2))), ' ') END AS title
         FROM options""",
-    "facets_for_hits": _SEARCH + """,
+    "facets_for_hits": _HYBRID + """,
      strict_hits AS (SELECT h.query_id, h.brand_sku_id, r.only_active FROM hits h JOIN req r USING (query_id)),"""
     + _facet_ctes("strict_hits", "only_active") + " SELECT * FROM facet_options",
     "filter_price": """
@@ -433,8 +413,8 @@ _SQL = {
                s.brandLabel AS brand_name, s.label AS product_name
         FROM {brand_sku} s JOIN firsts f ON lower(s.label) = f.folded""",
     "normalize_requests": _NORMALISED,
-    "search_with_facets": _FILTERED_SEARCH + " SELECT * FROM kept",
-    "result_totals": _FILTERED_SEARCH + """
+    "search_with_facets": _FILTERED_HYBRID + " SELECT * FROM kept",
+    "result_totals": _FILTERED_HYBRID + """
         SELECT r.query_id, count(k.query_id) AS total_results
         FROM req r LEFT JOIN kept k USING (query_id) GROUP BY r.query_id""",
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import shelflight as sl
 from shelflight.functions.vector import squared_l2
-from shelflight.settings import scratch_path
+from shelflight.settings import DEFAULT_K, DEFAULT_POOL, scratch_path
 from workload.views import table, view, with_filters
 
 
@@ -25,8 +27,24 @@ def index(spark, sf):
     return sl.lookup_columns(sl.prepare_catalog(raw)).join(vectors, "row_id")
 
 
-def requests(spark, sf):
-    return with_filters(view(spark, sf, "search_requests"))
+@lru_cache(maxsize=8)
+def built_index(spark, sf):
+    """The index that the library builds from every part, built once per session."""
+    return sl.build_catalog_index(view(spark, sf, "catalog_raw"), scratch_path(spark, "index"))
+
+
+def text_requests(spark, sf):
+    """Requests as texts; the library embeds them."""
+    return with_filters(view(spark, sf, "text_requests"))
+
+
+EMBEDDER = sl.HashedNGrams()
+
+
+def vector_requests(spark, sf):
+    """The same with vectors, and every value filled in."""
+    asked = sl.with_search_defaults(text_requests(spark, sf), DEFAULT_K, DEFAULT_POOL)
+    return sl.embed_table(asked, "q", EMBEDDER, "qvec")
 
 
 def skus(spark, sf):
@@ -121,14 +139,6 @@ def vector_check(spark, sf):
     return sl.vector_check(table(spark, sf, "embeddings"))
 
 
-def search_built_index(spark, sf):
-    """Requests as texts, embedded by the library, over the index that it built from
-    every part: from text to hits."""
-    path = scratch_path(spark, "index")
-    built = sl.build_catalog_index(view(spark, sf, "catalog_raw"), path)
-    return sl.hybrid_search(view(spark, sf, "text_requests"), built, sl.HashedNGrams())
-
-
 def embed_catalog(spark, sf):
     """Non-zero vector elements of every row's search text."""
     embedded = sl.embed_table(
@@ -155,13 +165,13 @@ def vector_distance(spark, sf):
 
 
 def knn_candidates(spark, sf):
-    return sl.knn_candidates(requests(spark, sf), index(spark, sf).select("row_id", "embedding"))
+    return sl.knn_candidates(vector_requests(spark, sf), built_index(spark, sf).select("row_id", "embedding"))
 
 
 def knn_candidates_blocks(spark, sf):
     """The same search with a batch far above what is shipped at once."""
-    vectors = index(spark, sf).select("row_id", "embedding")
-    return sl.knn_candidates(requests(spark, sf), vectors, limit_bytes=100_000)
+    vectors = built_index(spark, sf).select("row_id", "embedding")
+    return sl.knn_candidates(vector_requests(spark, sf), vectors, limit_bytes=10_000)
 
 
 def knn_whole_catalog(spark, sf):
@@ -187,17 +197,18 @@ def brand_phonetic(spark, sf):
 def query_phonetic(spark, sf):
     from shelflight.functions.phonetic import query_codes
 
-    return requests(spark, sf).select("query_id", F.explode(query_codes(F.col("q"))).alias("code"))
+    return text_requests(spark, sf).select("query_id", F.explode(query_codes(F.col("q"))).alias("code"))
 
 
 def phonetic_rerank(spark, sf):
-    return sl.ranked_pool(requests(spark, sf), index(spark, sf)).select(
+    return sl.ranked_pool(text_requests(spark, sf), built_index(spark, sf), EMBEDDER).select(
         "query_id", "row_id", "brand_phonetic", "dist", "score", "rank"
     )
 
 
 def hybrid_search(spark, sf):
-    return sl.hybrid_search(requests(spark, sf), index(spark, sf))
+    """From text to hits."""
+    return sl.hybrid_search(text_requests(spark, sf), built_index(spark, sf), EMBEDDER)
 
 
 def hit_report(spark, sf):
@@ -250,10 +261,8 @@ def facet_titles(spark, sf):
 
 def facets_for_hits(spark, sf):
     """Options of each search's hits, each search with its own active-keys switch."""
-    asked = requests(spark, sf)
-    hits = sl.hybrid_search(asked, index(spark, sf)).join(
-        asked.select("query_id", "only_active"), "query_id"
-    )
+    asked = text_requests(spark, sf)
+    hits = hybrid_search(spark, sf).join(asked.select("query_id", "only_active"), "query_id")
     hits = sl.freeze(hits, "hits")
     return sl.facets_for_hits(
         hits, skus(spark, sf), facets(spark, sf), keys(spark, sf), "only_active", spread=False
@@ -294,12 +303,12 @@ def sku_by_name(spark, sf):
 
 def search_with_facets(spark, sf):
     return sl.search_with_facets(
-        requests(spark, sf), index(spark, sf), skus(spark, sf), facets(spark, sf)
+        text_requests(spark, sf), built_index(spark, sf), skus(spark, sf), facets(spark, sf), EMBEDDER
     )
 
 
 def result_totals(spark, sf):
-    return sl.result_totals(requests(spark, sf), search_with_facets(spark, sf))
+    return sl.result_totals(text_requests(spark, sf), search_with_facets(spark, sf))
 
 
 # ---- request ingest -------------------------------------------------------
@@ -339,7 +348,6 @@ QUERIES = {
     "index_meta": index_meta,
     "lookup_json": lookup_json,
     "meta_json": meta_json,
-    "search_built_index": search_built_index,
     "vector_check": vector_check,
     "embed_catalog": embed_catalog,
     "build_catalog_index": build_catalog_index,

@@ -84,32 +84,20 @@ VIEWS = {
     "supplier_requests": """
         SELECT concat('s', CAST(s_suppkey AS STRING)) AS query_id, s_suppkey % 6 AS filter_case
         FROM {supplier}""",
-    # a search log: every product name under every brand that has a vector, with
-    # the group's first vector; its length is bounded by the vocabulary
-    "search_requests": """
-        SELECT concat('q', CAST(first_id AS STRING)) AS query_id,
-               CASE WHEN first_id % 7 = 0 THEN concat(q, ' 2000 çelik') ELSE q END AS q,
-               CASE first_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END AS k,
-               CASE first_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE 100 END AS pool,
-               CAST(CASE WHEN first_id % 5 = 0 THEN 0 ELSE 0.2 END AS DOUBLE) AS boost,
-               first_id % 2 = 0 AS only_active,
-               first_id % 6 AS filter_case,
-               qvec
-        FROM (SELECT p_name AS q, min(vec_id) AS first_id, min_by(embedding, vec_id) AS qvec
-              FROM {embeddings} JOIN {part} ON p_partkey = vec_id
-              GROUP BY p_name, p_brand) AS log""",
     # the name of every part, in changing case, as one list of terms
     "terms": """
         SELECT 'all' AS query_id, p_partkey AS pos,
                CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)
                                   ELSE concat(p_name, ' ') END AS term
         FROM {part}""",
-    # a search log as texts: every brand with every product name that it has
+    # a search log as texts: every product name of the catalog
     "text_requests": """
-        SELECT concat('t', CAST(min(p_partkey) AS STRING)) AS query_id, lower(p_name) AS q,
+        SELECT concat('t', CAST(min(p_partkey) AS STRING)) AS query_id,
+               CASE WHEN min(p_partkey) % 7 = 0 THEN concat(p_name, ' 2000 celik') ELSE p_name END AS q,
                CASE min(p_partkey) % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE NULL END AS k,
                CASE min(p_partkey) % 4 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE NULL END AS pool,
-               CAST(CASE WHEN min(p_partkey) % 5 = 0 THEN 0 ELSE NULL END AS DOUBLE) AS boost
+               CAST(CASE WHEN min(p_partkey) % 5 = 0 THEN 0 ELSE NULL END AS DOUBLE) AS boost,
+               min(p_partkey) % 2 = 0 AS only_active, min(p_partkey) % 6 AS filter_case
         FROM {part} GROUP BY p_name""",
     # every order as a facet request with the parts it lists as ids
     "facet_params": """
