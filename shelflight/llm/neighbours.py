@@ -7,6 +7,9 @@ divided by that scalar, estimates the cosine without bias, and the scalar also g
 the estimate's error bound. A vector is measured exactly only where estimate plus
 bound reaches the query's current k-th best cosine.
 
+What a query's k-th best cosine is at least, a look at a bounded sample of the index
+tells before the search; it leaves out no row that belongs in a list.
+
 Queries are a stated set. They pass to the tasks in blocks of bounded size, and each
 task streams its part of the index past a block.
 """
@@ -29,6 +32,8 @@ QUERY_BLOCK = 1 << 14
 TILE_ROWS, TILE_QUERIES = 2048, 1024
 FIRST_ROWS = 128
 PAIRS = 1 << 16
+# Rows of the index that give each query's first bound.
+SAMPLE_ROWS = 4096
 
 CODED = T.StructType([
     T.StructField("vec_id", T.LongType()), T.StructField("code", T.BinaryType()),
@@ -99,26 +104,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise cosine in double precision, summed in the order of the components."""
-    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
-    for j in range(a.shape[1]):
-        x, y = a[:, j], b[:, j]
-        dot += x * y
-        aa += x * x
-        bb += y * y
-    return dot / np.sqrt(aa * bb)
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise inner products in double precision, summed in the components' order."""
+    return np.cumsum(a * b, axis=1)[:, -1]
 
 
 class _Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, k: int, bound: np.ndarray):
         self.k = k
         self.query = np.zeros(0, np.int64)
         self.vec = np.zeros(0, np.int64)
         self.score = np.zeros(0)
-        self.bound = np.full(queries, -np.inf)
+        self.bound = bound.copy()
 
     def add(self, query, vec, score) -> None:
         query = np.concatenate([self.query, query])
@@ -132,13 +131,14 @@ class _Best:
         keep = rank < self.k
         full = rank == self.k - 1
         self.query, self.vec, self.score = query[keep], vec[keep], score[keep]
-        self.bound[query[full]] = score[full]
+        self.bound[query[full]] = np.maximum(self.bound[query[full]], score[full])
 
 
-def _search(batches, ids: np.ndarray, vectors: np.ndarray, k: int, seed: int, bound: float):
+def _search(batches, ids: np.ndarray, vectors: np.ndarray, first: np.ndarray, k: int, seed: int, bound: float):
     width = vectors.shape[1]
     rotated = (_unit(vectors) @ rotation(width, seed) / np.sqrt(width)).astype(np.float32)
-    best = _Best(len(ids), k)
+    best = _Best(k, first)
+    query_squares = inner(vectors, vectors)
     tile_rows = FIRST_ROWS
     for batch in batches:
         at = 0
@@ -148,6 +148,7 @@ def _search(batches, ids: np.ndarray, vectors: np.ndarray, k: int, seed: int, bo
             own = tile.column("vec_id").to_numpy()
             rows = _matrix(tile.column("embedding"))
             packed = np.frombuffer(b"".join(tile.column("code").to_pylist()), np.uint8).reshape(len(own), -1)
+            squares = inner(rows, rows)
             signs = np.unpackbits(packed, axis=1, count=width).astype(np.float32) * 2 - 1
             fit = tile.column("fit").to_numpy()
             reach = bound * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit / np.sqrt(max(width - 1, 1)) + 1e-5
@@ -157,7 +158,7 @@ def _search(batches, ids: np.ndarray, vectors: np.ndarray, k: int, seed: int, bo
                 row, query = np.nonzero((upper >= best.bound[lo:hi]) & (own[:, None] != ids[lo:hi]))
                 for p in range(0, len(row), PAIRS):
                     r, q = row[p:p + PAIRS], query[p:p + PAIRS] + lo
-                    score = cosines(rows[r], vectors[q])
+                    score = inner(rows[r], vectors[q]) / np.sqrt(squares[r] * query_squares[q])
                     near = score >= best.bound[q]
                     best.add(q[near], own[r[near]], score[near])
     return ids[best.query], best.vec, best.score
@@ -175,6 +176,13 @@ def _query_blocks(queries: DataFrame, size: int):
         yield np.array(ids), _scaled(np.array(rows))
 
 
+def _bounds(found: DataFrame, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query the smallest of its k scores; none if it has fewer."""
+    rows = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = {r["query_id"]: r["least"] for r in rows.where(F.col("n") == k).collect()}
+    return np.array([least.get(i, -np.inf) for i in ids.tolist()])
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 3, bound: float = BOUND,
     query_block: int = QUERY_BLOCK,
@@ -183,22 +191,28 @@ def nearest(
 
     Both tables have ``vec_id, embedding`` as ``usable`` gives them. A row with the
     query's own id is no candidate. Nearest first, ties to the smaller ``vec_id``;
-    rows that repeat an id are candidates each, queries that do share one list; fewer candidates give fewer rows, and
-    empty tables none. Scores are exact; a neighbour is missed only where its
-    estimate's error exceeds ``bound`` standard deviations.
+    rows that repeat an id are candidates each, queries that do share one list; fewer
+    candidates give fewer rows, and empty tables none. Scores are exact; a neighbour
+    is missed only where its estimate's error exceeds ``bound`` standard deviations.
     """
     spark = vectors.sparkSession
     coded = freeze(index(vectors, seed), "vector-codes")
     parts = []
     for ids, rows in _query_blocks(queries.select("vec_id", "embedding").distinct(), query_block):
-        sent = spark.sparkContext.broadcast((ids, rows))
-
-        def run(batches, sent=sent):
-            query, vec, score = _search(batches, *sent.value, k, seed, bound)
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=FOUND.names)
-
-        parts.append(freeze(coded.mapInArrow(run, FOUND), "neighbours"))
-        sent.unpersist()
+        least = np.full(len(ids), -np.inf)
+        for of in (coded.limit(SAMPLE_ROWS), coded):
+            sent = spark.sparkContext.broadcast((ids, rows, least))
+
+            def run(batches, sent=sent):
+                query, vec, score = _search(batches, *sent.value, k, seed, bound)
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=FOUND.names)
+
+            found = of.mapInArrow(run, FOUND)
+            if of is coded:
+                parts.append(freeze(found, "neighbours"))
+            else:
+                least = _bounds(found, ids, k)
+            sent.unpersist()
     if not parts:
         parts = [spark.createDataFrame([], FOUND)]
     found = parts[0]

@@ -48,8 +48,8 @@ def test_bound_saves_measurements(monkeypatch):
     draw = np.random.default_rng(4)
     rows = draw.standard_normal((6000, 64))
     measured = []
-    real = neighbours.cosines
-    monkeypatch.setattr(neighbours, "cosines", lambda a, b: measured.append(len(a)) or real(a, b))
+    real = neighbours.inner
+    monkeypatch.setattr(neighbours, "inner", lambda a, b: measured.append((a is not b) * len(a)) or real(a, b))
     turn = neighbours.rotation(64, 3)
     rotated = neighbours._unit(rows) @ turn
     import pyarrow as pa
@@ -59,7 +59,7 @@ def test_bound_saves_measurements(monkeypatch):
         pa.array((np.abs(rotated).sum(axis=1) / 8).astype(np.float32)), pa.array(rows.tolist()),
     ], names=neighbours.CODED.names)
     ids = np.arange(0, 6000, 600)
-    query, vec, score = neighbours._search([batch], ids, rows[ids], 5, 3, neighbours.BOUND)
+    query, vec, score = neighbours._search([batch], ids, rows[ids], np.full(10, -np.inf), 5, 3, neighbours.BOUND)
     assert sum(measured) < 0.5 * 6000 * len(ids)
     expected = brute(list(enumerate(rows)), [(i, rows[i]) for i in ids], 5)
     found = {}
