@@ -48,8 +48,10 @@ LEAST_COUNT = 24
 ROUNDS = 5
 # Rules of one round; rounds let later pairs hold earlier nonterminals.
 ROUND_RULES = 4096
+# Bits of a pair's hash in the first count; the counts then stay in a core's cache.
+HASH_BITS = 17
 # Bytes of cached encodings in a worker.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 256 << 20
 # New units given to the library as one text.
 STRUNG = 512
 # Characters of text that are split at once.
@@ -119,7 +121,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _spread(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 def compress(symbols: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def compress(symbols: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.
         key = (symbols[inner].astype(np.uint64) << np.uint64(32)) | symbols[inner + 1]
         # count hashed pairs first, so that only the frequent ones are sorted
         bucket = _spread(key)
-        seen = np.bincount(bucket, minlength=1 << 20)
+        seen = np.bincount(bucket, minlength=1 << HASH_BITS)
         least = max(LEAST_COUNT, int(np.partition(seen, -quota)[-quota]))
         often = np.flatnonzero(seen[bucket] >= least)
         pairs, counts = np.unique(key[often], return_counts=True)
