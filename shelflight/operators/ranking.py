@@ -12,9 +12,10 @@ def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name
 
     A range sort spreads every group over as many partitions as its rows need.
     The sorted rows are frozen by a checkpoint (a repeated range sort may cut
-    elsewhere) and numbered within (partition, group). Only the first group of a
-    partition can have begun before it, so the rows to add are one number per
-    partition.
+    elsewhere) and stand in order, so a row's number is its distance from the
+    group's first row of the partition, plus the group's rows in earlier
+    partitions: two numbers for each (partition, group), attached by a join that
+    leaves the rows in place while that table is small.
     """
     ensure_checkpoint_dir(df.sparkSession)
     frozen = (
@@ -24,18 +25,18 @@ def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name
         .withColumn("_part", F.shiftright("_at", 33))
         .withColumn("_group", F.struct(*group))
     )
-    sizes = frozen.groupBy("_part", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = frozen.groupBy("_part", "_group").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
+    )
     before = (
         Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    earlier = sizes.select("_part", "_group", F.sum("_n").over(before).alias("_earlier"))
-    earlier = F.broadcast(earlier.where(F.col("_earlier").isNotNull()))
-    local = F.row_number().over(Window.partitionBy("_part", "_group").orderBy("_at"))
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    starts = sizes.select("_part", "_group", (F.col("_first") - earlier).alias("_start"))
     return (
-        frozen.withColumn(name, local)
-        .join(earlier, ["_part", "_group"], "left")
-        .withColumn(name, (F.col(name) + F.coalesce("_earlier", F.lit(0))).cast("int"))
-        .drop("_group", "_part", "_at", "_earlier")
+        frozen.join(starts, ["_part", "_group"])
+        .withColumn(name, (F.col("_at") - F.col("_start") + 1).cast("int"))
+        .drop("_group", "_part", "_at", "_start")
     )
 
 

@@ -36,7 +36,7 @@ _TEXT = f"""
     SELECT row_id, trim(concat(brand_name, ' ', product_name, ' ', category_name)) AS search_text
     FROM ({_NORMAL})"""
 _LOOKUP = f"""
-    SELECT row_id, brand_sku_id, product_name AS label, brand_name AS brandLabel,
+    SELECT row_id, trim(brand_sku_id) AS brand_sku_id, product_name AS label, brand_name AS brandLabel,
            category_name AS category, trim(code) AS brand_phonetic
     FROM ({_NORMAL}) JOIN {_CODES} ON word = brand_name"""
 
@@ -239,7 +239,8 @@ _FILTERED_HYBRID = _built(20, 100) + "," + _filter_ctes("hits", "req") + """,
          SELECT h.* FROM hits h JOIN req r USING (query_id)
          WHERE r.filter_case = 0
             OR EXISTS (SELECT 1 FROM matched m
-                       WHERE m.query_id = h.query_id AND m.brand_sku_id = h.brand_sku_id))"""
+                       WHERE m.query_id = h.query_id AND m.brand_sku_id = h.brand_sku_id
+                         AND h.brand_sku_id <> ''))"""
 
 # a filter case with an empty key leaves that key out; case 0 restricts nothing
 _PRODUCTS = f"""

@@ -60,8 +60,10 @@ VIEWS = {
         SELECT * FROM (VALUES ('size', true), ('brand_line', true), ('type', false))
                AS t(standardKey, isActive)""",
     "catalog_raw": """
-        SELECT p_partkey AS row_id, CAST(p_partkey AS STRING) AS brand_sku_id,
-               concat('  ', upper(split_part(p_name, ' ', 2)), ' ') AS product_name,
+        SELECT p_partkey AS row_id,
+               CASE WHEN p_partkey % 61 = 0 THEN ' ' ELSE CAST(p_partkey AS STRING) END AS brand_sku_id,
+               CASE WHEN p_partkey % 59 = 0 THEN '  '
+                    ELSE concat('  ', upper(split_part(p_name, ' ', 2)), ' ') END AS product_name,
                CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 41 = 0 THEN '100'
                     WHEN p_partkey % 43 = 0 THEN '3M 300' WHEN p_partkey % 47 = 0 THEN 'Celik'
                     ELSE split_part(p_name, ' ', 1) END AS brand_name,
