@@ -53,14 +53,14 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
     return (seen @ _BYTE_BITS).ravel()
 
 
-def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
-    """A bit is set if it is set in over half of the shingles' XXH64 values.
+def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> Iterator[list[int]]:
+    """XXH64 values of the shingles of ``width`` words, in lists.
 
     Words are what white space of ASCII separates, after lower-casing A-Z. Fewer
-    words than ``width`` form one shingle; no words give 0.
+    words than ``width`` form one shingle; no words give none.
     """
-    hashed = xxhash.xxh64_intdigest
-    counts, total, tail = np.zeros(BITS, np.int64), 0, []
+    hashed, join = xxhash.xxh64_intdigest, b" ".join
+    some, tail = False, []
     text = text.lower()
     if len(text) > PIECE:
         text = text.translate(_BREAKS)
@@ -68,13 +68,22 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
         words = tail + block.split()
         last = len(words) - width + 1
         if last > 0:
-            join = b" ".join
-            hashes = [hashed(join(words[i:i + width]), seed) for i in range(last)]
-            counts += _bit_counts(hashes)
-            total += last
+            yield [hashed(join(words[i:i + width]), seed) for i in range(last)]
+            some = True
         tail = words[max(last, 0):]
-    if not total and tail:
-        counts, total = _bit_counts([hashed(b" ".join(tail), seed)]), 1
+    if not some and tail:
+        yield [hashed(join(tail), seed)]
+
+
+def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
+    """A bit is set if it is set in over half of the shingles' XXH64 values.
+
+    Text without words gives 0.
+    """
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        counts += _bit_counts(hashes)
+        total += len(hashes)
     bits = np.flatnonzero(2 * counts > total)
     return int(sum(1 << int(b) for b in bits))
 
@@ -254,32 +263,65 @@ def near_duplicates(
     null. Repeated rows stay. An empty table gives no rows.
     """
     marked = freeze(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    rooted = _rooted(marked, radius, shard_rows)
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_code = rooted.join(named, "root").select(F.col("code").alias("fingerprint"), "component_id")
+    return marked.join(by_code, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+
+
+def _rooted(marked: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """``code, first_id, root``: each fingerprint, its smallest id, its component."""
     codes = freeze(
         marked.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("first_id")), "codes"
     )
     roots = components(links(codes.select("code"), codes.count(), radius, shard_rows))
-    rooted = freeze(
-        codes.join(roots, codes["code"] == roots["node"], "left").select(
-            "code", "first_id", F.coalesce("root", "code").alias("root")
-        ), "roots",
+    return freeze(with_roots(codes, roots), "roots")
+
+
+def with_roots(codes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``code, first_id, root`` of ``code, first_id``; a code without links is its own root."""
+    return codes.join(roots, codes["code"] == roots["node"], "left").select(
+        "code", "first_id", F.coalesce("root", "code").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_code = rooted.join(named, "root").select(F.col("code").alias("fingerprint"), "component_id")
-    return marked.join(by_code, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with its id.
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows apart and orders them: id (null last), hashes of text and row."""
+    known = [column(id_col).isNull(), column(id_col), F.xxhash64(column(text_col)), F.xxhash64(*[
+        F.to_json(F.struct(column(f.name))) if "map<" in f.dataType.simpleString() else column(f.name)
+        for f in docs.schema
+    ])]
+    return F.struct(*[c.alias(n) for c, n in zip(known, ("nameless", "id", "text_hash", "row_hash"))])
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` with the smallest ``row_key`` of each component."""
+    first = rooted.groupBy("root").agg(F.min("first_id").alias("first_id")).select("first_id.*")
+    kept = first.select(*[F.col(c).alias("_kept_" + c) for c in first.columns])
+    key = row_key(docs, id_col, text_col)
+    keyed = docs.withColumn("_text_hash", key["text_hash"]).withColumn("_row_hash", key["row_hash"])
+    staying = keyed.join(
+        kept,
+        column(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_text_hash"))
+        & (F.col("_row_hash") == F.col("_kept_row_hash")),
+        "left_semi",
+    )
+    return staying.dropDuplicates([id_col, "_text_hash", "_row_hash"]).drop("_text_hash", "_row_hash")
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+    width: int = SHINGLE, shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest id, null ids last;
+    of several such rows the one with the smallest hash of its text, then of the row.
 
-    All columns are kept. Rows that repeat an id are one document, of which one
-    row stays; a component whose ids are all null keeps one row as well.
+    All columns are kept. Rows of one id whose texts are not linked are of different
+    components, and so are rows with null ids.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")
-    ).distinct()
-    staying = docs.join(kept, column(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return staying.dropDuplicates([id_col])
+    given = docs.select(row_key(docs, id_col, text_col).alias("doc_id"), column(text_col).alias("text"))
+    marked = freeze(fingerprints(given, width), "fingerprints")
+    return first_rows(docs, _rooted(marked, radius, shard_rows), id_col, text_col)
 
 
 def hex_digits(code: Column) -> Column:

@@ -143,3 +143,18 @@ def test_empty_table_and_only_null_ids(spark):
     assert simhash.one_of_each(empty).count() == 0
     nameless = docs_of(spark, [(None, "a b c d"), (None, "a b c d")])
     assert simhash.one_of_each(nameless).count() == 1
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    """Different texts with null ids, and one id with two texts, of which one is a copy."""
+    rows = [(None, "a b c d"), (None, "e f g h"), (None, "a b c d"), (1, "i j k l"), (2, "i j k l"), (2, "m n o p")]
+    kept = simhash.one_of_each(docs_of(spark, rows).repartition(3))
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert found == sorted([(None, "a b c d"), (None, "e f g h"), (1, "i j k l"), (2, "m n o p")], key=repr)
+
+
+def test_rows_of_one_text_and_id_give_the_same_row_each_time(spark):
+    rows = [(1, "a b c d", {"k": i}) for i in range(8)]
+    docs = docs_of(spark, rows, "doc_id long, text string, more map<string,int>")
+    kept = [simhash.one_of_each(docs.repartition(n)).collect() for n in (1, 5)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
