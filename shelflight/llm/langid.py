@@ -21,6 +21,9 @@ BUCKETS = 1 << 16
 UNKNOWN = "und"
 # Added to each bucket's count.
 SMOOTHING = 0.5
+# Share of a uniform distribution in the model that texts are rejected by: what a
+# trigram without counts costs must not follow the size of the corpus.
+BACKGROUND = 0.03
 # Steps of expectation maximisation for a set of languages.
 STEPS = 24
 # What a further language must gain, in units of log(trigrams) (a free proportion
@@ -95,11 +98,20 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
 
 
 class LanguageModel:
-    """Trigram distributions, one column for each language."""
+    """Trigram distributions, one column for each language.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    With a ``background`` they are the plain shares of the counts mixed with that much
+    of a uniform distribution, so counts multiplied by a number give the same model.
+    """
+
+    def __init__(self, languages: list[str], counts: np.ndarray, background: float | None = None):
         self.languages = languages
-        share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0, keepdims=True)
+        if background is None:
+            share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0, keepdims=True)
+        else:
+            total = counts.sum(axis=0, keepdims=True)
+            plain = np.where(total > 0, counts / np.maximum(total, 1), 1 / BUCKETS)
+            share = (1 - background) * plain + background / BUCKETS
         self.likelihood = np.ascontiguousarray(share)
         self.log_likelihood = np.log(self.likelihood)
 
@@ -144,7 +156,7 @@ def _mix(p: np.ndarray, share: np.ndarray, weights: np.ndarray) -> tuple[np.ndar
     return share, float(weights @ np.log(p @ share))
 
 
-def learn(labelled: DataFrame) -> LanguageModel:
+def learn(labelled: DataFrame, background: float | None = None) -> LanguageModel:
     """The model of all rows of (``lang``, ``text`` bytes) whose ``lang`` is not null.
 
     Counts are summed over all rows by Spark; the driver gets one number for each
@@ -162,7 +174,7 @@ def learn(labelled: DataFrame) -> LanguageModel:
     if got.num_rows:
         at = np.array([rows[x] for x in got["lang"].to_pylist()])
         seen[got["bucket"].to_numpy(), at] += got["n"].to_numpy()
-    return LanguageModel(languages, seen)
+    return LanguageModel(languages, seen, background)
 
 
 def held_out(id_column: Column) -> Column:
@@ -222,8 +234,10 @@ def in_known_language(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that known languages explain better than
     chance, and whose main one takes ``least_score`` of the text or more. Texts
-    without letters go; a text in several known languages stays."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn(_training(docs, id_col, text_col, lang_col)))
+    without letters go; a text in several known languages stays. The decision does not
+    depend on how often the corpus repeats its trigrams."""
+    model = learn(_training(docs, id_col, text_col, lang_col), BACKGROUND)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -95,3 +95,29 @@ def test_too_many_labels_are_refused(spark, monkeypatch):
     rows = [(i, "abc", str(i)) for i in range(20)]
     with pytest.raises(ValueError):
         langid.identify(docs_of(spark, rows, LABELLED))
+
+
+def test_rejection_does_not_follow_the_size_of_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled = langid._training(docs, "doc_id", "text", "lang")
+    languages, counts = ["de", "en", "es", "fr"], np.zeros((langid.BUCKETS, 4))
+    for r in langid.trigram_counts(labelled.where("lang is not null")).collect():
+        counts[r.bucket, languages.index(r.lang)] += r.n
+    noise = "".join(chr(random.Random(6).randrange(0x4E00, 0x9FFF)) for _ in range(500))
+    gains = []
+    for times in (1, 300):
+        model = langid.LanguageModel(languages, counts * times, langid.BACKGROUND)
+        for text in ("Try our new chocolate pudding recipe", "Please keep your ticket with you because"):
+            lang, _, _, gain = model.classify(text)
+            assert gain > 0
+            gains.append(gain)
+        assert model.classify(noise)[3] < 0
+    assert np.allclose(gains[:2], gains[2:])
+
+
+def test_stage_keeps_a_clean_sentence_of_new_words_in_a_large_corpus(spark, monkeypatch):
+    rows = [(i, "our new recipe is the best of the year and try it", "en") for i in range(8)]
+    rows += [(100, "try our pudding recipe", None)]
+    docs, counted = docs_of(spark, rows, LABELLED), langid.trigram_counts
+    monkeypatch.setattr(langid, "trigram_counts", lambda x: counted(x).selectExpr("lang", "bucket", "n * 1000000 as n"))
+    assert 100 in {r.doc_id for r in langid.in_known_language(docs).collect()}
