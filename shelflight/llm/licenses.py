@@ -23,6 +23,8 @@ WINDOW = 3
 BAND = 8
 # Share of a template's words that must be found in order.
 LEAST_COVERAGE = 0.8
+# Templates of fewer words must be there word for word: one other word is another license.
+SHORT = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20
 
@@ -143,6 +145,12 @@ def align(template: list[int], document: list[int], low: int, high: int) -> tupl
     """Best local alignment of a template with a document, where document place minus
     template place stays within ``low`` to ``high``. Returns the document places that
     match a template word, and the first place and the end of the alignment."""
+    pairs, stop = align_pairs(template, document, low, high)
+    return [j for _, j in pairs], pairs[0][1] if pairs else 0, stop
+
+
+def align_pairs(template: list[int], document: list[int], low: int, high: int) -> tuple[list[tuple[int, int]], int]:
+    """``align`` as (template place, document place) of equal words, and its end."""
     width = high - low + 1
     before = [0] * (width + 1)
     moves: list[list[int]] = []
@@ -174,19 +182,37 @@ def align(template: list[int], document: list[int], low: int, high: int) -> tupl
             how = moves[i][d]
             if how == 1:
                 if document[j] == template[i]:
-                    matched.append(j)
+                    matched.append((i, j))
                 i -= 1
             elif how == 2:
                 i, d = i - 1, d + 1
             else:
                 d -= 1
     matched.reverse()
-    return matched, matched[0] if matched else 0, stop
+    return matched, stop
+
+
+def _chains(pieces: list[list[tuple[int, int]]], reach: int) -> list[list[tuple[int, int]]]:
+    """For each piece (pairs of template and document places) the chain of pieces with
+    the most pairs that ends with it: both places rise, and a piece starts within
+    ``reach`` words after the one before."""
+    pieces, chains = sorted(pieces, key=lambda p: p[0][1]), []
+    for piece in pieces:
+        best = piece
+        for chain in chains:
+            i, j = chain[-1]
+            if piece[0][1] - j <= reach:
+                after = [p for p in piece if p[0] > i and p[1] > j]
+                if after and len(chain) + len(after) > len(best):
+                    best = chain + after
+        chains.append(best)
+    return chains
 
 
 def scan(text: bytes, blocks: list[tuple[Templates, np.ndarray]], least: float = LEAST_COVERAGE) -> list[tuple]:
     """(license, coverage, first word, end, spans) of each place where a template's
-    coverage reaches ``least``, in the document's order. Of places of one template
+    coverage reaches ``least``, or where a template of fewer than SHORT words is word for
+    word, in the document's order. Of places of one template
     that overlap the best stays."""
     out = []
     for known, hashes in blocks:
@@ -202,19 +228,32 @@ def scan(text: bytes, blocks: list[tuple[Templates, np.ndarray]], least: float =
             for template, q in known.index[v]:
                 seeds.setdefault(template, set()).add(p - q)
         for template, diagonals in seeds.items():
-            words_, found = known.texts[template], []
+            words_, found, pieces = known.texts[template], [], []
+            short = len(words_) < SHORT
             for low, high in _bands(sorted(diagonals)):
                 first = max(0, low)
                 part = numbers[first:max(0, high) + len(words_)].tolist()
                 # copies that follow each other closely share a band: take the best
                 # alignment, blank it and look again
                 while True:
-                    matched, start, stop = align(words_, part, low - first, high - first)
-                    coverage = len(matched) / len(words_)
-                    if not matched or coverage < least:
+                    pairs, stop = align_pairs(words_, part, low - first, high - first)
+                    if len(pairs) < min(GRAM, len(words_)):
                         break
-                    found.append((-coverage, start + first, stop + first, [m + first for m in matched]))
+                    start, coverage = pairs[0][1], len(pairs) / len(words_)
+                    placed = [(i, j + first) for i, j in pairs]
+                    if short:
+                        if coverage == 1 and stop - start == len(words_):
+                            found.append((-coverage, start + first, stop + first, [j for _, j in placed]))
+                    elif coverage >= least:
+                        found.append((-coverage, start + first, stop + first, [j for _, j in placed]))
+                    else:
+                        pieces.append(placed)
                     part[start:stop] = [0] * (stop - start)
+            # words put in or left out move the rest to another band
+            for chain in _chains(pieces, len(words_)):
+                coverage = len(chain) / len(words_)
+                if coverage >= least:
+                    found.append((-coverage, chain[0][1], chain[-1][1] + 1, [j for _, j in chain]))
             taken: list[tuple[int, int]] = []  # in order, none overlapping
             for cost, start, stop, matched in sorted(found):
                 i = bisect_left(taken, (start, stop))
@@ -270,7 +309,9 @@ def license_matches(
     license_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``doc_id, license_id, coverage, start, stop, spans``: a row for each place in a
-    document where ``least_coverage`` or more of a template's words align.
+    document where ``least_coverage`` or more of a template's words align; a template of
+    fewer than SHORT words must be there word for word. Parts of a template that follow
+    each other in its order, within as many words as it has, are one place.
 
     Places are word numbers from 0; ``spans`` are the runs of matching words in
     ``start`` to ``stop``. A template that shares no run of GRAM + WINDOW - 1 words

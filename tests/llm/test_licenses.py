@@ -119,3 +119,26 @@ def test_many_places_in_one_text():
     text = ("Released under the MIT License. " * 3000).encode()
     found = lic.scan(text, prepared(lic.TEMPLATES))
     assert [m[2] for m in found if m[0] == "MIT-notice"] == list(range(0, 15_000, 5))
+
+
+def test_long_insertions_and_deletions_are_chained():
+    blocks = prepared(lic.TEMPLATES)
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0"):
+        words = [w.decode() for w in lic.words(lic.TEMPLATES[name].encode())]
+        half = len(words) // 2
+        for size in (9, 20, 40):
+            copy = words[:half] + [f"q{i}" for i in range(size)] + words[half:]
+            found = {m[0]: m for m in lic.scan(" ".join(["x"] * 7 + copy).encode(), blocks)}
+            assert found[name][1:4] == (1.0, 7, 7 + len(copy)), (name, size)
+        copy = words[:half] + words[half + 10:]
+        found = {m[0]: m for m in lic.scan(" ".join(copy).encode(), blocks)}
+        assert name in found and found[name][1] == (len(words) - 10) / len(words)
+
+
+@pytest.mark.parametrize("line", [
+    "Released under the BSD License.", "Licensed under CC BY-SA 4.0.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+])
+def test_a_notice_of_another_license_is_not_found(line):
+    assert lic.scan(f"Some words. {line} More words.".encode(), prepared(lic.TEMPLATES)) == []
