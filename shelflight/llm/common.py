@@ -7,6 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -71,6 +72,16 @@ def blocks(data: bytes, size: int = PIECE) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
+def text_slices(batch: pa.RecordBatch, size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``size`` bytes of its binary column ``name``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(lengths, dtype=np.int64) // size
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def list_array(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list column from one numpy array for each row."""
     offsets = np.zeros(len(lists) + 1, np.int32)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelflight.llm.common import id_and_text
+from shelflight.llm.common import id_and_text, text_slices
 
 SHORTEST = 12
 # Bytes of a text up to which it is one tile.
@@ -205,22 +205,12 @@ def _solved(texts: list[bytes], shortest: int):
     return [len(w) for w in split], _run_lists(owner, len(texts), start - starts[owner], stop - start, period), made
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, about TOGETHER bytes of text at a time."""
-    sizes = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")), np.int64, batch.num_rows)
-    group = np.cumsum(sizes) // TOGETHER
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _short(given: DataFrame, result: T.StructType, shortest: int) -> DataFrame:
     arrow = to_arrow_schema(result)
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in text_slices(batch, TOGETHER):
                 sizes, runs, made = _solved(part.column("text").to_pylist(), shortest)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), runs.cast(arrow[2].type), pa.array(made, pa.binary())],

@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelflight.llm import (
-    bpe, decontaminate, langid, licenses, neighbours, periods, repair, sharding, simhash, warc,
+    bpe, chunkbpe, decontaminate, langid, licenses, neighbours, periods, repair, sharding, simhash, warc,
     wordpiece,
 )
 from shelflight.llm.common import table
@@ -73,6 +73,11 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_chunked_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizer = vocabularies.path("byte_bpe_50k.json")
+    return chunkbpe.digest(chunkbpe.encode(table(spark, sf, "documents"), tokenizer, decoded=True))
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return periods.digest(periods.periodic_runs(periods.looped(table(spark, sf, "documents"))))
 
@@ -88,5 +93,6 @@ QUERIES = {
     "op8_feistel_sharding": op8_feistel_sharding,
     "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_language_id": op10_language_id,
+    "op12_chunked_bpe": op12_chunked_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
