@@ -103,9 +103,43 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % 8 AS INTEGER) AS sh
        CAST(NULL AS INTEGER) AS grown_shard
 FROM numbered JOIN walk USING (no) WHERE place < walk.n"""
 
+# Phrases are their words joined by a space, which no word holds.
+_COLLOCATIONS = r"""
+WITH pieces AS (
+         SELECT coalesce(lang, 'und') AS lang,
+                unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\x0A-\x0D]')) AS piece
+         FROM documents),
+     words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+     phrases AS (
+         SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+         FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) t(k))
+         GROUP BY ALL),
+     sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE k = 1 GROUP BY lang),
+     often AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1 AND f >= 10),
+     cuts AS (
+         SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM often)),
+     scored AS (
+         SELECT c.lang, c.k, c.phrase, c.a, c, x.f AS l, y.f AS r,
+                (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+         FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = head JOIN phrases y ON y.lang = c.lang AND y.phrase = tail),
+     lowest AS (
+         SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+     held AS (
+         SELECT lang, part, max(a) AS longer
+         FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM often WHERE k = 3)
+         GROUP BY ALL),
+     ranked AS (
+         SELECT o.*, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank
+         FROM lowest o LEFT JOIN held h ON h.lang = o.lang AND part = phrase
+         WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
 ORACLE_SQL = {
     "op2_benchmark_decontamination": _DECONTAMINATION,
     "op3_nearest_vectors": _NEIGHBOURS,
     "op4_warc_in_zip": _WARC,
     "op8_feistel_sharding": _SHARDING,
+    "op11_phrase_collocations": _COLLOCATIONS,
 }

@@ -6,8 +6,8 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelflight.llm import (
-    bpe, chunkbpe, decontaminate, langid, licenses, neighbours, periods, repair, sharding, simhash, warc,
-    wordpiece,
+    bpe, chunkbpe, collocations, decontaminate, langid, licenses, neighbours, periods, repair,
+    sharding, simhash, warc, wordpiece,
 )
 from shelflight.llm.common import table
 from shelflight.llm.oracle import ORACLE_SQL  # noqa: F401
@@ -73,6 +73,10 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 def op12_chunked_bpe(spark: SparkSession, sf: str) -> DataFrame:
     tokenizer = vocabularies.path("byte_bpe_50k.json")
     return chunkbpe.digest(chunkbpe.encode(table(spark, sf, "documents"), tokenizer, decoded=True))
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_feistel_sharding": op8_feistel_sharding,
     "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_language_id": op10_language_id,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_chunked_bpe": op12_chunked_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
