@@ -22,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelflight.llm.common import WHITE, id_and_text, list_array, map_arrow
+from shelflight.llm.common import WHITE, id_and_text, list_array, map_arrow, text_slices
 
 # Characters of text given to the library at once, about.
 SEGMENT = 1 << 16
+# Bytes of text encoded and decoded before they are handed on.
+TOGETHER = 4 << 20
 # From this length a run of white space is one piece by itself.
 LONG_RUN = 1 << 12
 
@@ -77,6 +80,11 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts])
 
 
+def raw_bytes(enc: tiktoken.Encoding, ids: np.ndarray) -> bytes:
+    parts = (ids[i:i + SEGMENT].tolist() for i in range(0, len(ids), SEGMENT))
+    return b"".join(map(enc.decode_bytes, parts))
+
+
 def encode(
     docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -107,7 +115,8 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Adds ``decoded``, the raw bytes of ``ids``; ids of null give null.
 
     Bytes, not text: an id list cut anywhere decodes to the bytes it stands for.
-    An id outside the vocabulary fails the job.
+    An id outside the vocabulary fails the job. Rows are independent: repeats stay, no ids
+    give no bytes, an empty table gives an empty table, and a long list is decoded in parts.
     """
     kept = encoded.select("doc_id", "ids")
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
@@ -116,11 +125,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         enc = encoding(rank_file, pattern)
 
         def raw(ids):
-            if not ids.is_valid:
-                return None
-            values = ids.values.to_numpy(zero_copy_only=False)
-            parts = (values[i:i + SEGMENT].tolist() for i in range(0, len(values), SEGMENT))
-            return b"".join(map(enc.decode_bytes, parts))
+            return raw_bytes(enc, ids.values.to_numpy(zero_copy_only=False)) if ids.is_valid else None
 
         def step(batch):
             ids = batch.column("ids")
@@ -131,6 +136,28 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return map_arrow(kept, schema, start)
 
 
+def round_trip(
+    docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, ids, decoded``: ``decode`` of ``encode`` in one task and with one encoder,
+    a slice of TOGETHER bytes of text at a time. Rows are treated as ``encode`` does."""
+    given = id_and_text(docs, id_col, text_col)
+    schema = T.StructType([
+        given.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()),
+    ])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        enc = encoding(rank_file, pattern)
+        for batch in batches:
+            for part in text_slices(batch, TOGETHER):
+                ids = [encode_text(enc, t.as_py().decode("utf-8", "replace")) for t in part.column("text")]
+                columns = [part.column("doc_id"), list_array(ids, pa.int32()), pa.array([raw_bytes(enc, x) for x in ids])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return given.mapInArrow(run, schema)
+
+
 def round_trip_digest(decoded: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows."""
     return decoded.select(

@@ -275,7 +275,12 @@ def decontaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of an item occurs."""
+    """The rows of ``docs``, all columns, in which no window of an item occurs.
+
+    Null, empty and blank texts hold no window and stay, as do all rows if the benchmark
+    is empty or has no words. Rows are judged one by one on their whole texts, repeated
+    ones too; an empty table gives no rows.
+    """
     sent = test_blocks(benchmark, window, item_col, item_text_col, block_bytes)
     at = docs.columns.index(text_col)
 

@@ -84,8 +84,16 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
                 texts.setdefault(lang, []).append(text.as_py().decode("utf-8", "replace"))
             for lang, found in texts.items():
                 counts = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for part in _pieces("\n".join(found)):
-                    counts += np.bincount(trigrams(part), minlength=BUCKETS)
+                held, size = [], 0
+                for text in found:  # each by itself: no trigram reaches over two texts
+                    for part in _pieces(text):
+                        held.append(trigrams(part))
+                        size += len(held[-1])
+                        if size > PIECE:
+                            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                            held, size = [], 0
+                if held:
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
         for lang, counts in seen.items():
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -234,8 +242,11 @@ def in_known_language(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that known languages explain better than
     chance, and whose main one takes ``least_score`` of the text or more. Texts
-    without letters go; a text in several known languages stays. The decision does not
-    depend on how often the corpus repeats its trigrams."""
+    without letters (null, empty and blank ones too) go; a text in several known languages
+    stays, however long. Rows are judged one by one: repeated ones share their fate, ids
+    play no part but for the fold. An empty table gives no rows; if no row is labelled, no
+    language is known and none stays. The decision does not depend on how often the corpus
+    repeats its trigrams."""
     model = learn(_training(docs, id_col, text_col, lang_col), BACKGROUND)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

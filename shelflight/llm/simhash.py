@@ -295,18 +295,19 @@ def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
 
 
 def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row of ``docs`` with the smallest ``row_key`` of each component."""
-    first = rooted.groupBy("root").agg(F.min("first_id").alias("first_id")).select("first_id.*")
-    kept = first.select(*[F.col(c).alias("_kept_" + c) for c in first.columns])
-    key = row_key(docs, id_col, text_col)
-    keyed = docs.withColumn("_text_hash", key["text_hash"]).withColumn("_row_hash", key["row_hash"])
-    staying = keyed.join(
-        kept,
-        column(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_text_hash"))
-        & (F.col("_row_hash") == F.col("_kept_row_hash")),
+    """The row of ``docs`` with the smallest ``row_key`` of each component.
+
+    A row travels as one struct, so no column of it meets a name of the join.
+    """
+    first = rooted.groupBy("root").agg(F.min("first_id").alias("kept")).select("kept")
+    packed = docs.select(F.struct("*").alias("row"), row_key(docs, id_col, text_col).alias("key"))
+    staying = packed.join(
+        first,
+        F.col("key.id").eqNullSafe(F.col("kept.id")) & (F.col("key.text_hash") == F.col("kept.text_hash"))
+        & (F.col("key.row_hash") == F.col("kept.row_hash")),
         "left_semi",
     )
-    return staying.dropDuplicates([id_col, "_text_hash", "_row_hash"]).drop("_text_hash", "_row_hash")
+    return staying.dropDuplicates(["key"]).select("row.*")
 
 
 def one_of_each(
@@ -316,8 +317,10 @@ def one_of_each(
     """One row of ``docs`` for each component: that of its smallest id, null ids last;
     of several such rows the one with the smallest hash of its text, then of the row.
 
-    All columns are kept. Rows of one id whose texts are not linked are of different
-    components, and so are rows with null ids.
+    All columns are kept, whatever their names. Rows of one id whose texts are not linked
+    are of different components, and so are rows with null ids. Null, empty and blank
+    texts have fingerprint 0 and are linked like any other; repeated rows are one. Texts
+    of any length are read whole, in pieces. An empty table gives no rows.
     """
     given = docs.select(row_key(docs, id_col, text_col).alias("doc_id"), column(text_col).alias("text"))
     marked = freeze(fingerprints(given, width), "fingerprints")

@@ -66,5 +66,8 @@ def test_edge_cases(spark):
     digest = by_id(bpe.round_trip_digest(spark.createDataFrame(done)), "n_tokens", "ids_sha256", "decoded_sha256")
     assert digest[1] == digest[2] == (0, empty, empty)
     assert bpe.encode(docs_of(spark, []), RANKS, PATTERN).count() == 0
+    assert bpe.round_trip(docs_of(spark, []), RANKS, PATTERN).count() == 0
+    once = bpe.round_trip(docs, RANKS, PATTERN).collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, done))
     lost = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bpe.decode(lost, RANKS, PATTERN).first().decoded is None

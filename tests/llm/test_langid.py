@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelflight.llm import langid
 from tests.llm.helpers import by_id, docs_of
@@ -121,3 +122,12 @@ def test_stage_keeps_a_clean_sentence_of_new_words_in_a_large_corpus(spark, monk
     docs, counted = docs_of(spark, rows, LABELLED), langid.trigram_counts
     monkeypatch.setattr(langid, "trigram_counts", lambda x: counted(x).selectExpr("lang", "bucket", "n * 1000000 as n"))
     assert 100 in {r.doc_id for r in langid.in_known_language(docs).collect()}
+
+
+def test_counts_do_not_follow_the_layout(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    labelled = docs.where("lang is not null").select("lang", F.col("text").cast("binary").alias("text"))
+    found = [
+        sorted(map(tuple, langid.trigram_counts(labelled.repartition(n)).collect())) for n in (1, 7, 50)
+    ]
+    assert found[0] == found[1] == found[2]

@@ -158,3 +158,12 @@ def test_rows_of_one_text_and_id_give_the_same_row_each_time(spark):
     docs = docs_of(spark, rows, "doc_id long, text string, more map<string,int>")
     kept = [simhash.one_of_each(docs.repartition(n)).collect() for n in (1, 5)]
     assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_text_hash", "_row_hash", "_kept_id", "kept", "key", "row", "id", "root", "first_id", "code", "fingerprint"]
+    rows = [(1, "a b c d", *range(11)), (2, "a b c d", *range(11)), (3, "e f g h", *range(11, 22))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
