@@ -2,9 +2,9 @@
 
 1. A rolling hash over the last ``WINDOW`` characters cuts a text in chunks, so equal
    passages are cut alike wherever they stand.
-2. Each worker gives a chunk that it does not hold yet to the tokenizers library, all
-   new chunks of a slice of texts in one call, and keeps its ids within ``CACHE_BYTES``.
-   Chunks are compared as texts, not by their hash.
+2. Each worker gives a chunk that it does not hold yet to the tokenizers library, new
+   neighbours as one text and all those of a slice of texts in one call, and keeps its
+   ids within ``CACHE_BYTES``. Chunks are compared as texts, not by their hash.
 3. A chunk's ids hold between its first and last boundary: places where the
    pre-tokenizer always splits, whatever stands around them, and where the chunk's ids
    have a token end. A join is repaired by encoding the text from the last boundary
@@ -75,11 +75,15 @@ def chunks(text: str) -> list[str]:
 
 
 class Chunk(NamedTuple):
-    """Little-endian uint32 ids; characters and ids before the first and last boundary."""
+    """Little-endian uint32 ids between the first and the last boundary of a text, and
+    the characters before each; no boundaries, no ids."""
 
     ids: bytes
-    first: tuple[int, int] | None
-    last: tuple[int, int] | None
+    first: int
+    last: int
+
+
+NO_BOUNDARY = Chunk(b"", -1, -1)
 
 
 class Encoder:
@@ -120,41 +124,33 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.frombuffer(array("I", e.ids), np.uint32).astype("<u4", copy=False) for e in made]
 
-    def _agreed(self, text: str, ends: np.ndarray, place: int) -> tuple[int, int] | None:
-        """The place and the ids before it, if a token ends there."""
-        size = len(text[:place].encode())
-        at = int(np.searchsorted(ends, size))
-        return (place, at + 1) if at < len(ends) and ends[at] == size else None
-
-    def _chunk(self, text: str, ids: np.ndarray) -> Chunk:
-        ends = np.cumsum(self.bytes[ids])
+    def _between(self, text: str, ids: np.ndarray, ends: np.ndarray, start: int, size: int) -> Chunk:
+        """The chunk of a text that stands at byte ``start``, ``size`` bytes long, of what
+        ``ids`` were made of; ``ends`` are the bytes up to each id's end."""
         first = _BOUNDARY.search(text, 1)
         if first is None:
-            return Chunk(ids.tobytes(), None, None)
+            return NO_BOUNDARY
         last, back = first, 64
-        while back < 2 * len(text):
+        while back < 4 * len(text):
             found = list(_BOUNDARY.finditer(text, max(len(text) - back, 1)))
             if found:
                 last = found[-1]
                 break
             back *= 4
-        edges = [self._agreed(text, ends, m.start()) for m in (first, last)]
-        return Chunk(ids.tobytes(), *edges) if all(edges) else Chunk(ids.tobytes(), None, None)
-
-    def _learn(self, texts: set[str]) -> None:
-        """Sees to it that all of the texts are in ``new``."""
-        missing = []
-        for text in texts:
-            if text in self.new:
-                continue
-            kept = self.old.get(text)
-            if kept is None:
-                missing.append(text)
-            else:
-                self._keep(text, kept)
-        for text, ids in zip(missing, self._library(missing)):
-            self._keep(text, self._chunk(text, ids))
-            self.encoded += len(text)
+        places = first.start(), last.start()
+        wanted = np.array([start + len(text[:places[0]].encode()), start + size - len(text[places[1]:].encode())])
+        at = np.searchsorted(ends, wanted)
+        if at[1] >= len(ends) or (ends[at] != wanted).any():
+            return NO_BOUNDARY
+        return Chunk(ids[at[0] + 1:at[1] + 1].tobytes(), *places)
+
+    def _known(self, text: str) -> Chunk | None:
+        found = self.new.get(text)
+        if found is None:
+            found = self.old.get(text)
+            if found is not None:
+                self._keep(text, found)
+        return found
 
     def _keep(self, text: str, chunk: Chunk) -> None:
         self.new[text] = chunk
@@ -164,42 +160,88 @@ class Encoder:
         if 2 * self.held > self.cache_bytes:
             self.old, self.new, self.held = self.new, {}, 0
 
+    def _learn(self, run: list[str], ids: np.ndarray) -> None:
+        """Keeps the chunks of a run of neighbours that were encoded as one text."""
+        ends, at = np.cumsum(self.bytes[ids]), 0
+        for part in run:
+            size = len(part.encode())
+            self._keep(part, self._between(part, ids, ends, at, size))
+            at += size
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+        """Little-endian uint32 ids of each text.
+
+        New chunks that are neighbours are given to the library as one text, so only
+        joins with chunks that are held already, or that come twice, need repair.
+        """
         self._age()
-        cut = [chunks(text) for text in texts]
         self.asked += sum(map(len, texts))
-        self._learn({c for parts in cut for c in parts})
-        plans = [self._joined(parts) for parts in cut]
-        self._learn({p for plan in plans for p in plan if isinstance(p, str)})
-        made = [b"".join(self.new[p].ids if isinstance(p, str) else p for p in plan) for plan in plans]
-        for text, ids in zip(texts, made):
+        claimed: set[str] = set()
+        plans: list[list[str | list[str]]] = []
+        for text in texts:
+            plan: list[str | list[str]] = []
+            for part in chunks(text):
+                if part in claimed or self._known(part) is not None:
+                    plan.append(part)
+                    continue
+                claimed.add(part)
+                if plan and isinstance(plan[-1], list):
+                    plan[-1].append(part)
+                else:
+                    plan.append([part])
+            plans.append(plan)
+        runs = [run for plan in plans for run in plan if isinstance(run, list)]
+        whole = ["".join(run) for run in runs]
+        made = iter(self._counted(whole))
+        joined = []
+        own = iter(whole)
+        fresh: list[tuple[list[str], np.ndarray]] = []
+        items_of = []
+        for plan in plans:
+            items = []
+            for run in plan:
+                if isinstance(run, list):
+                    ids = next(made)
+                    fresh.append((run, ids))
+                    items.append((next(own), ids))
+                else:
+                    items.append((run, None))
+            items_of.append(items)
+        for run, ids in fresh:
+            self._learn(run, ids)
+        for items in items_of:
+            joined.append(self._joined(items))
+        repairs = list({p for parts in joined for p in parts if isinstance(p, str)})
+        repaired = dict(zip(repairs, (x.tobytes() for x in self._counted(repairs))))
+        result = [b"".join(repaired[p] if isinstance(p, str) else p for p in parts) for parts in joined]
+        for text, ids in zip(texts, result):
             if int(self.bytes[np.frombuffer(ids, "<u4")].sum()) != len(text.encode()):
                 raise AssertionError("ids do not stand for the text")
-        return made
+        return result
 
-    def _joined(self, parts: list[str]) -> list[bytes | str]:
-        """Ids that hold and texts to encode anew, in order."""
-        if len(parts) < 2:
-            return list(parts)
+    def _counted(self, texts: list[str]) -> list[np.ndarray]:
+        self.encoded += sum(map(len, texts))
+        return self._library(texts)
+
+    def _joined(self, items: list[tuple[str, np.ndarray | None]]) -> list[bytes | str]:
+        """Ids that hold and texts to encode anew, in order, of a document's runs (with
+        their ids) and held chunks."""
+        if len(items) == 1 and items[0][1] is not None:
+            return [items[0][1].tobytes()]
         made: list[bytes | str] = []
-        waiting, end = [], len(parts) - 1
-        for i, part in enumerate(parts):
-            ids, first, last = self.new[part]
-            if first is None or last is None:
-                waiting.append(part)
-                continue
-            low = 0
-            if i:
-                waiting.append(part[:first[0]])
-                made.append("".join(waiting))
-                low = 4 * first[1]
-            if i == end:
-                made.append(ids[low:])
-                waiting = []
+        waiting: list[str] = []
+        for i, (text, ids) in enumerate(items):
+            if ids is None:
+                inner, first, last = self.new[text]
             else:
-                made.append(ids[low:4 * last[1]])
-                waiting = [part[last[0]:]]
+                ends = np.cumsum(self.bytes[ids])
+                inner, first, last = self._between(text, ids, ends, 0, len(text.encode()))
+            if first < 0:
+                waiting.append(text)
+                continue
+            waiting.append(text[:first])
+            made += ["".join(waiting), inner]
+            waiting = [text[last:]]
         if waiting:
             made.append("".join(waiting))
         return made
