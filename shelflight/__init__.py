@@ -1,5 +1,7 @@
 """Batch catalog search and facet analytics on Spark."""
 
+from shelflight.functions.double_metaphone import DOUBLE_METAPHONE, double_codes
+from shelflight.functions.phonetic import METAPHONE, PhoneticEncoder, metaphone, query_codes
 from shelflight.operators.checks import index_meta, require_consistent_vectors, vector_check
 from shelflight.operators.embedding import HashedNGrams, ModelEmbedder, embed_table
 from shelflight.operators.facets import (

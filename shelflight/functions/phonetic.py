@@ -12,6 +12,8 @@ so no shuffle, whatever share of the catalog one brand holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import Column, functions as F
 from shelflight.functions.text import tokens
 
 # Accented letters count as their base letter (fixed values).
-_ACCENTED, _BASE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+ACCENTED, BASE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 # (pattern, replacement), in order of application (fixed values).
 RULES = (
@@ -72,16 +74,24 @@ RULES = (
 
 def metaphone(text: Column) -> Column:
     """Upper-case Metaphone code; empty when nothing in the text is a letter."""
-    plain = F.translate(F.lower(text), _ACCENTED, _BASE)
+    plain = F.translate(F.lower(text), ACCENTED, BASE)
     coded = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), RULES, plain)
     return F.upper(coded)
 
 
-def query_codes(text: Column) -> Column:
-    """Sorted set of the codes of a query's tokens.
+@dataclass(frozen=True)
+class PhoneticEncoder:
+    """``brand``: text to its one code; ``words``: a token to an array of its codes."""
 
-    Codes are a set so that an encoder with alternate codes can add a second
-    code per token.
-    """
-    codes = F.transform(tokens(text), metaphone)
+    name: str
+    brand: Callable[[Column], Column]
+    words: Callable[[Column], Column]
+
+
+METAPHONE = PhoneticEncoder("metaphone", metaphone, lambda token: F.array(metaphone(token)))
+
+
+def query_codes(text: Column, encoder: PhoneticEncoder = METAPHONE) -> Column:
+    """Sorted set of the codes of a query's tokens, alternate codes included."""
+    codes = F.flatten(F.transform(tokens(text), lambda token: encoder.words(token)))
     return F.array_sort(F.array_distinct(F.filter(codes, lambda code: code != "")))

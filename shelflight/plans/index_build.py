@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelflight.functions.phonetic import metaphone
+from shelflight.functions.phonetic import METAPHONE, PhoneticEncoder
 from shelflight.functions.text import normalise, search_text, strip
 from shelflight.operators.checks import meta_record, require_consistent_vectors
 from shelflight.operators.embedding import HashedNGrams, embed_table
@@ -12,7 +12,9 @@ from shelflight.sources.catalog import catalog_head, require_columns
 from shelflight.sources.sinks import freeze, read_index, write_index, write_lookup, write_meta
 
 
-def prepare_catalog(raw: DataFrame, null_text: str = "nan") -> DataFrame:
+def prepare_catalog(
+    raw: DataFrame, null_text: str = "nan", phonetic: PhoneticEncoder = METAPHONE
+) -> DataFrame:
     """Normalised texts, the text to embed and the brand's phonetic code, all
     computed on the row's own partition. Ids stay text."""
     require_columns(raw)
@@ -29,7 +31,7 @@ def prepare_catalog(raw: DataFrame, null_text: str = "nan") -> DataFrame:
     return prepared.withColumns(
         {
             "search_text": search_text(F.col("brand_name"), F.col("product_name"), F.col("category_name")),
-            "brand_phonetic": metaphone(F.col("brand_name")),
+            "brand_phonetic": phonetic.brand(F.col("brand_name")),
         }
     )
 
@@ -54,21 +56,22 @@ def lookup_export(lookup: DataFrame) -> DataFrame:
     )
 
 
-def brand_codes(prepared: DataFrame) -> DataFrame:
+def brand_codes(prepared: DataFrame, phonetic: PhoneticEncoder = METAPHONE) -> DataFrame:
     """Phonetic code of every distinct brand."""
     brands = prepared.select("brand_name").distinct()
-    return brands.select("brand_name", metaphone(F.col("brand_name")).alias("brand_phonetic"))
+    return brands.select("brand_name", phonetic.brand(F.col("brand_name")).alias("brand_phonetic"))
 
 
 def build_catalog_index(
-    raw: DataFrame, path: str, embedder=None, max_rows: int | None = None, null_text: str = "nan"
+    raw: DataFrame, path: str, embedder=None, max_rows: int | None = None, null_text: str = "nan",
+    phonetic: PhoneticEncoder = METAPHONE,
 ) -> DataFrame:
     """Build and write the index, lookup and metadata below ``path``; returns
     the index as read back. Nothing is written there before the vectors are checked:
     the index is built in the shared folder first, and one pass over its vectors
     serves the check and the metadata."""
     embedder = embedder or HashedNGrams()
-    prepared = prepare_catalog(catalog_head(raw, max_rows), null_text)
+    prepared = prepare_catalog(catalog_head(raw, max_rows), null_text, phonetic)
     embedded = embed_table(prepared, "search_text", embedder)
     staged = freeze(lookup_columns(embedded, "embedding"), "staged-index")
     found = require_consistent_vectors(staged)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelflight.functions.phonetic import query_codes
+from shelflight.functions.phonetic import METAPHONE, PhoneticEncoder, query_codes
 from shelflight.operators.embedding import embed_table
 from shelflight.operators.facets import facet_options, facet_rows
 from shelflight.operators.filters import filter_hits
@@ -39,32 +39,37 @@ def _as_computed(requests: DataFrame, batch: RequestBatch) -> DataFrame:
     return requests.sparkSession.createDataFrame(rows, plain.schema)
 
 
-def _ranked(requests: DataFrame, index: DataFrame, batch: RequestBatch, limit_bytes: int) -> DataFrame:
+def _ranked(
+    requests: DataFrame, index: DataFrame, batch: RequestBatch, limit_bytes: int, phonetic: PhoneticEncoder
+) -> DataFrame:
     candidates = knn_candidates(requests, index.select("row_id", "embedding"), batch, limit_bytes)
     # The pool is far smaller than the catalog: only its rows' metadata is read on.
     pool = attach_lookup(candidates.drop("rank"), index.select("row_id", *_METADATA))
     asked = _as_computed(requests, batch)
-    wanted = asked.select("query_id", "k", "boost", query_codes(F.col("q")).alias("codes"))
+    wanted = asked.select("query_id", "k", "boost", query_codes(F.col("q"), phonetic).alias("codes"))
     return phonetic_rerank(pool, wanted)
 
 
 def ranked_pool(
-    requests: DataFrame, index: DataFrame, embedder=None, limit_bytes: int = BATCH_LIMIT_BYTES
+    requests: DataFrame, index: DataFrame, embedder=None, limit_bytes: int = BATCH_LIMIT_BYTES,
+    phonetic: PhoneticEncoder = METAPHONE,
 ) -> DataFrame:
     """Candidate pool of every request with distance, boosted score and rank."""
     requests = _complete(requests, embedder)
-    return _ranked(requests, index, measure_batch(requests, limit_bytes), limit_bytes)
+    return _ranked(requests, index, measure_batch(requests, limit_bytes), limit_bytes, phonetic)
 
 
 def hybrid_search(
-    requests: DataFrame, index: DataFrame, embedder=None, limit_bytes: int = BATCH_LIMIT_BYTES
+    requests: DataFrame, index: DataFrame, embedder=None, limit_bytes: int = BATCH_LIMIT_BYTES,
+    phonetic: PhoneticEncoder = METAPHONE,
 ) -> DataFrame:
     """Nearest rows, phonetic boost, best ``k`` of every request.
 
     ``requests``: ``query_id, q`` and optionally ``k, pool, boost, qvec``;
-    ``index``: see ``build_catalog_index``. A single search is a batch of one.
+    ``index``: see ``build_catalog_index``, built with the same ``phonetic`` encoder. A
+    single search is a batch of one.
     """
-    return best_k(ranked_pool(requests, index, embedder, limit_bytes))
+    return best_k(ranked_pool(requests, index, embedder, limit_bytes, phonetic))
 
 
 def search_with_facets(
@@ -74,6 +79,7 @@ def search_with_facets(
     facets: DataFrame,
     embedder=None,
     limit_bytes: int = BATCH_LIMIT_BYTES,
+    phonetic: PhoneticEncoder = METAPHONE,
 ) -> DataFrame:
     """Hybrid search whose hits are then narrowed by the request's filters.
 
@@ -83,7 +89,7 @@ def search_with_facets(
     """
     requests = _complete(with_search_defaults(requests), embedder)
     batch = measure_batch(requests, limit_bytes)
-    hits = freeze(best_k(_ranked(requests, index, batch, limit_bytes)), "hits")
+    hits = freeze(best_k(_ranked(requests, index, batch, limit_bytes, phonetic)), "hits")
     asked = _as_computed(requests, batch)
     return filter_hits(hits, asked, skus, facets, batch.result_bytes <= limit_bytes)
 

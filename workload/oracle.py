@@ -13,6 +13,18 @@ WORD_CODES = {
 }
 _CODES = "(VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in WORD_CODES.items()) + ") AS codes(word, code)"
 
+# Double Metaphone codes of the same words, where the second differs both (fixed values).
+DOUBLE_CODES = {
+    "red": "RT", "blue": "PL", "large": "LRJ LRK", "new": "N NF", "cold": "KLT", "hot": "HT",
+    "old": "ALT", "small": "SML XML", "ring": "RNK", "bolt": "PLT", "anvil": "ANFL",
+    "widget": "AJT FJT", "gear": "JR KR", "gizmo": "JSM KSM", "plate": "PLT", "rod": "RT", "nan": "NN",
+    "100": "", "2000": "", "3m 300": "M", "çelik": "SLK", "celik": "SLK",
+}
+_DOUBLE = "(VALUES " + ", ".join(
+    f"('{w}', '{code}')" for w, codes in DOUBLE_CODES.items() for code in codes.split(" ")) + ") AS codes(word, code)"
+_FIRST = "(VALUES " + ", ".join(
+    f"('{w}', '{codes.split(' ')[0]}')" for w, codes in DOUBLE_CODES.items()) + ") AS codes(word, code)"
+
 # Price buckets: number, label, lower bound, upper bound, shown minimum and maximum
 # (fixed values).
 _BUCKETS = """(VALUES
@@ -132,6 +144,9 @@ WITH lookup AS ({_LOOKUP}),
 
 
 _HYBRID = _built(5, 50)
+# brands take the first code, queries both
+_HYBRID_DOUBLE = _HYBRID.replace("JOIN " + _CODES + " USING (word)", "JOIN " + _DOUBLE + " USING (word)").replace(
+    "JOIN " + _CODES + " ON word", "JOIN " + _FIRST + " ON word")
 
 # ---- facets ----------------------------------------------------------------
 
@@ -346,6 +361,10 @@ _SQL = {
     "brand_phonetic": f"""SELECT DISTINCT brand_name, code AS brand_phonetic
                           FROM ({_NORMAL}) JOIN {_CODES} ON word = brand_name""",
     "query_phonetic": _HYBRID + " SELECT * FROM codes",
+    "brand_phonetic_double": f"""SELECT DISTINCT brand_name, code AS brand_phonetic
+                                 FROM ({_NORMAL}) JOIN {_FIRST} ON word = brand_name""",
+    "query_phonetic_double": _HYBRID_DOUBLE + " SELECT * FROM codes",
+    "hybrid_search_double": _HYBRID_DOUBLE + " SELECT * FROM hits",
     "phonetic_rerank": _HYBRID + " SELECT query_id, row_id, brand_phonetic, dist, score, rank FROM reranked",
     "hybrid_search": _HYBRID + " SELECT * FROM hits",
     "hit_report": _HYBRID + """

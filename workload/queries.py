@@ -195,9 +195,31 @@ def brand_phonetic(spark, sf):
 
 
 def query_phonetic(spark, sf):
-    from shelflight.functions.phonetic import query_codes
+    return text_requests(spark, sf).select("query_id", F.explode(sl.query_codes(F.col("q"))).alias("code"))
 
-    return text_requests(spark, sf).select("query_id", F.explode(query_codes(F.col("q"))).alias("code"))
+
+def brand_phonetic_double(spark, sf):
+    return sl.brand_codes(catalog(spark, sf), sl.DOUBLE_METAPHONE)
+
+
+def query_phonetic_double(spark, sf):
+    codes = sl.query_codes(F.col("q"), sl.DOUBLE_METAPHONE)
+    return text_requests(spark, sf).select("query_id", F.explode(codes).alias("code"))
+
+
+@lru_cache(maxsize=8)
+def double_index(spark, sf):
+    """The index with the two-code encoder's brand codes."""
+    return sl.build_catalog_index(
+        view(spark, sf, "catalog_raw"), scratch_path(spark, "index"), phonetic=sl.DOUBLE_METAPHONE
+    )
+
+
+def hybrid_search_double(spark, sf):
+    """From text to hits, boosted where a brand's code is one of a token's two codes."""
+    return sl.hybrid_search(
+        text_requests(spark, sf), double_index(spark, sf), EMBEDDER, phonetic=sl.DOUBLE_METAPHONE
+    )
 
 
 def phonetic_rerank(spark, sf):
@@ -358,6 +380,9 @@ QUERIES = {
     "knn_lookup": knn_lookup,
     "brand_phonetic": brand_phonetic,
     "query_phonetic": query_phonetic,
+    "brand_phonetic_double": brand_phonetic_double,
+    "query_phonetic_double": query_phonetic_double,
+    "hybrid_search_double": hybrid_search_double,
     "phonetic_rerank": phonetic_rerank,
     "hybrid_search": hybrid_search,
     "hit_report": hit_report,
