@@ -2,9 +2,11 @@
 
 1. A rolling hash over the last ``WINDOW`` characters cuts a text in chunks, so equal
    passages are cut alike wherever they stand.
-2. Each worker gives a chunk that it does not hold yet to the tokenizers library, new
+2. Each worker encodes a chunk that it does not hold yet by the tokenizers library, new
    neighbours as one text and all those of a slice of texts in one call, and keeps its
-   ids within ``CACHE_BYTES``. Chunks are compared as texts, not by their hash.
+   ids within ``CACHE_BYTES``. Chunks are compared as texts, not by their hash. A new
+   text is itself made of spans (a word with the white space before it) that end at
+   boundaries and so need no repair; each distinct span is encoded once.
 3. A chunk's ids hold between its first and last boundary: places where the
    pre-tokenizer always splits, whatever stands around them, and where the chunk's ids
    have a token end. A join is repaired by encoding the text from the last boundary
@@ -34,7 +36,10 @@ from shelflight.llm.common import WHITE, id_and_text, text_slices
 WINDOW = 32
 MEAN, LEAST, MOST = 512, 128, 4096
 # Bytes of cached chunks in a worker, about; half of them stay when it is full.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
+# Bytes of cached spans in a worker, about; characters of the longest span kept; spans
+# given to the library as one text.
+SPAN_BYTES, LONGEST_SPAN, STRUNG = 96 << 20, 256, 512
 # Bytes of text encoded at once.
 TOGETHER = 1 << 20
 # Ids decoded at once, about.
@@ -46,6 +51,7 @@ _FACTOR = 0x9E3779B1
 # from anything else to white space.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡА-яぁ-ゖァ-ヺ一-龥"
 _SIGNS = ".,;:!?()、。！，：；？"
+_SPAN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _BOUNDARY = re.compile(f"(?<=[^{WHITE}])[{WHITE}]|(?<=[{_LETTERS}])[{_SIGNS}]")
 
 
@@ -118,12 +124,43 @@ class Encoder:
         self.cache_bytes = cache_bytes
         self.new: dict[str, Chunk] = {}
         self.old: dict[str, Chunk] = {}
-        self.held = self.asked = self.encoded = 0
+        self.spans: dict[str, bytes] = {}
+        self.held = self.span_bytes = self.asked = self.encoded = 0
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.frombuffer(array("I", e.ids), np.uint32).astype("<u4", copy=False) for e in made]
 
+    def _learn_spans(self, spans: list[str]) -> None:
+        """Encodes new spans. Those that begin with white space after a word and end with
+        a word stand in one text as they do here, and are told apart by their bytes."""
+        strung = [s for s in spans if s[0] in WHITE and s[-1] not in WHITE]
+        alone = [s for s in spans if s[0] not in WHITE or s[-1] in WHITE]
+        for span, ids in zip(alone, self._library(alone)):
+            self.spans[span] = ids.tobytes()
+        groups = [strung[i:i + STRUNG] for i in range(0, len(strung), STRUNG)]
+        for group, ids in zip(groups, self._library(["".join(g) for g in groups])):
+            ends = np.cumsum(self.bytes[ids])
+            sizes = np.fromiter((len(s.encode()) for s in group), np.int64, len(group))
+            cuts = (4 * (np.searchsorted(ends, np.cumsum(sizes)) + 1)).tolist()
+            data = ids.tobytes()
+            self.spans.update(zip(group, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+        self.span_bytes += sum(5 * len(s) + 160 for s in spans)
+
+    def _spelled(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of texts, each distinct span encoded once."""
+        if self.span_bytes > SPAN_BYTES:
+            self.spans, self.span_bytes = {}, 0
+        split = [_SPAN.findall(text) for text in texts]
+        new = list(set().union(*split).difference(self.spans))
+        self._learn_spans(new)
+        made = [np.frombuffer(b"".join(map(self.spans.__getitem__, spans)), "<u4") for spans in split]
+        for span in new:
+            if len(span) > LONGEST_SPAN:
+                del self.spans[span]
+                self.span_bytes -= 5 * len(span) + 160
+        return made
+
     def _between(self, text: str, ids: np.ndarray, ends: np.ndarray, start: int, size: int) -> Chunk:
         """The chunk of a text that stands at byte ``start``, ``size`` bytes long, of what
         ``ids`` were made of; ``ends`` are the bytes up to each id's end."""
@@ -221,7 +258,7 @@ class Encoder:
 
     def _counted(self, texts: list[str]) -> list[np.ndarray]:
         self.encoded += sum(map(len, texts))
-        return self._library(texts)
+        return self._spelled(texts)
 
     def _joined(self, items: list[tuple[str, np.ndarray | None]]) -> list[bytes | str]:
         """Ids that hold and texts to encode anew, in order, of a document's runs (with
