@@ -6,6 +6,8 @@ are alternatives, keys must all hold.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelflight.functions.price import LABELS
@@ -15,6 +17,9 @@ from shelflight.operators.ranking import is_small, small_side
 from shelflight.settings import PRICE_KEY
 from shelflight.sources.sinks import freeze
 
+if TYPE_CHECKING:
+    from shelflight.operators.facet_index import FacetIndex
+
 
 def _usable_values(key: Column, values: Column, price_aware: bool) -> Column:
     """Values of a filter that can restrict anything."""
@@ -131,11 +136,13 @@ def filter_hits(
     skus: DataFrame,
     facets: DataFrame,
     small_hits: bool = False,
+    index: FacetIndex | None = None,
 ) -> DataFrame:
     """Hits whose id passes the filters; ranks are kept, nothing is refilled.
 
     Hits of a request without filters stay, and so do all hits of a list in
-    which no hit has an id.
+    which no hit has an id. With an ``index`` (see ``build_facet_index``) the filters
+    are answered from it, and ``skus`` and ``facets`` are not read.
     """
     asked = requests.select(
         "query_id", (F.coalesce(F.size("filters"), F.lit(0)) > 0).alias("_filtered")
@@ -148,9 +155,14 @@ def filter_hits(
         .withColumn("_has_id", has_id)
     )
     usable = marked.where(F.col("_filtered") & F.col("_has_id"))
+    if index is None:
+        found = filter_skus(usable, requests, skus, facets, small_hits)
+    else:
+        from shelflight.operators.facet_index import filter_skus_indexed
+
+        found = filter_skus_indexed(usable, requests, index, small_hits)
     matched = (
-        filter_skus(usable, requests, skus, facets, small_hits)
-        .distinct()
+        found.distinct()
         .withColumn("_matched", F.lit(True))
     )
     if small_hits and is_small(hits):

@@ -12,7 +12,8 @@ start of some partitions bounds each request's list, and each block's lists are
 merged and written before the next block is shipped, so the driver holds one
 block at a time.
 
-The partial lists are merged in two steps.
+The partial lists are merged in two steps. Requests whose lists would be too long for
+that are answered by distributed selection (``selection``).
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelflight.settings import BATCH_LIMIT_BYTES, MERGE_FANIN
+from shelflight.operators.selection import wide_candidates
+from shelflight.settings import BATCH_LIMIT_BYTES, MERGE_FANIN, WIDE_POOL
 from shelflight.sources.sinks import freeze
 
 # Tasks get this module by value, so executors need not have it installed.
@@ -291,7 +293,7 @@ def _first_bounds(catalog, shipped, dim, queries):
     return np.where(np.isnan(bound), np.inf, bound)
 
 
-def _merged(partial, max_limit):
+def _merged(partial, max_limit, keep_limit=False):
     """The best rows of each request from its partial lists, in two steps: first in
     MERGE_FANIN lanes, so that one request's lists are never in one task."""
     nearest_first = (F.col("dist"), F.col("row_id"))
@@ -301,7 +303,7 @@ def _merged(partial, max_limit):
     lanes = partial.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(MERGE_FANIN)))
     first = lanes.withColumn("rank", F.row_number().over(spread)).where(cut)
     return first.withColumn("rank", F.row_number().over(final)).where(cut).select(
-        "query_id", "rank", "row_id", "dist"
+        "query_id", "rank", "row_id", "dist", *(["pool_limit"] if keep_limit else [])
     )
 
 
@@ -310,15 +312,19 @@ def knn_candidates(
     catalog: DataFrame,
     batch: RequestBatch | None = None,
     limit_bytes: int = BATCH_LIMIT_BYTES,
+    wide_pool: int = WIDE_POOL,
 ) -> DataFrame:
     """The ``max(pool, k)`` nearest catalog rows of every request.
 
     ``requests``: ``query_id, k, pool, qvec``; ``catalog``: ``row_id, embedding``.
     Returns ``query_id, rank, row_id, dist`` with ties broken by ``row_id``. The
-    distance is the squared L2 distance in DOUBLE.
+    distance is the squared L2 distance in DOUBLE. Requests for more than ``wide_pool``
+    rows are answered by ``wide_candidates``: no task holds or sorts one's whole pool.
     """
     asked = requests.select("query_id", "k", "pool", "qvec")
     batch = batch or measure_batch(asked, limit_bytes)
+    if batch.max_limit > wide_pool:
+        return _with_wide_pools(asked, catalog, batch, limit_bytes, wide_pool)
     spark = catalog.sparkSession
     spark_schema, arrow_schema = _result_types(requests)
     vectors = catalog.select(F.col("row_id").cast("long"), "embedding")
@@ -358,6 +364,28 @@ def knn_candidates(
     return F.broadcast(candidates) if batch.result_bytes <= limit_bytes else candidates
 
 
+def _with_wide_pools(
+    asked: DataFrame, catalog: DataFrame, batch: RequestBatch, limit_bytes: int, wide_pool: int
+) -> DataFrame:
+    """Requests within ``wide_pool`` rows by lists, the others by selection."""
+    spark = catalog.sparkSession
+    asked = freeze(asked, "requests")
+    wide = asked.where(pool_limit() > wide_pool).withColumn("pool_limit", pool_limit())
+    narrow = knn_candidates(asked.where(pool_limit() <= wide_pool), catalog, None, limit_bytes, wide_pool)
+    schema, arrow_schema = _result_types(asked)
+
+    def ship(table):
+        ids = _column(table, "query_id").cast(arrow_schema.field(0).type)
+        limits = _column(table, "pool_limit").to_numpy().astype(np.int64)
+        queries = _matrix(_column(table, "qvec"), batch.dim).astype(np.float64)
+        return spark.sparkContext.broadcast((ids, limits, queries, None))
+
+    at_once = max(1, limit_bytes // (16 * batch.dim + 64))
+    vectors = catalog.select(F.col("row_id").cast("long"), "embedding")
+    found = wide_candidates(wide, vectors, batch.dim, at_once, schema, ship, _matrix)
+    return narrow.unionByName(found)
+
+
 def attach_lookup(candidates: DataFrame, lookup: DataFrame) -> DataFrame:
     """Metadata of each candidate, by key instead of by position."""
     return candidates.join(lookup, "row_id")

@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelflight.settings import SMALL_ROWS, ensure_checkpoint_dir
+from shelflight.settings import SMALL_ROWS
+from shelflight.sources.sinks import freeze
 
 
 def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """``row_number()`` over ``group`` by ``order`` without one task per group.
 
     A range sort spreads every group over as many partitions as its rows need.
-    The sorted rows are frozen by a checkpoint (a repeated range sort may cut
-    elsewhere) and stand in order, so a row's number is its distance from the
-    group's first row of the partition, plus the group's rows in earlier
-    partitions: two numbers for each (partition, group), attached by a join that
-    leaves the rows in place while that table is small.
+    The sorted rows are written with their place (a repeated range sort may cut
+    elsewhere), so a row's number is its distance from the group's first row of the
+    partition, plus the group's rows in earlier partitions: two numbers for each
+    (partition, group), read from two columns of the written table and attached by a
+    join that leaves the rows where they are while that table is small.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.orderBy(*group, *order).withColumn("_at", F.monotonically_increasing_id())
     frozen = (
-        df.orderBy(*group, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
+        freeze(placed, "sorted-rows")
         .withColumn("_part", F.shiftright("_at", 33))
         .withColumn("_group", F.struct(*group))
     )

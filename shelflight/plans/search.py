@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelflight.functions.phonetic import METAPHONE, PhoneticEncoder, query_codes
 from shelflight.operators.embedding import embed_table
+from shelflight.operators.facet_index import FacetIndex
 from shelflight.operators.facets import facet_options, facet_rows
 from shelflight.operators.filters import filter_hits
 from shelflight.operators.knn import RequestBatch, attach_lookup, knn_candidates, measure_batch
 from shelflight.operators.prices import price_range_facets
 from shelflight.operators.rerank import best_k, phonetic_rerank
-from shelflight.settings import BATCH_LIMIT_BYTES, DEFAULT_BOOST, DEFAULT_K, DEFAULT_POOL
+from shelflight.settings import BATCH_LIMIT_BYTES, DEFAULT_BOOST, DEFAULT_K, DEFAULT_POOL, WIDE_POOL
 from shelflight.sources.requests import with_search_defaults
 from shelflight.sources.sinks import freeze
 
@@ -47,7 +48,7 @@ def _ranked(
     pool = attach_lookup(candidates.drop("rank"), index.select("row_id", *_METADATA))
     asked = _as_computed(requests, batch)
     wanted = asked.select("query_id", "k", "boost", query_codes(F.col("q"), phonetic).alias("codes"))
-    return phonetic_rerank(pool, wanted)
+    return phonetic_rerank(pool, wanted, spread=batch.max_limit > WIDE_POOL)
 
 
 def ranked_pool(
@@ -80,18 +81,20 @@ def search_with_facets(
     embedder=None,
     limit_bytes: int = BATCH_LIMIT_BYTES,
     phonetic: PhoneticEncoder = METAPHONE,
+    facet_index: FacetIndex | None = None,
 ) -> DataFrame:
     """Hybrid search whose hits are then narrowed by the request's filters.
 
     Filters apply after the best ``k`` are taken, so fewer may remain. The hits
     are written once and then filtered; the batch bounds their number, which
-    decides whether they may be broadcast.
+    decides whether they may be broadcast. With a ``facet_index`` filters are answered
+    from it.
     """
     requests = _complete(with_search_defaults(requests), embedder)
     batch = measure_batch(requests, limit_bytes)
     hits = freeze(best_k(_ranked(requests, index, batch, limit_bytes, phonetic)), "hits")
     asked = _as_computed(requests, batch)
-    return filter_hits(hits, asked, skus, facets, batch.result_bytes <= limit_bytes)
+    return filter_hits(hits, asked, skus, facets, batch.result_bytes <= limit_bytes, facet_index)
 
 
 def facets_for_hits(

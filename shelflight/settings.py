@@ -24,6 +24,9 @@ BATCH_LIMIT_BYTES = 64 << 20
 # spread over this many groups, so a single query never lands in one task.
 MERGE_FANIN = 32
 
+# Pools above this many rows are selected without lists (see operators/selection.py).
+WIDE_POOL = 1 << 17
+
 # Hit rows (two short ids each) that may be broadcast, after counting them.
 SMALL_ROWS = 500_000
 
@@ -34,21 +37,16 @@ PRICE_KEY = "price_range"
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for intermediate data of this application:
     below ``spark.checkpoint.dir`` where the session names one, else the context's
-    checkpoint folder, else the session's warehouse."""
-    root = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.sql.warehouse.dir")
-    )
+    checkpoint folder, else the session's warehouse. On a cluster the warehouse must not
+    be a folder of the driver's machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and root.startswith(("/", "file:")):
+            raise ValueError(f"set spark.checkpoint.dir: executors may not reach {root}")
     return os.path.join(root, f"shelflight-{spark.sparkContext.applicationId}")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``checkpoint()`` at the shared folder unless the session already does."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

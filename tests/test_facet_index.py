@@ -1,0 +1,88 @@
+"""Filters from the inverted index against the filters on the catalog's own rows."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import shelflight as sl
+from shelflight.operators.facet_index import build_facet_index, filter_skus_indexed, read_facet_index
+from tests.conftest import rows_of
+
+SKUS = "id string, label string, brandId string, brandLabel string, consumerSellingPrice double"
+FACETS = "brandSKUId string, standardKey string, standardValue string, value string, isActive boolean"
+REQUESTS = "query_id string, filters map<string,array<string>>"
+
+
+@pytest.fixture(scope="module")
+def data(spark, tmp_path_factory):
+    draw = random.Random(7)
+    prices = [None, -1.0, 0.0, 50.0, 150.0, 99.995, 3000.0, 1e6]
+    skus = [(f"s{i}", f"l{i % 9}", "b", "B", draw.choice(prices)) for i in range(400)]
+    facets = []
+    for i in range(430):  # the last ids are no SKUs
+        for key in ("size", "type", "price_range"):
+            for _ in range(draw.randint(0, 2)):
+                value = draw.choice(["1", "2", "3", " n/a ", "-", None, "Under ₹100"])
+                facets.append((f"s{i}", draw.choice([key, key, None]), value, draw.choice(["1", "x"]), draw.random() < 0.8))
+    cases = [
+        None, {}, {"size": []}, {"size": ["1"]}, {"size": ["1", "2", "2"], "type": ["3", "x"]}, {"type": ["none of them"]},
+        {"price_range": ["Under ₹100"]}, {"price_range": ["unknown"]}, {"price_range": ["unknown", "₹100 - ₹250"], "size": ["x", "1", "2"]},
+        {"size": ["1"], "type": ["1"], "price_range": ["Above ₹5,000", "Under ₹100"]}, {"no such key": ["1"]}, {"size": [None, "1"]},
+    ]
+    requests = [(f"q{i}", c) for i, c in enumerate(cases)] + [("twin", cases[4])]
+    hits = [(q, f"s{draw.randrange(440)}") for q, _ in requests for _ in range(150)]
+    hits += [("not asked", "s1"), ("q3", None), ("q3", ""), ("q0", None)]
+    frames = (
+        spark.createDataFrame(hits, "query_id string, brand_sku_id string"), spark.createDataFrame(requests, REQUESTS),
+        spark.createDataFrame(skus, SKUS), spark.createDataFrame(facets, FACETS),
+    )
+    path = str(tmp_path_factory.mktemp("facet-index"))
+    build_facet_index(frames[2], frames[3], path)
+    return *frames, read_facet_index(spark, path)
+
+
+@pytest.mark.parametrize("small_hits", [False, True])
+def test_index_answers_as_the_catalog_does(data, small_hits):
+    hits, requests, skus, facets, index = data
+    expected = rows_of(sl.filter_skus(hits, requests, skus, facets))
+    assert rows_of(filter_skus_indexed(hits, requests, index, small_hits)) == expected and expected
+
+
+def test_hits_keep_their_rules(data):
+    hits, requests, skus, facets, index = data
+    ranked = hits.withColumn("rank", F.monotonically_increasing_id())
+    expected = rows_of(sl.filter_hits(ranked, requests, skus, facets))
+    assert rows_of(sl.filter_hits(ranked, requests, skus, facets, index=index)) == expected
+
+
+def test_many_buckets(spark, tmp_path):
+    """Numbers beyond one bitmap, first and last bits of bytes and bitmaps."""
+    n = 70_000
+    ids = spark.range(n).select(F.format_string("%06d", "id").alias("id"))
+    skus = ids.select("id", *[F.lit("x").alias(c) for c in ("label", "brandId", "brandLabel")], F.lit(1.0).alias("consumerSellingPrice"))
+    facets = ids.select(
+        F.col("id").alias("brandSKUId"), F.lit("mod").alias("standardKey"), F.lit(None).cast("string").alias("standardValue"),
+        (F.col("id").cast("int") % 8).cast("string").alias("value"), F.lit(True).alias("isActive"),
+    )
+    index = build_facet_index(skus, facets, f"{tmp_path}/wide")
+    assert index.bitmaps.where("standard_key = 'mod'").count() == 8 * 3
+    requests = spark.createDataFrame([("q", {"mod": ["0", "7"], "price_range": ["Under ₹100"]})], REQUESTS)
+    hits = ids.select(F.lit("q").alias("query_id"), F.col("id").alias("brand_sku_id"))
+    found = filter_skus_indexed(hits, requests, index)
+    assert rows_of(found.selectExpr("int(brand_sku_id) as i")) == sorted([(i,) for i in range(n) if i % 8 in (0, 7)], key=repr)
+
+
+def test_a_call_groups_no_catalog_rows(data):
+    hits, requests, _, _, index = data
+    plan = filter_skus_indexed(hits, requests, index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "standardValue" not in plan
+
+
+def test_empty_tables(data, spark, tmp_path):
+    hits, requests, skus, facets, index = data
+    none = build_facet_index(skus.where("false"), facets.where("false"), f"{tmp_path}/none")
+    expected = rows_of(sl.filter_skus(hits, requests, skus.where("false"), facets.where("false")))
+    assert rows_of(filter_skus_indexed(hits, requests, none)) == expected
+    assert filter_skus_indexed(hits.where("false"), requests, index).count() == 0
+    assert rows_of(filter_skus_indexed(hits, requests.where("false"), index)) == rows_of(hits)
