@@ -24,6 +24,7 @@ HEADLINE = (
     "knn_candidates", "hybrid_search", "facet_counts", "price_range_facets", "filter_skus",
     "single_search", "filter_products", "facet_options", "facet_bundle", "facets_for_hits",
     "filter_products_no_broadcast", "filter_skus_no_broadcast",
+    "knn_cells", "knn_wide", "filter_skus_indexed", "hybrid_search_double",
 )
 UNBROADCAST = "_no_broadcast"
 

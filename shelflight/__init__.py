@@ -31,4 +31,6 @@ from shelflight.sources.requests import (
     accepted, facet_request_hits, filter_rows, normalise_requests, rejected,
     rejected_facet_requests, with_search_defaults,
 )
-from shelflight.sources.sinks import freeze, read_index, write_index, write_lookup, write_meta
+from shelflight.sources.sinks import (
+    freeze, read_index, write_bucketed_lookup, write_index, write_lookup, write_meta,
+)

@@ -52,6 +52,11 @@ def search_text(brand: Column, product: Column, category: Column) -> Column:
     return strip(F.concat(brand, F.lit(" "), product, F.lit(" "), category))
 
 
+def collated(text: Column, collation: str | None) -> Column:
+    """A text that is compared by one of Spark's collations (None: by bytes)."""
+    return F.collate(text, collation) if collation else text
+
+
 def is_usable(value: Column) -> Column:
     """True for a facet value that is neither null, blank nor a placeholder."""
     bare = F.trim(value)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelflight.functions.text import facet_title, is_usable
+from shelflight.functions.text import collated, facet_title, is_usable
 from shelflight.operators.ranking import row_numbers, small_side
 from shelflight.settings import PRICE_KEY
+from shelflight.sources.sinks import freeze
 
 # Options shown per key before "and N more" (fixed values).
 OPTION_CAP = 10
@@ -63,9 +64,18 @@ def facet_rows(
     )
 
 
-def in_facet_order(rows: DataFrame) -> DataFrame:
-    """Delivery order of facet rows: key, then value."""
-    return rows.orderBy("query_id", "standard_key", "facet_value", "brand_sku_id")
+def in_facet_order(rows: DataFrame, collation: str | None = None, spread: bool = True) -> DataFrame:
+    """Facet rows with ``position``, their place in the delivery order of their list: key,
+    then value, then SKU.
+
+    Keys and values are compared by ``collation``, one of Spark's (None: by bytes); what it
+    holds equal is told apart by SKU, then by bytes. ``spread=True`` is for lists of any
+    length, see ``row_numbers``.
+    """
+    by_collation = [collated(F.col(c), collation) for c in ("standard_key", "facet_value")]
+    rest = ["standard_key", "facet_value", "original_value", "standard_value"]
+    order = [*by_collation, F.col("brand_sku_id"), *(F.col(c) for c in rest)]
+    return row_numbers(rows, ["query_id"], order, "position", spread)
 
 
 def facet_counts(rows: DataFrame, distinct_skus: bool = False) -> DataFrame:
@@ -109,13 +119,14 @@ def _all_options(counts: DataFrame, prices: DataFrame) -> DataFrame:
     return values.unionByName(ranges, allowMissingColumns=True)
 
 
-def _option_order() -> list[Column]:
+def _option_order(collation: str | None = None) -> list[Column]:
     """Price options by their minimum, others by count and then value. Price
     options come first, so data rows they replace never take their numbers."""
     return [
         F.col("is_price").desc(),
         F.col("min_price"),
         F.when(~F.col("is_price"), -F.col("cnt")),
+        *([collated(F.col("facet_value"), collation)] if collation else []),
         F.col("facet_value"),
     ]
 
@@ -156,27 +167,31 @@ def facet_key_order(counts: DataFrame, prices: DataFrame) -> DataFrame:
     return totals.withColumn("facet_rank", F.row_number().over(order))
 
 
-def facet_key_order_alpha(counts: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price first, then keys by name."""
+def facet_key_order_alpha(counts: DataFrame, prices: DataFrame, collation: str | None = None) -> DataFrame:
+    """Price first, then keys by name (by ``collation``, what it holds equal by bytes)."""
     order = Window.partitionBy("query_id").orderBy(
-        F.col("standard_key") != PRICE_KEY, F.col("standard_key")
+        F.col("standard_key") != PRICE_KEY, collated(F.col("standard_key"), collation), F.col("standard_key")
     )
     totals = _key_totals(_all_options(counts, prices)).drop("has_price")
     return totals.withColumn("facet_rank", F.row_number().over(order))
 
 
-def facet_options(rows: DataFrame, prices: DataFrame, spread: bool = False) -> DataFrame:
+def facet_options(
+    rows: DataFrame, prices: DataFrame, spread: bool = False, collation: str | None = None
+) -> DataFrame:
     """All options of all keys with their positions.
 
     A list bounded by a search's ``k`` is brought together once, by its query,
     and every window runs on that partitioning. ``spread=True`` is for lists
     without such a bound: totals come from split sums and options are ranked
-    without one task per list or key.
+    without one task per list or key; the counted options are written, since both
+    read them. Options of equal count are in the order of ``collation``, then of bytes.
     """
     options = _all_options(facet_counts(rows), prices)
     if spread:
+        options = freeze(options, "options")
         numbered = row_numbers(
-            options, ["query_id", "standard_key"], _option_order(), "option_rank", spread
+            options, ["query_id", "standard_key"], _option_order(collation), "option_rank", spread
         )
         order = Window.partitionBy("query_id").orderBy(*_key_order())
         keys = _key_totals(options).withColumn("facet_rank", F.row_number().over(order))
@@ -188,7 +203,7 @@ def facet_options(rows: DataFrame, prices: DataFrame, spread: bool = False) -> D
             .withColumns(
                 {
                     "has_price": F.bool_or("is_price").over(by_key),
-                    "option_rank": F.row_number().over(by_key.orderBy(*_option_order())),
+                    "option_rank": F.row_number().over(by_key.orderBy(*_option_order(collation))),
                 }
             )
             .where(F.col("is_price") | ~F.col("has_price"))
@@ -208,9 +223,10 @@ def facet_top_options(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """The options shown per key and how many more there are.
 
     The literal bound on the rank lets each task cut its share before the
-    shuffle; the number of options comes from a split count.
+    shuffle; the number of options comes from a split count. The counted options are
+    written, since both read them.
     """
-    options = _all_options(facet_counts(rows), prices)
+    options = freeze(_all_options(facet_counts(rows), prices), "options")
     order = Window.partitionBy("query_id", "standard_key").orderBy(*_option_order())
     cap = F.when(F.col("standard_key") == PRICE_KEY, PRICE_OPTION_CAP).otherwise(OPTION_CAP)
     shown = (

@@ -22,6 +22,14 @@ def write_lookup(lookup: DataFrame, path: str) -> None:
     lookup.orderBy("row_id").write.mode("errorifexists").json(path)
 
 
+def write_bucketed_lookup(lookup: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """A catalog table of the lookup, bucketed and sorted by ``row_id``: a join with it on
+    that column moves the other side only, whatever the table's size."""
+    options = {"path": path} if path else {}
+    dealt = lookup.repartition(buckets, "row_id")
+    dealt.write.bucketBy(buckets, "row_id").sortBy("row_id").mode("errorifexists").saveAsTable(table, **options)
+
+
 def write_meta(meta: DataFrame, path: str) -> None:
     """The one metadata record as JSON."""
     meta.write.mode("errorifexists").json(path)

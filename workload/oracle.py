@@ -322,6 +322,7 @@ _SQL = {
         FROM {embeddings}""",
     "embed_catalog": _EMBED,
     "build_catalog_index": f"SELECT *, CAST(64 AS INTEGER) AS dim FROM ({_LOOKUP})",
+    "rebuild_catalog_index": f"SELECT *, CAST(64 AS INTEGER) AS dim FROM ({_LOOKUP})",
     "vector_distance": """
         WITH anchors AS (SELECT label, arg_min(embedding, vec_id) AS anchor FROM {embeddings} GROUP BY label)
         SELECT vec_id,
@@ -354,10 +355,13 @@ _SQL = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS INTEGER) AS rank,
                row_id, dist FROM pairs""",
     "knn_candidates_blocks": _HYBRID + " SELECT * FROM pool",
+    "knn_cells": _HYBRID + " SELECT * FROM pool",
+    "knn_wide": _HYBRID + " SELECT * FROM pool",
     "scan_csv_multiline": """
         SELECT row_id, brand_sku_id, concat(product_name, chr(10), '"', brand_sku_id, '",') AS product_name,
                brand_name, category_name FROM {catalog_raw}""",
     "knn_lookup": _HYBRID + " SELECT pool.*, lookup.* EXCLUDE (row_id) FROM pool JOIN lookup USING (row_id)",
+    "knn_lookup_bucketed": _HYBRID + " SELECT pool.*, lookup.* EXCLUDE (row_id) FROM pool JOIN lookup USING (row_id)",
     "brand_phonetic": f"""SELECT DISTINCT brand_name, code AS brand_phonetic
                           FROM ({_NORMAL}) JOIN {_CODES} ON word = brand_name""",
     "query_phonetic": _HYBRID + " SELECT * FROM codes",
@@ -375,6 +379,13 @@ _SQL = {
                coalesce(nullif(category, ''), 'N/A') AS category
         FROM hits""",
     "facet_rows": _FACETS + " SELECT * FROM facet_rows",
+    "facet_rows_ordered": _FACETS + """
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY standard_key, facet_value, brand_sku_id,
+                  original_value, standard_value NULLS FIRST) AS INTEGER) AS position FROM facet_rows""",
+    "facet_rows_ordered_nocase": _FACETS + """
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lower(standard_key), lower(facet_value),
+                  brand_sku_id, standard_key, facet_value, original_value, standard_value NULLS FIRST) AS INTEGER) AS position
+        FROM facet_rows""",
     "facet_rows_active": _FACETS + f" SELECT * FROM facet_rows WHERE standard_key IN {_ACTIVE_KEYS}",
     "facet_counts": _FACETS + " SELECT * FROM facet_counts",
     "facet_totals": _FACETS + """
@@ -417,6 +428,7 @@ _SQL = {
         SELECT id, consumerSellingPrice FROM {brand_sku}
         WHERE consumerSellingPrice < 100 OR (consumerSellingPrice >= 500 AND consumerSellingPrice < 1000)""",
     "filter_skus": "WITH" + _filter_ctes("{supplier_lists}", "{supplier_requests}") + " SELECT * FROM matched",
+    "filter_skus_indexed": "WITH" + _filter_ctes("{supplier_lists}", "{supplier_requests}") + " SELECT * FROM matched",
     "filter_products": _PRODUCTS + " SELECT * FROM found",
     "filter_products_named": _PRODUCTS + """
         SELECT * FROM found f
@@ -432,8 +444,15 @@ _SQL = {
         SELECT f.query_id, f.term, s.id AS brand_sku_id, s.label AS brand_sku_label, s.brandId AS brand_id,
                s.brandLabel AS brand_name, s.label AS product_name
         FROM {brand_sku} s JOIN firsts f ON lower(s.label) = f.folded""",
+    "sku_by_name_collated": """
+        WITH firsts AS (
+            SELECT query_id, lower(term) AS folded, arg_min(term, pos) AS term FROM {terms} GROUP BY ALL)
+        SELECT f.query_id, f.term, s.id AS brand_sku_id, s.label AS brand_sku_label, s.brandId AS brand_id,
+               s.brandLabel AS brand_name, s.label AS product_name
+        FROM {brand_sku} s JOIN firsts f ON lower(s.label) = f.folded""",
     "normalize_requests": _NORMALISED,
     "search_with_facets": _FILTERED_HYBRID + " SELECT * FROM kept",
+    "search_with_facets_indexed": _FILTERED_HYBRID + " SELECT * FROM kept",
     "result_totals": _FILTERED_HYBRID + """
         SELECT r.query_id, count(k.query_id) AS total_results
         FROM req r LEFT JOIN kept k USING (query_id) GROUP BY r.query_id""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -152,6 +153,15 @@ def build_catalog_index(spark, sf):
     return built.withColumn("dim", F.size("embedding")).drop("embedding")
 
 
+def rebuild_catalog_index(spark, sf):
+    """A second build, where a third of the products had other names in the first."""
+    path, raw = scratch_path(spark, "builds"), view(spark, sf, "catalog_raw")
+    before = F.when(F.col("row_id") % 3 == 0, F.lit("other")).otherwise(F.col("product_name"))
+    sl.rebuild_catalog_index(raw.withColumn("product_name", before), path)
+    built = sl.rebuild_catalog_index(raw, path)
+    return built.withColumn("dim", F.size("embedding")).drop("embedding", "text_key")
+
+
 # ---- search ---------------------------------------------------------------
 
 
@@ -174,6 +184,23 @@ def knn_candidates_blocks(spark, sf):
     return sl.knn_candidates(vector_requests(spark, sf), vectors, limit_bytes=10_000)
 
 
+@lru_cache(maxsize=8)
+def cell_index(spark, sf):
+    """The built index's vectors in cells of about 500 rows."""
+    vectors = built_index(spark, sf).select("row_id", "embedding")
+    return sl.write_cells(vectors, scratch_path(spark, "cells"), cells=max(2, vectors.count() // 500))
+
+
+def knn_cells(spark, sf):
+    return sl.knn_in_cells(vector_requests(spark, sf), cell_index(spark, sf))
+
+
+def knn_wide(spark, sf):
+    """Every request by distributed selection, as if its pool were too wide for lists."""
+    vectors = built_index(spark, sf).select("row_id", "embedding")
+    return sl.knn_candidates(vector_requests(spark, sf), vectors, wide_pool=0)
+
+
 def knn_whole_catalog(spark, sf):
     """Pools wider than the index: every row of a label's vectors is ranked."""
     vectors = table(spark, sf, "embeddings")
@@ -240,6 +267,15 @@ def hit_report(spark, sf):
 # ---- facets and prices ----------------------------------------------------
 
 
+def facet_rows_ordered(spark, sf):
+    return sl.in_facet_order(rows(spark, sf))
+
+
+def facet_rows_ordered_nocase(spark, sf):
+    """The same order by a collation that ignores case."""
+    return sl.in_facet_order(rows(spark, sf), "UTF8_LCASE")
+
+
 def facet_rows_active(spark, sf):
     return sl.facet_rows(lists(spark, sf), facets(spark, sf), keys(spark, sf), True)
 
@@ -287,7 +323,8 @@ def facets_for_hits(spark, sf):
     hits = hybrid_search(spark, sf).join(asked.select("query_id", "only_active"), "query_id")
     hits = sl.freeze(hits, "hits")
     return sl.facets_for_hits(
-        hits, skus(spark, sf), facets(spark, sf), keys(spark, sf), "only_active", spread=False
+        hits, skus(spark, sf), facets(spark, sf), keys(spark, sf), "only_active", spread=False,
+        small_hits=True,
     )
 
 
@@ -307,6 +344,17 @@ def filter_skus(spark, sf):
     )
 
 
+@lru_cache(maxsize=8)
+def facet_index(spark, sf):
+    return sl.build_facet_index(skus(spark, sf), facets(spark, sf), scratch_path(spark, "facet-index"))
+
+
+def filter_skus_indexed(spark, sf):
+    """The same from the inverted index."""
+    asked = with_filters(view(spark, sf, "supplier_requests"))
+    return sl.filter_skus_indexed(view(spark, sf, "supplier_lists"), asked, facet_index(spark, sf))
+
+
 def filter_products(spark, sf):
     asked = with_filters(view(spark, sf, "supplier_requests"))
     return sl.filter_products(asked, skus(spark, sf), facets(spark, sf))
@@ -319,6 +367,17 @@ def filter_products_named(spark, sf):
     return sl.filter_products(asked, skus(spark, sf), facets(spark, sf), names)
 
 
+def knn_lookup_bucketed(spark, sf):
+    """The pool joined with a lookup that stays where its buckets are."""
+    name = "lookup_" + uuid.uuid4().hex
+    sl.write_bucketed_lookup(sl.lookup_columns(catalog(spark, sf)), name, 8, scratch_path(spark, "bucketed-lookup"))
+    return sl.attach_lookup(knn_candidates(spark, sf), spark.table(name))
+
+
+def sku_by_name_collated(spark, sf):
+    return sl.sku_by_name(view(spark, sf, "terms"), skus(spark, sf), "UTF8_LCASE")
+
+
 def sku_by_name(spark, sf):
     return sl.sku_by_name(view(spark, sf, "terms"), skus(spark, sf))
 
@@ -329,6 +388,13 @@ def search_with_facets(spark, sf):
     )
 
 
+def search_with_facets_indexed(spark, sf):
+    return sl.search_with_facets(
+        text_requests(spark, sf), built_index(spark, sf), skus(spark, sf), facets(spark, sf), EMBEDDER,
+        facet_index=facet_index(spark, sf),
+    )
+
+
 def result_totals(spark, sf):
     return sl.result_totals(text_requests(spark, sf), search_with_facets(spark, sf))
 
@@ -373,11 +439,15 @@ QUERIES = {
     "vector_check": vector_check,
     "embed_catalog": embed_catalog,
     "build_catalog_index": build_catalog_index,
+    "rebuild_catalog_index": rebuild_catalog_index,
     "vector_distance": vector_distance,
     "knn_candidates": knn_candidates,
     "knn_candidates_blocks": knn_candidates_blocks,
+    "knn_cells": knn_cells,
+    "knn_wide": knn_wide,
     "knn_whole_catalog": knn_whole_catalog,
     "knn_lookup": knn_lookup,
+    "knn_lookup_bucketed": knn_lookup_bucketed,
     "brand_phonetic": brand_phonetic,
     "query_phonetic": query_phonetic,
     "brand_phonetic_double": brand_phonetic_double,
@@ -387,6 +457,8 @@ QUERIES = {
     "hybrid_search": hybrid_search,
     "hit_report": hit_report,
     "facet_rows": rows,
+    "facet_rows_ordered": facet_rows_ordered,
+    "facet_rows_ordered_nocase": facet_rows_ordered_nocase,
     "facet_rows_active": facet_rows_active,
     "facet_counts": counts,
     "facet_totals": facet_totals,
@@ -401,9 +473,12 @@ QUERIES = {
     "facets_for_hits": facets_for_hits,
     "filter_price": filter_price,
     "filter_skus": filter_skus,
+    "filter_skus_indexed": filter_skus_indexed,
+    "search_with_facets_indexed": search_with_facets_indexed,
     "filter_products": filter_products,
     "filter_products_named": filter_products_named,
     "sku_by_name": sku_by_name,
+    "sku_by_name_collated": sku_by_name_collated,
     "normalize_requests": normalize_requests,
     "rejected_requests": rejected_requests,
     "facet_requests": facet_requests,

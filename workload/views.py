@@ -74,10 +74,10 @@ VIEWS = {
         SELECT p_brand AS query_id, CAST(p_partkey AS STRING) AS brand_sku_id,
                length(p_brand) % 2 = 0 AS only_active
         FROM {part}""",
-    # every SKU name wanted of every supplier with an odd number
+    # every SKU name wanted of every supplier that has line items
     "supplier_names": """
         SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS query_id, p_name AS product_name
-        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_suppkey % 2 = 1""",
+        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
     # every ordered part, listed under its supplier, repeats included
     "supplier_lists": """
         SELECT concat('s', CAST(l_suppkey AS STRING)) AS query_id,
