@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelflight.functions.text import missing_to_null
 from shelflight.operators.ranking import spread_row_number
+from shelflight.sources.multiline import multi_line_records
 
 # The columns a catalog must have (fixed values).
 REQUIRED_COLUMNS = ("brand_sku_id", "product_name", "brand_name", "category_name")
@@ -31,8 +32,9 @@ def scan_csv(
 
     The read is complete or fails: a record with too few or too many cells, a file
     whose header differs from the first one's, and a quote left open at the end of a
-    line raise an error in the job. Line breaks inside quotes need ``multi_line=True``,
-    at the price of one task per file; otherwise files are split by lines.
+    line raise an error in the job. Line breaks inside quotes need ``multi_line=True``;
+    files are then split as well, see ``multiline``, at the price of a second scan, and a
+    quote left open fails the job at the end of its file.
 
     The position needs no sort of the data: rows are numbered within their file
     split, and splits are shifted by the rows before them (one number per split).
@@ -40,24 +42,20 @@ def scan_csv(
     """
     header = spark.read.options(header=True, multiLine=multi_line, **_OPTIONS).csv(path)
     names = header.columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     require_columns(header)
-    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    parsed = F.from_csv("text", _ddl(names), _OPTIONS).alias("_record")
     if multi_line:
-        reader = spark.read.schema(schema).options(
-            header=True, multiLine=True, enforceSchema=False, columnPruning=False, **_OPTIONS
-        )
-        records = reader.csv(path).select(F.struct(*[_quoted(n) for n in names]).alias("_record"), *at)
-        headers = F.lit(0)
+        records = multi_line_records(spark, path).select(parsed, "_file", "_block", F.col("_seq").alias("_seen"))
     else:
-        lines = spark.read.text(path).where(F.trim("value") != "")
-        records = lines.where(_closed_quotes()).select(
-            F.from_csv("value", _ddl(names), _OPTIONS).alias("_record"), *at
+        lines = spark.read.text(path).where(F.trim("value") != "").where(_closed_quotes()).select(
+            F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
         )
-        headers = F.when(F.col("_block") == 0, 1).otherwise(0)
-    placed = records.withColumn("_seen", F.monotonically_increasing_id())
+        records = lines.select(parsed, "_file", "_block").withColumn("_seen", F.monotonically_increasing_id())
+
+    headers = F.when(F.col("_block") == 0, 1).otherwise(0)
 
-    splits = placed.groupBy("_file", "_block").agg(
+    splits = records.groupBy("_file", "_block").agg(
         F.min("_seen").alias("_first"), (F.count(F.lit(1)) - headers).alias("_rows")
     )
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +63,7 @@ def scan_csv(
         "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift")
     )
     place = F.col("_seen") - F.col("_first") - headers
-    numbered = placed.join(offsets, ["_file", "_block"]).where(
+    numbered = records.join(offsets, ["_file", "_block"]).where(
         F.when(place >= 0, True).otherwise(_same_header(names))
     ).select(
         (place + F.col("_shift")).alias("row_id"),
@@ -94,10 +92,6 @@ def _same_header(names: list[str]) -> Column:
     return F.when(cells == F.array(*map(F.lit, names)), False).otherwise(error.cast("boolean"))
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def catalog_head(catalog: DataFrame, max_rows: int | None) -> DataFrame:
     """The first ``max_rows`` rows by ``row_id``; all rows for none or 0.
 
