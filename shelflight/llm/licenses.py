@@ -195,17 +195,19 @@ def align_pairs(template: list[int], document: list[int], low: int, high: int) -
 def _chains(pieces: list[list[tuple[int, int]]], reach: int) -> list[list[tuple[int, int]]]:
     """For each piece (pairs of template and document places) the chain of pieces with
     the most pairs that ends with it: both places rise, and a piece starts within
-    ``reach`` words after the one before."""
-    pieces, chains = sorted(pieces, key=lambda p: p[0][1]), []
-    for piece in pieces:
+    ``reach`` words after the one before. Pieces come in the order of their starts, so a
+    chain that ends too far before one of them is done with."""
+    chains, near = [], []
+    for piece in sorted(pieces, key=lambda p: p[0][1]):
+        near = [chain for chain in near if piece[0][1] - chain[-1][1] <= reach]
         best = piece
-        for chain in chains:
+        for chain in near:
             i, j = chain[-1]
-            if piece[0][1] - j <= reach:
-                after = [p for p in piece if p[0] > i and p[1] > j]
-                if after and len(chain) + len(after) > len(best):
-                    best = chain + after
+            after = [p for p in piece if p[0] > i and p[1] > j]
+            if after and len(chain) + len(after) > len(best):
+                best = chain + after
         chains.append(best)
+        near.append(best)
     return chains
 
 
