@@ -146,9 +146,9 @@ def test_a_notice_of_another_license_is_not_found(line):
 
 def test_many_copies_of_a_notice_in_one_text():
     """Chains that ended long ago are not looked at again: time follows the text's length."""
-    known = licenses.Templates()
-    for name, text in licenses.TEMPLATES.items():
+    known = lic.Templates()
+    for name, text in lic.TEMPLATES.items():
         known.add(name, text.encode())
-    line = licenses.TEMPLATES["Apache-2.0-notice"]
-    found = licenses.scan(" ".join([line] * 5000).encode(), [(known, known.hashes())])
-    assert sum(name == "Apache-2.0-notice" for name, *_ in found) == 5000
+    line = lic.TEMPLATES["Apache-2.0-notice"]
+    found = lic.scan(" ".join([line] * 1500).encode(), [(known, known.hashes())])
+    assert sum(name == "Apache-2.0-notice" for name, *_ in found) == 1500
