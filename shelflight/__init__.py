@@ -6,7 +6,7 @@ from shelflight.operators.cells import CellIndex, knn_in_cells, read_cells, writ
 from shelflight.operators.checks import index_meta, require_consistent_vectors, vector_check
 from shelflight.operators.embedding import HashedNGrams, ModelEmbedder, embed_table
 from shelflight.operators.facet_index import (
-    FacetIndex, build_facet_index, filter_skus_indexed, read_facet_index,
+    FacetIndex, build_facet_index, filter_products_indexed, filter_skus_indexed, read_facet_index,
 )
 from shelflight.operators.facets import (
     facet_bundle, facet_bundle_rows, facet_counts, facet_key_order, facet_key_order_alpha,

@@ -193,29 +193,7 @@ def filter_products(
     against all keys, so a value most SKUs have multiplies nothing unless a map
     asks for nothing rarer.
     """
-    conditions = _conditions(F.col("filters"), price_aware=False)
-    entries = F.array_sort(
-        F.transform(
-            F.map_entries(conditions),
-            lambda e: F.struct(
-                e["key"].alias("key"), F.array_sort(F.array_distinct(e["value"])).alias("value")
-            ),
-        )
-    )
-    asked = requests.select("query_id", entries.alias("entries")).withColumn("text", F.to_json("entries"))
-    restricting = asked.where(F.size("entries") > 0)
-    # Few and short: one row and one number for each distinct map.
-    sets = freeze(
-        restricting.groupBy("text").agg(F.first("entries").alias("entries"))
-        .select("text", F.monotonically_increasing_id().alias("set_no"),
-                F.map_from_entries("entries").alias("conditions")),
-        "filter-sets",
-    )
-    numbered = freeze(
-        asked.select("query_id", F.when(F.size("entries") > 0, F.col("text")).alias("text"))
-        .join(sets.select("text", "set_no"), "text", "left").select("query_id", "set_no"),
-        "numbered-requests",
-    )
+    sets, numbered = filter_sets(requests, price_aware=False)
     wanted = _wanted(sets, "set_no")
 
     pairs = ["standard_key", "facet_value"]
@@ -248,6 +226,39 @@ def filter_products(
         .select("set_no", "product_name")
         .distinct()
     )
+    return named_products(numbered, labels, names)
+
+
+def filter_sets(requests: DataFrame, price_aware: bool) -> tuple[DataFrame, DataFrame]:
+    """(distinct filter maps, requests), written tables: ``set_no, text, conditions``, and
+    ``query_id, set_no`` with null for requests without a usable condition. Few and short:
+    one row and one number for each distinct map."""
+    entries = F.array_sort(
+        F.transform(
+            F.map_entries(_conditions(F.col("filters"), price_aware)),
+            lambda e: F.struct(
+                e["key"].alias("key"), F.array_sort(F.array_distinct(e["value"])).alias("value")
+            ),
+        )
+    )
+    asked = requests.select("query_id", entries.alias("entries")).withColumn("text", F.to_json("entries"))
+    sets = freeze(
+        asked.where(F.size("entries") > 0).groupBy("text").agg(F.first("entries").alias("entries"))
+        .select("text", F.monotonically_increasing_id().alias("set_no"),
+                F.map_from_entries("entries").alias("conditions")),
+        "filter-sets",
+    )
+    numbered = freeze(
+        asked.select("query_id", F.when(F.size("entries") > 0, F.col("text")).alias("text"))
+        .join(sets.select("text", "set_no"), "text", "left").select("query_id", "set_no"),
+        "numbered-requests",
+    )
+    return sets, numbered
+
+
+def named_products(numbered: DataFrame, labels: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``query_id, product_name``: the labels (``set_no, product_name``) of each request's
+    map, within ``names`` where a request has some; without a map the names themselves."""
     found = numbered.where(F.col("set_no").isNotNull()).join(labels, "set_no").select("query_id", "product_name")
     if names is None:
         return found

@@ -56,6 +56,17 @@ def test_hits_keep_their_rules(data):
     assert rows_of(sl.filter_hits(ranked, requests, skus, facets, index=index)) == expected
 
 
+@pytest.mark.parametrize("named", [False, True])
+def test_products_from_the_index(data, spark, named):
+    _, requests, skus, facets, index = data
+    names = None
+    if named:
+        rows = [(f"q{i}", f"l{n}") for i in range(0, 12, 2) for n in (1, 3, 30)] + [("q4", "l1"), ("none", "l2")]
+        names = spark.createDataFrame(rows, "query_id string, product_name string")
+    expected = rows_of(sl.filter_products(requests, skus, facets, names))
+    assert rows_of(sl.filter_products_indexed(requests, index, names)) == expected and expected
+
+
 def test_many_buckets(spark, tmp_path):
     """Numbers beyond one bitmap, first and last bits of bytes and bitmaps."""
     n = 70_000
@@ -66,7 +77,7 @@ def test_many_buckets(spark, tmp_path):
         (F.col("id").cast("int") % 8).cast("string").alias("value"), F.lit(True).alias("isActive"),
     )
     index = build_facet_index(skus, facets, f"{tmp_path}/wide")
-    assert index.bitmaps.where("standard_key = 'mod'").count() == 8 * 3
+    assert index.bitmaps.where("standard_key = 'mod' and rule = 'sku'").count() == 8 * 3
     requests = spark.createDataFrame([("q", {"mod": ["0", "7"], "price_range": ["Under ₹100"]})], REQUESTS)
     hits = ids.select(F.lit("q").alias("query_id"), F.col("id").alias("brand_sku_id"))
     found = filter_skus_indexed(hits, requests, index)

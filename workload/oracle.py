@@ -430,6 +430,7 @@ _SQL = {
     "filter_skus": "WITH" + _filter_ctes("{supplier_lists}", "{supplier_requests}") + " SELECT * FROM matched",
     "filter_skus_indexed": "WITH" + _filter_ctes("{supplier_lists}", "{supplier_requests}") + " SELECT * FROM matched",
     "filter_products": _PRODUCTS + " SELECT * FROM found",
+    "filter_products_indexed": _PRODUCTS + " SELECT * FROM found",
     "filter_products_named": _PRODUCTS + """
         SELECT * FROM found f
         WHERE query_id NOT IN (SELECT query_id FROM {supplier_names})

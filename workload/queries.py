@@ -360,6 +360,12 @@ def filter_products(spark, sf):
     return sl.filter_products(asked, skus(spark, sf), facets(spark, sf))
 
 
+def filter_products_indexed(spark, sf):
+    """The same from the inverted index."""
+    asked = with_filters(view(spark, sf, "supplier_requests"))
+    return sl.filter_products_indexed(asked, facet_index(spark, sf))
+
+
 def filter_products_named(spark, sf):
     """The same, limited to each supplier's own product names where it has a list."""
     asked = with_filters(view(spark, sf, "supplier_requests"))
@@ -476,6 +482,7 @@ QUERIES = {
     "filter_skus_indexed": filter_skus_indexed,
     "search_with_facets_indexed": search_with_facets_indexed,
     "filter_products": filter_products,
+    "filter_products_indexed": filter_products_indexed,
     "filter_products_named": filter_products_named,
     "sku_by_name": sku_by_name,
     "sku_by_name_collated": sku_by_name_collated,
