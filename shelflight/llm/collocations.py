@@ -7,10 +7,13 @@
    numbers are joined to it, other words end a piece. No dictionary is broadcast.
 3. Every segment counts its phrases in a counting quotient filter (``quotient``), cut by
    the first bits of the permuted keys. Filters of the same range are merged, up to
-   ``FAN`` segments at a time, and cut finer, until each range holds all segments.
+   2^FAN_BITS segments at a time, and cut finer, until each range holds all segments.
    Keys are spread evenly whatever phrases are frequent, and a phrase has one counter
    for each segment, so no phrase makes a large task.
-4. Phrases of ``least`` occurrences are joined with the counts of their parts.
+4. Phrases of two words are counted first. A phrase of three words is counted only if
+   both of its pairs may be frequent by a Bloom filter of fixed size, which never leaves
+   out one that is; the more pairs there are, the less it spares.
+5. Phrases of ``least`` occurrences are joined with the counts of their parts.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelflight.llm import quotient
-from shelflight.llm.common import column, text_slices
+from shelflight.llm.common import column, giving_back, text_slices
 from shelflight.llm.sharding import numbered_rows
 from shelflight.sources.sinks import freeze
 
@@ -34,10 +37,15 @@ TOP = 2000
 # A phrase goes if a longer one that holds it has this percentage of its occurrences.
 SHARE = 50
 # Words (and ends of pieces) and distinct words of a segment.
-SEGMENT_WORDS = 1 << 21
-SEGMENT_VOCABULARY = 1 << 20
+SEGMENT_WORDS = 1 << 20
+SEGMENT_VOCABULARY = 1 << 19
 # Segments whose filters are merged at once, and ranges cut from one range.
 FAN_BITS = 8
+# Words counted at once.
+COUNTED_WORDS = 1 << 19
+# Bits of the Bloom filter of frequent pairs (16 MB), its hashes, and bits of a block
+# (a bitmap of Spark's has 4096 bytes).
+BLOOM_BITS, BLOOM_HASHES, BLOCK_BITS = 1 << 27, 4, 1 << 15
 # Keys that a last range holds, about.
 RANGE_KEYS = 1 << 20
 # Parts of a language that are ranked before the language is.
@@ -54,6 +62,17 @@ _READ = bytes(
 _BREAK = bytes([_END])
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed uint32 numbers, all first bytes first, then all second ones."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * size), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _segments(docs: DataFrame) -> DataFrame:
     """Rows of words (``segment, local, lang, word, n``) and, one for each segment, of
     streams (``segment, stream``, compressed little-endian uint32 numbers)."""
@@ -69,8 +88,7 @@ def _segments(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches):
-        part, codec = TaskContext.get().partitionId(), pa.Codec("zstd", 1)
-        block = 0
+        part, block = TaskContext.get().partitionId(), 0
 
         def fresh():
             draw = count(1)
@@ -92,8 +110,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                         n, segment=pa.array([name] * n), local=pa.array(some), lang=pa.array([lang] * n),
                         word=texts.slice(at, n), n=pa.array(seen[some]),
                     )
-            packed = codec.compress(numbers.astype("<u4").tobytes(), asbytes=True)
-            yield rows(1, segment=pa.array([name]), size=pa.array([len(numbers)]), stream=pa.array([packed]))
+            yield rows(1, segment=pa.array([name]), size=pa.array([len(numbers)]), stream=pa.array([_packed(numbers)]))
 
         for batch in batches:
             for some in text_slices(batch, TOGETHER):
@@ -103,7 +120,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                     by_lang[lang].append(text)
                 for lang, own in by_lang.items():
                     split = b" \xff ".join(own).translate(_READ).replace(_BREAK, b" \xff ").split()
-                    stream += [np.fromiter(map(known[lang].__getitem__, split), np.int64, len(split)), np.zeros(1, np.int64)]
+                    stream += [np.fromiter(map(known[lang].__getitem__, split), np.uint32, len(split)), np.zeros(1, np.uint32)]
                     size += len(split) + 1
                 if size >= SEGMENT_WORDS or sum(map(len, known.values())) >= SEGMENT_VOCABULARY:
                     yield from closed()
@@ -112,46 +129,112 @@ def _segments(docs: DataFrame) -> DataFrame:
         if stream:
             yield from closed()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 _FILTER = "range long, shard long, filter binary"
 _PHRASE = "first long, second long, third long, a long"
 
 
-def _phrases(numbers: np.ndarray, bits: int):
-    """(high, low, counts) of all phrases of two and three numbers without a 0."""
-    none = np.zeros(max(len(numbers) - 1, 0), np.uint64)
-    high, low = [], []
-    for words in ((none, numbers[:-1], numbers[1:]), (numbers[:-2], numbers[1:-1], numbers[2:])):
-        whole = (words[1] > 0) & (words[2] > 0)
-        if words[0] is not none:
-            whole &= words[0] > 0
-        h, l = quotient.pack(tuple(w[whole] for w in words), bits)
-        h, l = quotient.permute(h, l, quotient.half_bits(bits))
-        high.append(h)
-        low.append(l)
-    return quotient.counted(np.concatenate(high), np.concatenate(low), None, quotient.half_bits(bits))
-
+def _renumbered(streams: DataFrame) -> DataFrame:
+    """``shard, size, stream`` in corpus numbers, of ``segment, size, stream, pairs``."""
+    schema = T.StructType.fromDDL("shard long, size long, stream binary")
+    arrow = to_arrow_schema(schema)
 
-def _counted(streams: DataFrame, bits: int, prefix: int) -> DataFrame:
-    """Filters of each segment (``shard, stream, size, pairs`` of local and corpus
-    numbers), one for each ``range``: the first ``prefix`` bits of the keys."""
-    from pyspark.sql.types import StructType
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                local = _unpacked(batch.column("stream")[i].as_py(), batch.column("size")[i].as_py())
+                pairs = batch.column("pairs").slice(i, 1).flatten()
+                table = np.zeros(int(local.max(initial=0)) + 1, np.uint32)
+                table[pairs.field("local").to_numpy()] = pairs.field("number").to_numpy()
+                numbers = table[local]
+                ends = numbers == 0  # of several ends of pieces one is enough
+                numbers = numbers[~(ends & np.append(False, ends[:-1]))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("shard").slice(i, 1), pa.array([len(numbers)], pa.int64()), pa.array([_packed(numbers)])],
+                    schema=arrow,
+                )
+
+    keyed = streams.withColumn("shard", F.pmod(F.xxhash64("segment"), F.lit(1 << 40)))
+    return keyed.select("shard", "size", "stream", "pairs").mapInArrow(giving_back(run), schema)
+
+
+def _places(high: np.ndarray, low: np.ndarray):
+    """The Bloom filter's places of permuted keys, one array for each hash."""
+    mixed = high * np.uint64(0x9E3779B97F4A7C15) + low
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    step = (mixed >> np.uint64(32)) | np.uint64(1)
+    for i in range(BLOOM_HASHES):
+        yield ((mixed + np.uint64(i) * step) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+
+
+def _bloom(pairs: DataFrame, bits: int) -> np.ndarray:
+    """A bit array of BLOOM_BITS of the pairs (``second, third``)."""
+    schema = T.StructType.fromDDL("block long, bitmap binary")
+    arrow, half = to_arrow_schema(schema), quotient.half_bits(bits)
 
-    schema = StructType.fromDDL(_FILTER)
+    def run(batches):
+        held = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for batch in batches:
+            words = [batch.column(c).to_numpy().astype(np.uint64) for c in ("second", "third")]
+            keys = quotient.permute(*quotient.pack((np.zeros_like(words[0]), *words), bits), half)
+            for places in _places(*keys):
+                np.bitwise_or.at(held, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+        blocks = held.reshape(-1, BLOCK_BITS // 8)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for at in range(0, len(used), 256):
+            some = used[at:at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([b.tobytes() for b in blocks[some]])], schema=arrow)
+
+    made = pairs.select("second", "third").mapInArrow(giving_back(run), schema).groupBy("block").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    rows = made.toArrow()
+    whole = np.zeros((BLOOM_BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for block, bitmap in zip(rows["block"].to_pylist(), rows["bitmap"].to_pylist()):
+        whole[block] = np.frombuffer(bitmap, np.uint8)
+    return whole.ravel()
+
+
+def _pairs(numbers: np.ndarray, bits: int):
+    """(high, low) keys of the neighbours and whether both are words."""
+    first, second = numbers[:-1], numbers[1:]
+    keys = quotient.permute(*quotient.pack((np.zeros_like(first), first, second), bits), quotient.half_bits(bits))
+    return *keys, (first > 0) & (second > 0)
+
+
+def _phrases(numbers: np.ndarray, bits: int, bloom: np.ndarray | None):
+    """(high, low, counts) of all phrases of two words or, with a filter of pairs, of all
+    phrases of three words whose pairs it holds."""
+    half, made = quotient.half_bits(bits), []
+    for at in range(0, max(len(numbers), 1), COUNTED_WORDS):
+        some = numbers[at:at + COUNTED_WORDS + (1 if bloom is None else 2)].astype(np.uint64)
+        high, low, whole = _pairs(some, bits)
+        if bloom is None:
+            high, low = high[whole], low[whole]
+        else:
+            held = np.ones(int(whole.sum()), bool)
+            for places in _places(high[whole], low[whole]):
+                held &= (bloom[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+            whole[whole] = held
+            whole = whole[:-1] & whole[1:]
+            words = tuple(some[i:len(some) - 2 + i][whole] for i in range(3))
+            high, low = quotient.permute(*quotient.pack(words, bits), half)
+        made.append(quotient.counted(high, low, None, half))
+    return quotient.merge(made, half)
+
+
+def _counted(streams: DataFrame, bits: int, prefix: int, bloom=None) -> DataFrame:
+    """Filters of each segment (``shard, size, stream``), one for each ``range``: the
+    first ``prefix`` bits of the keys."""
+    schema = T.StructType.fromDDL(_FILTER)
     arrow, half = to_arrow_schema(schema), quotient.half_bits(bits)
 
     def run(batches):
-        codec = pa.Codec("zstd")
         for batch in batches:
             for i in range(batch.num_rows):
-                size = batch.column("size")[i].as_py()
-                local = np.frombuffer(codec.decompress(batch.column("stream")[i].as_py(), 4 * size), "<u4")
-                pairs = batch.column("pairs").slice(i, 1).flatten()
-                table = np.zeros(int(local.max(initial=0)) + 1, np.uint64)
-                table[pairs.field("local").to_numpy()] = pairs.field("number").to_numpy().astype(np.uint64)
-                made = _phrases(table[local], bits)
+                numbers = _unpacked(batch.column("stream")[i].as_py(), batch.column("size")[i].as_py())
+                made = _phrases(numbers, bits, None if bloom is None else bloom.value)
                 cut = [(r, quotient.write(*keys, half, prefix)) for r, *keys in quotient.cut(*made, half, prefix)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r for r, _ in cut], pa.int64()),
@@ -159,7 +242,7 @@ def _counted(streams: DataFrame, bits: int, prefix: int) -> DataFrame:
                     pa.array([f for _, f in cut], pa.binary()),
                 ], schema=arrow)
 
-    return streams.select("shard", "stream", "size", "pairs").mapInArrow(run, schema)
+    return streams.mapInArrow(giving_back(run), schema)
 
 
 def _merged(filters: DataFrame, shards: int, bits: int, prefix: int, least: int | None) -> DataFrame:
@@ -201,7 +284,7 @@ def _merged(filters: DataFrame, shards: int, bits: int, prefix: int, least: int
         if group is not None:
             yield result(group[1], joined())
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(giving_back(run), schema)
 
 
 def _bits(n: int) -> int:
@@ -209,11 +292,11 @@ def _bits(n: int) -> int:
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text"):
-    """(vocabulary, phrases, totals), written tables.
+    """(vocabulary, phrases of two words, of three words, totals), written tables.
 
     ``vocabulary``: ``number, lang, word, f`` of the words of ``least`` occurrences.
-    ``phrases``: ``first, second, third, a``, word numbers and occurrences of every
-    phrase of ``least`` occurrences; ``first`` is 0 in phrases of two words.
+    Phrases: ``first, second, third, a``, word numbers and occurrences of every phrase
+    of ``least`` occurrences; ``first`` is 0 in phrases of two words.
     ``totals``: ``lang, n``, all word occurrences.
     """
     given = docs.select(
@@ -224,33 +307,40 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     words = written.where("local is not null")
     streams = written.where("stream is not null").select("segment", "size", "stream")
     totals = freeze(words.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
-    often = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    numbered = numbered_rows(often, ["lang", "word"], "number").withColumn("number", F.col("number") + 1)
-    vocabulary = freeze(numbered.withColumn("word", F.col("word").cast("string")), "vocabulary")
+    everywhere = Window.partitionBy("lang", "word")
+    often = freeze(
+        words.select("segment", "local", "lang", "word", F.sum("n").over(everywhere).alias("f")).where(F.col("f") >= least),
+        "frequent-words",
+    )
+    numbered = numbered_rows(often.select("lang", "word", "f").distinct(), ["lang", "word"], "number")
+    vocabulary = freeze(numbered.withColumn("number", F.col("number") + 1), "vocabulary")
 
     bits = max(vocabulary.count().bit_length(), 1)
     if bits > 32:
         raise ValueError("more than 2^32 frequent words")
+    pairs = often.join(vocabulary.select("lang", "word", "number"), ["lang", "word"]).groupBy("segment").agg(
+        F.collect_list(F.struct("local", "number")).alias("pairs")
+    )
+    streams = freeze(_renumbered(streams.join(pairs, "segment")), "streams")
     shape = streams.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    shards, keys = shape[0], 2 * shape[1]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(max(_bits(keys // RANGE_KEYS + 1), _bits(4 * parts)), quotient.half_bits(bits), 30)
+    two = _frequent(streams, *shape, bits, least)
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(two, bits))
+    three = _frequent(streams, *shape, bits, least, bloom)
+    words = vocabulary.withColumn("word", F.col("word").cast("string"))
+    return words, two, three, totals
 
-    pairs = words.select("segment", "local", "lang", F.col("word").cast("string").alias("word")).join(
-        vocabulary.select("lang", "word", "number"), ["lang", "word"]
-    ).groupBy("segment").agg(F.collect_list(F.struct("local", "number")).alias("pairs"))
-    keyed = streams.join(pairs, "segment").withColumn("shard", F.pmod(F.xxhash64("segment"), F.lit(1 << 40)))
+
+def _frequent(streams: DataFrame, shards: int, keys: int, bits: int, least: int, bloom=None) -> DataFrame:
+    """The phrases of ``least`` occurrences: filters merged and cut, round after round."""
+    parts = int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(max(_bits(keys // RANGE_KEYS + 1), _bits(4 * parts)), quotient.half_bits(bits), 30)
     prefix = min(FAN_BITS, wanted)
-    filters = _counted(keyed, bits, prefix)
-    while True:
-        shards = -(-shards >> FAN_BITS) if shards > 1 << FAN_BITS else 1
-        if shards == 1 and prefix == wanted:
-            break
+    filters = _counted(streams, bits, prefix, bloom)
+    while shards > 1 << FAN_BITS or prefix < wanted:
+        shards = -(-shards >> FAN_BITS)
         prefix = min(prefix + FAN_BITS, wanted)
         filters = freeze(_merged(filters, shards, bits, prefix, None), "filters")
-        if shards == 1 and prefix == wanted:
-            break
-    return vocabulary, freeze(_merged(filters, 1, bits, wanted, least), "phrases"), totals
+    return freeze(_merged(filters, 1, bits, wanted, least), "phrases")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -260,14 +350,14 @@ def score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", above.cast(T.DecimalType(38, 0)), (wide(left) * wide(right)).cast(T.DecimalType(38, 0)))
 
 
-def _cut_scores(phrases: DataFrame, vocabulary: DataFrame, share: int) -> DataFrame:
+def _cut_scores(two: DataFrame, three: DataFrame, vocabulary: DataFrame, share: int) -> DataFrame:
     """``lang, phrase, a, l, r, score`` of all phrases that stay."""
     word = lambda name, text, f: vocabulary.select(
         F.col("number").alias(name), F.col("word").alias(text), F.col("f").alias(f)
     )
     lang = vocabulary.select(F.col("number").alias("x"), "lang")
-    two = phrases.where("first = 0").select(F.col("second").alias("x"), F.col("third").alias("y"), "a")
-    three = phrases.where("first > 0").select(F.col("first").alias("x"), F.col("second").alias("y"), F.col("third").alias("z"), "a")
+    two = two.select(F.col("second").alias("x"), F.col("third").alias("y"), "a")
+    three = three.select(F.col("first").alias("x"), F.col("second").alias("y"), F.col("third").alias("z"), "a")
     two = freeze(
         two.join(word("x", "wx", "fx"), "x").join(word("y", "wy", "fy"), "y").join(lang, "x"), "pairs-of-words"
     )
@@ -316,8 +406,8 @@ def collocations(
     """
     if least < 1:
         raise ValueError("phrases occur once at least")
-    vocabulary, phrases, totals = phrase_counts(docs, least, lang_col, text_col)
-    ranked = _cut_scores(phrases, vocabulary, share)
+    vocabulary, two, three, totals = phrase_counts(docs, least, lang_col, text_col)
+    ranked = _cut_scores(two, three, vocabulary, share)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     some = Window.partitionBy("lang", "salt").orderBy(*order)
     salted = ranked.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))

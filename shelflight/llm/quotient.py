@@ -11,7 +11,8 @@ A filter holds, for the keys of one prefix (their first ``prefix`` bits):
 * ``occupied``, a bit for each quotient (the next bits of the key) that has an entry;
 * ``closes``, a bit for each entry that is the last one of its quotient;
 * the rest of each entry's key, packed in whole bytes;
-* its count, a byte, or 255 and then eight bytes.
+* a bit that is set if its count is above one; such counts, a byte each, or 255 and
+  then eight bytes.
 
 Entries stand in the order of their keys, so filters are merged like sorted lists.
 """
@@ -119,11 +120,12 @@ def write(high: np.ndarray, low: np.ndarray, counts: np.ndarray, half: int, pref
     bytes_low = (low | (high << np.uint64(half))).astype("<u8").view(np.uint8).reshape(-1, 8)
     bytes_high = (high >> np.uint64(64 - half)).astype("<u8").view(np.uint8).reshape(-1, 8)
     remainder = np.concatenate([bytes_low, bytes_high], axis=1)[:, :size]
-    many = counts >= 255
+    more = counts > 1
+    some = counts[more]
     return b"".join([
         _HEAD.pack(n, q, half, prefix, start), np.packbits(occupied).tobytes(), np.packbits(closes).tobytes(),
-        np.ascontiguousarray(remainder).tobytes(), np.where(many, 255, counts).astype(np.uint8).tobytes(),
-        counts[many].astype("<u8").tobytes(),
+        np.ascontiguousarray(remainder).tobytes(), np.packbits(more).tobytes(),
+        np.minimum(some, 255).astype(np.uint8).tobytes(), some[some >= 255].astype("<u8").tobytes(),
     ])
 
 
@@ -143,9 +145,11 @@ def read(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = (half + rest + 7) // 8
     padded = np.zeros((n, 16), np.uint8)
     padded[:, :size] = take(n * size).reshape(n, size)
-    small = take(n).astype(np.int64)
-    counts = small.copy()
-    counts[small == 255] = np.frombuffer(data, "<u8", -1, at).astype(np.int64)
+    more = np.unpackbits(take((n + 7) // 8), count=n).astype(bool)
+    some = take(int(more.sum())).astype(np.int64)
+    some[some == 255] = np.frombuffer(data, "<u8", -1, at).astype(np.int64)
+    counts = np.ones(n, np.int64)
+    counts[more] = some
     words = padded.view("<u8")
     quotient = occupied[np.cumsum(closes) - closes].astype(np.uint64)
     low = words[:, 0] & _mask(half)
