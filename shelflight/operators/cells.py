@@ -41,8 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MOST_CELLS, CELL_ROWS = 1024, 10_000
 # Rows for each cell that the centres are fitted on (a bounded sample), and its rounds.
 FITTED_ROWS, ROUNDS = 32, 8
-# Parts of a cell that are written by different tasks.
-CELL_PARTS = 8
+# Distances to centres that are held at once.
+GAPS_AT_ONCE = 1 << 20
 # The cell of rows that have no distance.
 ODD = -1
 # Relative room for rounding in bounds.
@@ -70,12 +70,33 @@ def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(made)
 
 
+def _slices(rows: int, cells: int):
+    """Slices of so many rows that their distances to all cells fit GAPS_AT_ONCE."""
+    step = max(1, GAPS_AT_ONCE // max(cells, 1))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a nearest centre, the distance to it) of each row. Matrix products choose the
+    centre, up to their rounding; the distance is measured on the vectors."""
+    norms = np.einsum("ij,ij->i", centres, centres)
+    cell, apart = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+    for part in _slices(len(rows), len(centres)):
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = norms - 2.0 * (rows[part] @ centres.T)
+            near[np.isnan(near)] = np.inf
+            cell[part] = near.argmin(axis=1)
+            gap = rows[part] - centres[cell[part]]
+            apart[part] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return cell, apart
+
+
 def _fit(sample: np.ndarray, cells: int) -> np.ndarray:
     """Centres of a sample: spread first rows, then means of the nearest rows."""
     order = np.random.default_rng(20).permutation(len(sample))
     centres = sample[order[:cells]].copy()
     for _ in range(ROUNDS):
-        nearest = _gaps(sample, centres).argmin(axis=1)
+        nearest, _ = _nearest(sample, centres)
         counts = np.bincount(nearest, minlength=len(centres))
         for i in range(sample.shape[1]):
             sums = np.bincount(nearest, weights=sample[:, i], minlength=len(centres))
@@ -86,6 +107,8 @@ def _fit(sample: np.ndarray, cells: int) -> np.ndarray:
 def write_cells(vectors: DataFrame, path: str, cells: int | None = None) -> CellIndex:
     """Write ``row_id, embedding`` below ``path`` in cells and return the index.
 
+    ``cells``: how many are wanted; an index has MOST_CELLS at most, so that the sample,
+    the centres and the number of files stay bounded while the cells grow with the table.
     Centres are fitted on a sample of FITTED_ROWS rows for each cell, taken by the hash of
     ``row_id``; every row is assigned to its nearest centre, and radii are those of all
     rows. Vectors must have one length and no null. An empty table gives an empty index.
@@ -93,7 +116,7 @@ def write_cells(vectors: DataFrame, path: str, cells: int | None = None) -> Cell
     spark = vectors.sparkSession
     given = vectors.select(F.col("row_id").cast("long").alias("row_id"), "embedding")
     n = given.count()
-    cells = cells or max(1, min(MOST_CELLS, math.ceil(n / CELL_ROWS)))
+    cells = max(1, min(MOST_CELLS, cells or math.ceil(n / CELL_ROWS)))
     wanted = cells * FITTED_ROWS
     share = min(1.0, 2 * wanted / max(n, 1))
     taken = given.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else given
@@ -117,19 +140,16 @@ def write_cells(vectors: DataFrame, path: str, cells: int | None = None) -> Cell
             rows = _matrix(batch.column(1), dim).astype(np.float64)
             cell, apart = np.full(len(rows), ODD, np.int32), np.full(len(rows), np.inf)
             fine = np.flatnonzero(np.isfinite(rows).all(axis=1))
-            for at in range(0, len(fine) if len(middle) else 0, 1024):
-                some = fine[at:at + 1024]
-                with np.errstate(over="ignore"):
-                    gaps = _gaps(rows[some], middle)
-                cell[some] = gaps.argmin(axis=1)
-                apart[some] = gaps.min(axis=1)
+            if len(middle):
+                cell[fine], apart[fine] = _nearest(rows[fine], middle)
             cell[~np.isfinite(apart)] = ODD
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1).cast(arrow[1].type), pa.array(cell), pa.array(apart),
             ], schema=arrow)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = given.mapInArrow(assign, schema).repartition(parts, "cell", F.pmod(F.xxhash64("row_id"), F.lit(CELL_PARTS)))
+    # Small cells are in a file or two; a large one is spread over tasks.
+    dealt = given.mapInArrow(assign, schema).repartitionByRange(parts, "cell", "row_id")
     dealt.sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{path}/vectors")
     sent.unpersist()
     bounds = _read_vectors(spark, path, given.schema["embedding"].dataType, apart=True).groupBy("cell").agg(
@@ -239,8 +259,7 @@ def _home(spark: SparkSession, index: CellIndex):
         import pandas as pd
 
         rows = np.vstack(vectors.to_list()).astype(np.float64)
-        with np.errstate(invalid="ignore", over="ignore"):
-            return pd.Series(np.nan_to_num(_gaps(rows, sent.value), nan=np.inf).argmin(axis=1))
+        return pd.Series(_nearest(rows, sent.value)[0])
 
     return nearest("qvec")
 
@@ -251,10 +270,12 @@ def _block_lists(index: CellIndex, table: pa.Table, batch: RequestBatch, schema,
     ids = _column(table, "query_id").cast(arrow_schema.field(0).type)
     limits = _column(table, "pool_limit").to_numpy().astype(np.int64)
     queries = _matrix(_column(table, "qvec"), batch.dim)
-    least, greatest = (
-        _within(index, queries.astype(np.float64)) if len(index.numbers) else (np.zeros((len(ids), 0)),) * 2
-    )
-    reach, first = _first_cells(index, least, greatest, limits) if len(index.numbers) else (np.full(len(ids), np.inf), np.zeros(0, bool))
+    wide = queries.astype(np.float64)
+    reach, first = np.full(len(ids), np.inf), np.zeros(len(index.numbers), bool)
+    parts = [*_slices(len(ids), len(index.numbers))] if len(index.numbers) else []
+    for part in parts:
+        reach[part], promising = _first_cells(index, *_within(index, wide[part]), limits[part])
+        first |= promising
 
     def scan(cells: np.ndarray, bound: np.ndarray) -> DataFrame:
         shipped = spark.sparkContext.broadcast((ids, limits, queries, bound))
@@ -267,8 +288,11 @@ def _block_lists(index: CellIndex, table: pa.Table, batch: RequestBatch, schema,
         before = reach * reach * (1 + SLACK)
     lists = scan(np.append(index.numbers[first], ODD), before)
     bound = np.minimum(_found_within(lists, ids, limits), before)
-    open_ = (least * least * (1 - SLACK) <= bound[:, None]) & (limits > 0)[:, None]
-    rest = open_.any(axis=0) & ~first
+    rest = np.zeros(len(index.numbers), bool)
+    for part in parts:
+        least, _ = _within(index, wide[part])
+        open_ = (least * least * (1 - SLACK) <= bound[part, None]) & (limits[part] > 0)[:, None]
+        rest |= open_.any(axis=0) & ~first
     if rest.any():
         lists = lists.unionByName(scan(index.numbers[rest], bound))
     if read is not None:

@@ -1,9 +1,12 @@
 """Search in cells: the lists of the plain search, and files that stay unread."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 import shelflight as sl
+from shelflight.operators import cells as cells_module
 from shelflight.operators.cells import ODD, knn_in_cells, read_cells, write_cells
 from tests.test_search import CATALOG, REQUESTS, brute
 
@@ -79,3 +82,29 @@ def test_odd_tables(spark, tmp_path):
     none = write_cells(catalog.where("false"), f"{tmp_path}/none")
     assert knn_in_cells(asked, none).count() == 0
     assert knn_in_cells(asked.where("false"), index).count() == 0
+
+
+def test_centres_are_fitted_in_bounded_memory():
+    sample = np.random.default_rng(1).normal(size=(20_000, 4))
+    tracemalloc.start()
+    try:
+        centres = cells_module._fit(sample, 500)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(centres) == 500 and peak < 40 << 20  # all distances at once: 80 MB, three times
+
+
+def test_cells_files_and_bounds_stay_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells_module, "MOST_CELLS", 8)
+    monkeypatch.setattr(cells_module, "GAPS_AT_ONCE", 20)  # bounds of two requests at once
+    rng = np.random.default_rng(7)
+    rows = np.concatenate([clustered(rng, 900, 20, 4), np.zeros((900, 4), np.float32)])  # one very large cell
+    queries = np.concatenate([rows[:5], rows[-1:], rng.normal(0, 60, (2, 4)).astype(np.float32)])
+    catalog, asked = tables(spark, rows, queries, [3, 30, 1, 0, 9, 40, 7, 2000])
+    index = write_cells(catalog, f"{tmp_path}/cells", cells=300)
+    assert 1 < len(index.numbers) <= 8 and index.rows.sum() == len(rows)
+    files = index.vectors.selectExpr("cell", "input_file_name() f").distinct().groupBy("cell").count().collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["count"] for r in files) < len(index.numbers) + parts and max(r["count"] for r in files) > 1
+    assert lists(knn_in_cells(asked, index)) == lists(sl.knn_candidates(asked, catalog))
