@@ -8,7 +8,7 @@ from shelflight.functions.phonetic import METAPHONE, PhoneticEncoder
 from shelflight.functions.text import normalise, search_text, strip
 from shelflight.operators.checks import meta_record, require_consistent_vectors
 from shelflight.operators.embedding import HashedNGrams, embed_table
-from shelflight.sources.catalog import catalog_head, require_columns
+from shelflight.sources.catalog import catalog_head, dealt_out, require_columns
 from shelflight.sources.sinks import freeze, read_index, write_index, write_lookup, write_meta
 
 
@@ -69,9 +69,10 @@ def build_catalog_index(
     """Build and write the index, lookup and metadata below ``path``; returns
     the index as read back. Nothing is written there before the vectors are checked:
     the index is built in the shared folder first, and one pass over its vectors
-    serves the check and the metadata."""
+    serves the check and the metadata. Texts are encoded and embedded on all cores,
+    whatever the splits of ``raw``."""
     embedder = embedder or HashedNGrams()
-    prepared = prepare_catalog(catalog_head(raw, max_rows), null_text, phonetic)
+    prepared = prepare_catalog(dealt_out(catalog_head(raw, max_rows)), null_text, phonetic)
     embedded = embed_table(prepared, "search_text", embedder)
     staged = freeze(lookup_columns(embedded, "embedding"), "staged-index")
     found = require_consistent_vectors(staged)

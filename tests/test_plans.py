@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import shelflight as sl
@@ -142,3 +143,21 @@ def test_rows_of_other_keys_pass_the_price_replacement(spark, sf):
     tree = text.split("\n\n")[0]
     first = tree[tree.index("Union"):].split("LeftAnti")[0]
     assert "query_id" not in first and "SortMergeJoin Inner" in first
+
+
+@pytest.fixture()
+def fixed_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # would join the small parts of a test
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def files_of(df):
+    return df.select(F.input_file_name()).distinct().count()
+
+
+def test_a_catalog_of_one_split_is_embedded_by_all_tasks(fixed_partitions, sf, tmp_path):
+    raw = view(fixed_partitions, sf, "catalog_raw").coalesce(1)
+    built = sl.build_catalog_index(raw, f"{tmp_path}/index")
+    parts = int(fixed_partitions.conf.get("spark.sql.shuffle.partitions"))
+    assert built.count() == raw.count() and files_of(built) == parts
