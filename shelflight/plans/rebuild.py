@@ -20,7 +20,7 @@ from shelflight.functions.phonetic import METAPHONE, PhoneticEncoder
 from shelflight.operators.checks import meta_record, require_consistent_vectors
 from shelflight.operators.embedding import HashedNGrams, embed_table
 from shelflight.plans.index_build import lookup_columns, lookup_export, prepare_catalog
-from shelflight.sources.catalog import catalog_head
+from shelflight.sources.catalog import catalog_head, dealt_out
 from shelflight.sources.sinks import freeze, read_index, write_index, write_lookup, write_meta
 
 _RECORDS = "records"
@@ -126,7 +126,7 @@ def rebuild_catalog_index(
     spark = raw.sparkSession
     embedder = embedder or HashedNGrams()
     prepared = freeze(
-        prepare_catalog(catalog_head(raw, max_rows), null_text, phonetic).withColumn(
+        prepare_catalog(dealt_out(catalog_head(raw, max_rows)), null_text, phonetic).withColumn(
             "text_key", F.sha2("search_text", 256)
         ), "prepared-catalog",
     )

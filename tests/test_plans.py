@@ -1,11 +1,14 @@
 """Physical plans: what is scanned, joined and shuffled, and how."""
 
+import glob
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import shelflight as sl
+from shelflight import settings
 from workload import queries as q
 from workload.views import view, with_filters
 
@@ -161,3 +164,12 @@ def test_a_catalog_of_one_split_is_embedded_by_all_tasks(fixed_partitions, sf, t
     built = sl.build_catalog_index(raw, f"{tmp_path}/index")
     parts = int(fixed_partitions.conf.get("spark.sql.shuffle.partitions"))
     assert built.count() == raw.count() and files_of(built) == parts
+
+
+def test_a_rebuild_prepares_a_catalog_of_one_split_in_all_tasks(fixed_partitions, sf, tmp_path):
+    raw = view(fixed_partitions, sf, "catalog_raw").coalesce(1)
+    built = sl.rebuild_catalog_index(raw, f"{tmp_path}/builds")
+    written = glob.glob(f"{settings.shared_dir(fixed_partitions).removeprefix('file:')}/prepared-catalog-*")
+    prepared = fixed_partitions.read.parquet(max(written, key=os.path.getmtime))
+    parts = int(fixed_partitions.conf.get("spark.sql.shuffle.partitions"))
+    assert built.count() == prepared.count() == raw.count() and files_of(prepared) == parts
