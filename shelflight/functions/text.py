@@ -9,6 +9,11 @@ from shelflight.settings import PRICE_KEY
 # Whitespace as Python's str.strip() and str.split() see it: the Unicode
 # White_Space property plus the four separator control characters.
 _BLANK = r"[\s\x1c-\x1f]"
+# The same characters one by one.
+_BLANKS = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+)))
 
 # Facet values that mean "nothing was entered" (fixed values).
 PLACEHOLDERS = ("n/a", "na", "null", "none", "-")
@@ -26,7 +31,7 @@ PRICE_TITLE = "💰 Price Range"
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def tokens(text: Column) -> Column:

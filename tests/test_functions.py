@@ -20,6 +20,14 @@ def test_strip_matches_python(spark):
     assert column(spark, texts, strip) == [t.strip() for t in texts]
 
 
+def test_strip_takes_every_blank_without_a_regular_expression(spark):
+    blanks = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    texts = [f"{b}{b}a{b}b{b}" for b in blanks] + [chr(i) + "a" for i in range(0x21, 0x3100)] + [None, " \r\n"]
+    assert column(spark, texts, strip) == [t and t.strip() for t in texts]
+    plan = spark.range(1).select(strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp" not in plan
+
+
 def test_tokens_match_python(spark):
     texts = [" red  ring ", "a b\tc", "", "   ", "one"]
     assert column(spark, texts, tokens) == [t.split() for t in texts]
